@@ -1,6 +1,6 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
-from . import decontamination
+from . import decontamination, mixing
 
-QUERIES = {"op1_decontamination": decontamination.query}
-ORACLES = {"op1_decontamination": decontamination.ORACLE}
+QUERIES = {"op1_decontamination": decontamination.query, "op3_mixing": mixing.query}
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE}

@@ -1,6 +1,6 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
-from . import decontamination, mixing
+from . import decontamination, mixing, topk
 
-QUERIES = {"op1_decontamination": decontamination.query, "op3_mixing": mixing.query}
-ORACLES = {"op1_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE}
+QUERIES = {"op1_decontamination": decontamination.query, "op3_mixing": mixing.query, "op9_topk": topk.query}
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE, "op9_topk": topk.ORACLE}

@@ -1,6 +1,6 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
-from . import decontamination, mixing, topk
+from . import decontamination, html, mixing, topk
 
-QUERIES = {"op1_decontamination": decontamination.query, "op3_mixing": mixing.query, "op9_topk": topk.query}
+QUERIES = {"op1_decontamination": decontamination.query, "op3_mixing": mixing.query, "op9_topk": topk.query, "op10_html": html.query}
 ORACLES = {"op1_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE, "op9_topk": topk.ORACLE}

@@ -1,6 +1,13 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
-from . import decontamination, html, language, mixing, topk
+from . import decontamination, html, language, mixing, secrets, topk
 
-QUERIES = {"op1_decontamination": decontamination.query, "op3_mixing": mixing.query, "op8_language": language.query, "op9_topk": topk.query, "op10_html": html.query}
+QUERIES = {
+    "op1_decontamination": decontamination.query,
+    "op3_mixing": mixing.query,
+    "op4_secrets": secrets.query,
+    "op8_language": language.query,
+    "op9_topk": topk.query,
+    "op10_html": html.query,
+}
 ORACLES = {"op1_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE, "op9_topk": topk.ORACLE}

@@ -1,12 +1,13 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
-from . import decontamination, html, language, mixing, secrets, tokens, topk
+from . import decontamination, html, language, mixing, pii, secrets, tokens, topk
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op3_mixing": mixing.query,
     "op4_secrets": secrets.query,
     "op5_tokens": tokens.query,
+    "op6_pii": pii.query,
     "op8_language": language.query,
     "op9_topk": topk.query,
     "op10_html": html.query,

@@ -1,9 +1,10 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
-from . import decontamination, html, language, mixing, pii, secrets, tokens, topk
+from . import decontamination, html, language, mixing, near_dedup, pii, secrets, tokens, topk
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
+    "op2_near_dedup": near_dedup.query,
     "op3_mixing": mixing.query,
     "op4_secrets": secrets.query,
     "op5_tokens": tokens.query,

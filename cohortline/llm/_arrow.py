@@ -71,11 +71,11 @@ def alnum_table() -> np.ndarray:
 
 
 def graphic_table() -> np.ndarray:
-    """0 for space and \\t to \\r, else the byte with A-Z lower-cased (byte 0 counts as 1)."""
+    """0 for space and \\t to \\r, else the byte with A-Z lower-cased (byte 0 as the free 32)."""
     t = np.arange(256).astype(np.uint8)
-    t[0] = 1
     t[65:91] = np.arange(97, 123)
     t[[32, 9, 10, 11, 12, 13]] = 0
+    t[0] = 32
     return t
 
 

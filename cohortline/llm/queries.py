@@ -1,6 +1,6 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
-from . import decontamination, html, language, mixing, near_dedup, pii, secrets, tokens, topk
+from . import decontamination, html, language, lm_scoring, mixing, near_dedup, pii, secrets, tokens, topk
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_secrets": secrets.query,
     "op5_tokens": tokens.query,
     "op6_pii": pii.query,
+    "op7_lm_scoring": lm_scoring.query,
     "op8_language": language.query,
     "op9_topk": topk.query,
     "op10_html": html.query,

@@ -38,19 +38,25 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(t for v in TITLES.values() for t in v)
 _GIVEN = "|".join(n for v in NAMES.values() for n in v)
 _LETTERS = r"\p{L}\p{M}"
-#: The kinds in order, with patterns that begin and end where no entity of the kind goes on. Runs are possessive, so
-#: that the time is in proportion to a text's length.
+_START, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+#: The kinds in order, with patterns that end where no entity of the kind goes on. Runs are possessive, so that the time
+#: is in proportion to a text's length.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "ip": rf"(?<![\p{{L}}\p{{N}}._-])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}_-]|\.\d)",
-    "ip6": r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "ssn": r"(?<![\p{L}\p{N}.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{3,4}(?:[ .-]?\d{2,4}){1,2}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\p{L}\p{N}+])\+\d{8,15}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}]|[.-]\d)",
-    "card": r"(?<![\p{L}\p{N}_])\d{4}(?:[ -]\d{4}){3}(?![\p{L}\p{N}_]|[ -]?\d)|(?<![\p{L}\p{N}_])\d{13,19}(?![\p{L}\p{N}_])",
-    "name": rf"(?<![{_LETTERS}])(?:(?:{_TITLE})\.? )(?:(?:{_GIVEN}) )?\p{{Lu}}[{_LETTERS}]++(?:[-'’]\p{{Lu}}[{_LETTERS}]++)?|(?<![{_LETTERS}])(?:{_GIVEN}) \p{{Lu}}[{_LETTERS}]++(?:[-'’]\p{{Lu}}[{_LETTERS}]++)?",
+    "ip": rf"(?<![.-])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}_-]|\.\d)",
+    "ssn": r"(?<![.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
+    "phone": r"(?<!\+)(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{3,4}(?:[ .-]?\d{2,4}){1,2}(?!\d)|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|\+\d{8,15}(?!\d)|(?<![.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}]|[.-]\d))",
+    "card": rf"\d{{4}}(?:[ -]\d{{4}}){{3}}(?![\p{{L}}\p{{N}}_]|[ -]?\d)|\d{{13,19}}{_END}",
+    "ip6": r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
+    "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
+    "name": rf"(?:(?:(?:{_TITLE})\.? )(?:(?:{_GIVEN}) )?|(?:{_GIVEN}) )\p{{Lu}}[{_LETTERS}]++(?:[-'’]\p{{Lu}}[{_LETTERS}]++)?",
+    "email": r"(?<![.%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
 }
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_NUMBERS, _CAPITALS = ("ip", "ssn", "phone", "card"), ("iban", "name")
+#: All of them after one look at what stands before, numbers' kinds only at a digit, + or (, names' only at a capital.
+ENTITY = (
+    _START + "(?:(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in _NUMBERS) + ")|(?=[0-9A-Fa-f]{1,4}:)" + PATTERNS["ip6"]
+    + r"|(?=\p{Lu})(?:" + "|".join(PATTERNS[k] for k in _CAPITALS) + ")|" + PATTERNS["email"] + ")"
+)
 #: Times that a colliding surrogate is drawn again before it is made of the entity's hash, whatever its format.
 ROUNDS = 30
 

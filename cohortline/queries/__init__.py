@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one or more for each operator, and SQL that gives the same rows."""
 
-from . import evaluation, features, selection
+from . import evaluation, features, learning, selection
 
-QUERIES = {**features.QUERIES, **selection.QUERIES, **evaluation.QUERIES}
+QUERIES = {**features.QUERIES, **selection.QUERIES, **evaluation.QUERIES, **learning.QUERIES}
 ORACLES = {**features.ORACLES, **selection.ORACLES, **evaluation.ORACLES}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -47,6 +47,11 @@ SURFACE_STAGES = [
 ]
 
 
+def _edges_passed(edges: Column, value: Column) -> Column:
+    """How many of the edges are at or below a value."""
+    return F.aggregate(edges, F.lit(0), lambda n, e: n + (e <= value).cast("int"))
+
+
 @dataclass
 class SurfaceProfiles:
     """Rows, medians and deciles of the dominant family's measures at three levels, of training rows."""
@@ -89,9 +94,8 @@ class SurfaceProfiles:
         for c, p in SURFACE:
             columns[name(f"{p}_minus_train_median")] = when(F.col(c) - F.col(f"_p.med_{p}"), 0.0)
             if p not in ("paid", "support"):
-                edges, value = F.col(f"_p.edges_{p}"), F.col(c)
-                at = F.aggregate(edges, F.lit(0), lambda a, e, v=value: a + (e <= v).cast("int"))
-                columns[name(f"{p}_rank_fit")] = when((at + 0.5).cast("double") / (F.size(edges) + 1), 0.5)
+                edges = F.col(f"_p.edges_{p}")
+                columns[name(f"{p}_rank_fit")] = when((_edges_passed(edges, F.col(c)) + 0.5).cast("double") / (F.size(edges) + 1), 0.5)
         columns[name("monthly_over_train_median")] = when(F.col("_mc") / F.greatest(F.col("_p.med_monthly"), F.lit(1.0)), 1.0)
         out = out.withColumns(columns)
         out = out.withColumn(name("pressure_x_support_deficit"), when(F.col(name("monthly_over_train_median")) * F.col("support_deficit_count"), 0.0))

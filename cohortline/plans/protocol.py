@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
 from ..functions import keys as K
 from ..functions.metrics import auc, logloss
 from ..operators.select import DOMINANT
@@ -43,7 +44,7 @@ def checks(df: DataFrame, test: DataFrame, stage: str = "submission", target_fam
     """check, status, value: a row for each check of the stage. All come from the family table and the total AUCs."""
     if stage not in STAGES:
         raise ValueError(f"Unknown stage {stage!r}")
-    table = family_metrics(df, test)
+    table = saved(family_metrics(df, test))  # one row for each family, read by every check
     total = auc(df, [], "target", "candidate_pred", "c").crossJoin(auc(df, [], "target", "reference_pred", "r")).select((F.col("c") - F.col("r")).alias("value"))
     row = lambda d, name, ok: d.select(F.lit(name).alias("check"), F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL").alias("status"), F.col("value").cast("double").alias("value"))
     seg3, seg5 = (table.filter(F.col("family_level") == x) for x in ("segment3", "segment5"))

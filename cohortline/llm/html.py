@@ -281,8 +281,12 @@ def extract(page: str, weights: np.ndarray = PRIOR) -> tuple[str, int]:
 
 
 def sample(pages: DataFrame, html: str = "html", n: int = SAMPLE_PAGES) -> list[str]:
-    chosen = pick(pages, html=html).filter(F.char_length("html") <= SAMPLE_CHARS)
-    return [r.html for r in chosen.orderBy(F.xxhash64("html"), "html").limit(n).collect()]
+    """The n distinct pages with the smallest hashes: first their hashes alone, then the pages."""
+    chosen = pick(pages, html=html).filter(F.char_length("html") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("html"))
+    least = [r.h for r in chosen.select("h").distinct().orderBy("h").limit(n).collect()]
+    if not least:
+        return []
+    return sorted(r.html for r in chosen.filter(F.col("h") <= least[-1]).dropDuplicates(["h"]).select("html").collect())
 
 
 def main_text(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", weights: np.ndarray | None = None, sample_pages: int = SAMPLE_PAGES) -> DataFrame:

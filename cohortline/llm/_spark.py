@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of results that nothing refers to any more. Its cleaner acts
+    when the driver's garbage is collected, which a loop of small jobs doesn't bring about by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pick(df: DataFrame, **named: str) -> DataFrame:
     """The columns of df that are called named.values(), as named.keys(). Names are compared exactly, and the first of
     equal names counts, so that other columns whose names clash (in case, or entirely) do no harm."""

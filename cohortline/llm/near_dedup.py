@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from . import _arrow as A
-from ._spark import held, pick, saved, table
+from ._spark import held, pick, release, saved, table
 
 SHINGLE = 5
 #: Bands of rows: a pair of similarity 0.8 is missed with probability (1 - 0.8^4)^28 = 4e-7.
@@ -32,7 +32,7 @@ THRESHOLD = 0.8
 #: Pairs that agree in fewer coordinates aren't compared in blocks: 0.8 less five standard errors.
 LEAST_AGREE = int(K * (THRESHOLD - 5 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5))
 #: Members of a bucket that are compared with as many others in one task.
-BLOCK = 256
+BLOCK = 1024
 #: Candidates' rows up to this number are found by broadcast (16 bytes each), more by a shuffle of the documents.
 BROADCAST_ROWS = 1_000_000
 _C = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -185,26 +185,26 @@ def components(edges: DataFrame) -> DataFrame:
     """node, comp: the least node of each connected component, for all nodes of edges (a, b), by large and small stars."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     e = saved(e)
-    before = None
     while True:
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = saved(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = saved(large)
+        large = saved(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"))
         least = saved(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         e = saved(joined.select("u", F.col("m").alias("v")).union(joined.filter("v <> m").select("v", "m")).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node").union(e.select("v", "v").distinct())
-        before = now
+        del both, large, least, joined
+        release(edges.sparkSession)
+        # done when all are stars: each node has one other, and none of these has one itself
+        several = e.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+        if not several.union(e.select("u").intersect(e.select("v"))).limit(1).count():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
 
 
-def _blockwise(rest: DataFrame) -> DataFrame:
+def _blockwise(rest: DataFrame, payload: DataFrame) -> DataFrame:
     """Links (a, b) between classes that share a bucket: rest has key, node, comp, n_comp (members of the class in the
-    bucket), n_small (members of small classes in it). Members come in blocks of about BLOCK, large classes' apart, and
+    bucket), n_small (members of small classes in it); payload has node, sig, set, and is joined at last. Members come in blocks of about BLOCK, large classes' apart, and
     each pair of blocks that isn't all of one class is a group of its own."""
-    large = F.col("n_comp") >= BLOCK // 4
+    large = F.col("n_comp") >= BLOCK // 8
     count = F.when(large, F.col("n_comp")).otherwise(F.col("n_small"))
     part = F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.lit(1), F.ceil(count / BLOCK)))
     blocked = saved(rest.withColumn("blk", F.xxhash64(F.when(large, F.col("comp")).otherwise(F.lit(0)), large, part)))
@@ -213,7 +213,7 @@ def _blockwise(rest: DataFrame) -> DataFrame:
     pairs = blocks.join(other, "key").filter("blk <= blk2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("key", "blk", "blk2")
     pairs = saved(pairs.withColumn("pair", F.xxhash64("key", "blk", "blk2")))
     each = pairs.select("key", "pair", "blk", F.lit(0).alias("side")).union(pairs.filter("blk <> blk2").select("key", "pair", "blk2", F.lit(1)))
-    rows = blocked.join(each, ["key", "blk"]).select("pair", "key", "side", "node", "comp", "sig", "set")
+    rows = saved(blocked.join(each, ["key", "blk"]).select("pair", "key", "side", "node", "comp")).join(payload, "node")
 
     def compare(t: pa.Table) -> pa.Table:
         node, comp, key, side = (t.column(c).to_numpy() for c in ("node", "comp", "key", "side"))
@@ -270,6 +270,7 @@ def classes_of(docs: DataFrame, counts: bool = False) -> tuple[DataFrame, DataFr
     chosen = docs.join(small(wanted), (F.xxhash64("text") == F.col("w_tx")) & docs["doc_id"].eqNullSafe(F.col("w_id")), "left_semi")
     own = saved(sets(chosen.select("text")).dropDuplicates(["node"]))
     tested = edges.join(own.toDF("a", "set_a"), "a").join(own.toDF("b", "set_b"), "b")
+    release(docs.sparkSession)
     links = saved(tested.filter(_jaccard_udf("set_a", "set_b") >= THRESHOLD).select("a", "b"))
     comps = saved(components(links))
 
@@ -278,11 +279,13 @@ def classes_of(docs: DataFrame, counts: bool = False) -> tuple[DataFrame, DataFr
     named = saved(named)
     by_comp = named.groupBy("key", "comp").agg(F.count("*").alias("n_comp"))
     by_comp = saved(by_comp)
-    mixed = by_comp.groupBy("key").agg(F.count("*").alias("n_comps"), F.sum(F.when(F.col("n_comp") < BLOCK // 4, F.col("n_comp")).otherwise(0)).alias("n_small")).filter("n_comps > 1")
+    mixed = by_comp.groupBy("key").agg(F.count("*").alias("n_comps"), F.sum(F.when(F.col("n_comp") < BLOCK // 8, F.col("n_comp")).otherwise(0)).alias("n_small")).filter("n_comps > 1")
     mixed = saved(mixed.drop("n_comps"))
     rest = named.select("key", "node", "comp").join(mixed, "key").join(by_comp, ["key", "comp"])
-    rest = rest.join(nodes.select("node", "sig"), "node").join(own, "node")
-    more = saved(_blockwise(rest))
+    wide = rest.select("node").distinct()
+    payload = saved(wide.join(nodes.select("node", "sig"), "node").join(own, "node"))
+    more = saved(_blockwise(rest, payload))
+    release(docs.sparkSession)
     if more.limit(1).count():
         comps = saved(components(links.union(more)))
     return rows.select("doc_id", "node"), comps

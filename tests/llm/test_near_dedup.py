@@ -87,3 +87,21 @@ def test_nothing(spark):
     assert N.near_duplicates(d).count() == 0 and N.one_of_each(d).count() == 0
     d = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert N.near_duplicates(d).count() == 1 and N.one_of_each(d).count() == 1
+
+
+def test_components_of_paths_stars_and_cycles(spark):
+    rng = random.Random(8)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(120)]
+    edges = [(ids[i], ids[i + 1]) for i in range(40)] + [(ids[50], ids[i]) for i in range(51, 80)] + [(ids[80 + i], ids[80 + (i + 1) % 10]) for i in range(10)] + [(ids[100], ids[101])] * 3
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    got = [(r.node, r.comp) for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted((x, root(x)) for x in up)
+    assert N.components(spark.createDataFrame([], "a long, b long")).count() == 0

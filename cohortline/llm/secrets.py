@@ -3,7 +3,7 @@
 Three fixed patterns give the base spans. Their values, a bounded sample, are the labelled credentials from which a
 probabilistic automaton is inferred for each kind: a prefix tree whose statistically compatible states are merged. All
 other candidates, runs of credential characters at any place of any text, are scored by how much likelier an automaton
-makes them than a model of ordinary runs does; those above a threshold, set on the sample, are added as spans."""
+makes them than a model of ordinary runs does; those above a fixed level are added as spans."""
 
 from __future__ import annotations
 
@@ -27,6 +27,10 @@ SAMPLE_ORDINARY = 4000
 MIN_VALUES = 10
 #: Characters of a value or candidate that a sample keeps at most; longer ones aren't in the samples, but are scored.
 SAMPLE_CHARS = 200
+#: Log odds above which a candidate is a credential: of strings that the ordinary model makes, one in a million at most.
+LEVEL = math.log(1e6)
+#: Weight of kinds of characters in the ordinary model, and times that it is fitted again at most.
+BACKOFF, REFITS = 5.0, 5
 #: Least length of a candidate that is not a base span.
 MIN_CANDIDATE = 16
 
@@ -177,16 +181,21 @@ class Automaton:
 
 
 class Ordinary:
-    """Bigrams of characters of ordinary candidates."""
+    """Bigrams of characters of ordinary candidates, backed off to bigrams of kinds of characters, in which a run of one
+    kind is likely even where the sample has few of them (numbers)."""
 
     def __init__(self, values: list[str]):
         chars = "".join(_GROUPS) + "\n"
         self.at = {c: i for i, c in enumerate(chars)}
-        n = np.full((len(chars), len(chars)), 0.1)
+        kinds = np.array([_SYMBOL.get(c, ALPHABET) for c in chars])
+        n = np.zeros((len(chars), len(chars)))
         for v in values:
             x = [self.at[c] for c in f"\n{v}\n"]
             np.add.at(n, (x[:-1], x[1:]), 1)
-        self.logs = np.log(n / n.sum(1, keepdims=True))
+        pairs = np.full((ALPHABET + 1, ALPHABET + 1), 0.5 / (ALPHABET + 1)) + 0.5 * np.eye(ALPHABET + 1)
+        np.add.at(pairs, (kinds[:, None], kinds[None, :]), n)
+        back = (pairs / pairs.sum(1, keepdims=True))[kinds][:, kinds] / np.append(_SIZES, 1)[kinds]
+        self.logs = np.log((n + BACKOFF * back) / (n.sum(1, keepdims=True) + BACKOFF))
 
     def score(self, v: str) -> float:
         x = [self.at[c] for c in f"\n{v}\n"]
@@ -194,28 +203,52 @@ class Ordinary:
 
 
 class Grammar:
-    """Automata by kind, the ordinary model and each kind's threshold of mean log odds for a character."""
+    """Automata by kind and the ordinary model. A candidate is a credential if an automaton makes it LEVEL likelier than
+    the ordinary model does, as a whole, so that a short one needs more evidence for each character.
+
+    The sample of candidates isn't labelled, so those that are credentials by this rule don't count as ordinary; what is
+    left gives the ordinary model anew. It begins with no candidate, or, if that leaves out most of them, with all."""
 
     def __init__(self, values: dict[int, list[str]], ordinary: list[str]):
+        self.automata = {k: Automaton([symbols(v) for v in vs]) for k, vs in sorted(values.items()) if len(vs) >= MIN_VALUES}
+        self._set([])
+        rest = self._plain(ordinary)
+        if len(rest) < len(ordinary) / 2:
+            rest = ordinary
+        for _ in range(REFITS):
+            self._set(rest)
+            kept = self._plain(ordinary)
+            if kept == rest:
+                break
+            rest = kept
+
+    def _set(self, ordinary: list[str]) -> None:
         self.ordinary = Ordinary(ordinary)
-        values = {k: vs for k, vs in values.items() if len(vs) >= MIN_VALUES}
-        self.automata = {k: Automaton([symbols(v) for v in vs]) for k, vs in sorted(values.items())}
-        self.limits = {}
-        for k, vs in values.items():
-            high = max((self.odds(k, v) for v in ordinary), default=-1.0)
-            own = sorted(self.odds(k, v) for v in vs)
-            self.limits[k] = max(0.2, high + 0.1, own[len(own) // 20])
         self.cache: dict[str, int] = {}
+        # for each kind, the most that a character can add to the odds, after another one
+        chars, logs = list(self.ordinary.at), self.ordinary.logs
+        most = [np.append(a.logs[:, :ALPHABET].max(0), a.logs[:, STOP].max()) for a in self.automata.values()]
+        best = np.max(most, axis=0)[[_SYMBOL.get(c, ALPHABET) for c in chars]] if most else np.full(len(chars), -np.inf)
+        self.gain = {c: dict(zip(chars, (best - logs[i]).tolist())) for i, c in enumerate(chars)}
+
+    def _plain(self, ordinary: list[str]) -> list[str]:
+        return [v for v in ordinary if self.kind(v) < 0]
 
     def odds(self, kind: int, v: str) -> float:
-        return (self.automata[kind].score(symbols(v)) - self.ordinary.score(v)) / (len(v) + 1)
+        return self.automata[kind].score(symbols(v)) - self.ordinary.score(v)
 
     def kind(self, v: str) -> int:
         """The kind of a candidate, or -1."""
         got = self.cache.get(v)
         if got is None:
-            best = max(((self.odds(k, v) - x, -k) for k, x in self.limits.items()), default=(-1.0, 0))
-            got = -best[1] if best[0] > 0 else -1
+            at, bound = self.gain["\n"], 0.0
+            for c in v:
+                bound += at[c]
+                at = self.gain[c]
+            got = -1
+            if bound + at["\n"] > LEVEL:  # else no automaton can reach it
+                best = max((self.odds(k, v), -k) for k in self.automata)
+                got = -best[1] if best[0] > LEVEL else -1
             if len(self.cache) > 200_000:
                 self.cache.clear()
             if len(v) <= 64:

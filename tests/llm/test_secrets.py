@@ -68,3 +68,15 @@ def test_digest_of_the_query(spark):
         said = ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in base)
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in base) for k in range(3))
+
+
+def test_sampled_credentials_without_a_keyword_are_found(spark):
+    rng = random.Random(5)
+    key = lambda: "sk_" + "".join(rng.choice("0123456789abcdef") for _ in range(20))
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(16, 22)))
+    planted = [key() for _ in range(40)]
+    plain = [word() for _ in range(60)] + [str(rng.randrange(10**15, 10**16)) for _ in range(3)]
+    docs = [(f"token={key()} then",) for _ in range(40)] + [(f"it is {k} here",) for k in planted] + [(f"so {w} on",) for w in plain]
+    d = spark.createDataFrame(docs, "text string")
+    got = {r._0: [(x.kind, r._0[x.start : x.end]) for x in r.spans] for r in S.scan(d, S.learn(d)).collect()}
+    assert all(got[f"it is {k} here"] == [("assign", k)] for k in planted) and all(got[f"so {w} on"] == [] for w in plain)

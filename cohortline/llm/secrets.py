@@ -3,13 +3,15 @@
 Three fixed patterns give the base spans. Their values, a bounded sample, are the labelled credentials from which a
 probabilistic automaton is inferred for each kind: a prefix tree whose statistically compatible states are merged. All
 other candidates, runs of credential characters at any place of any text, are scored by how much likelier an automaton
-makes them than a model of ordinary runs does; those above a fixed level are added as spans."""
+makes them than a model of ordinary runs does; those above a fixed level are added as spans, and so are runs that hold
+an access or hex base span and letters or digits beside it."""
 
 from __future__ import annotations
 
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,8 +33,8 @@ SAMPLE_CHARS = 200
 LEVEL = math.log(1e6)
 #: Weight of kinds of characters in the ordinary model, and times that it is fitted again at most.
 BACKOFF, REFITS = 5.0, 5
-#: Least length of a candidate that is not a base span.
-MIN_CANDIDATE = 16
+#: Least length of a candidate, as of a base value.
+MIN_CANDIDATE = 6
 
 # The base patterns. A class of both cases stands for letters in either case.
 ASSIGN = re.compile(
@@ -75,6 +77,40 @@ def _apart(base: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
     return free
 
 
+def beyond(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of the candidates that hold an access or hex base span and letters or digits beside it, of the first one's
+    kind: the run is one token, a part of which is sure, and what is ordinary beside that doesn't count against it. What
+    an assignment holds is whole already, as its value ends with the run; a candidate ends where one begins."""
+    sure, assigns, reach = [], [], 0
+    for x in base:
+        if x[1] == 0:
+            assigns.append(x[0])
+            reach = max(reach, x[2])
+        elif x[0] >= reach:
+            sure.append(x)
+    if not sure:
+        return []
+    out, i = [], 0
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        j = i
+        while j < len(sure) and sure[j][0] < end:
+            j += 1
+        if j == i:
+            continue
+        p = bisect_left(assigns, sure[i][0])
+        if p < len(assigns) and assigns[p] < end:
+            end = max(assigns[p], *(x[2] for x in sure[i:j]))
+        at, other = start, False
+        for s, _, e in [*sure[i:j], (end, 0, end)]:
+            other = other or any(c.isalnum() for c in text[at:s])
+            at = max(at, e)
+        if other:
+            out.append((start, sure[i][1], end))
+        i = j
+    return out
+
+
 def symbols(s: str) -> list[int]:
     """Kinds of characters: the automata's alphabet."""
     return [_SYMBOL[c] for c in s]
@@ -113,7 +149,6 @@ class Automaton:
         p = np.array([[x + 0.05 for x in c] for c in self.counts])
         self.logs = np.log(p / p.sum(1, keepdims=True))
         self.logs[:, :ALPHABET] -= np.log(_SIZES)  # of one character, not of its kind
-        self.floor = math.log(0.05 / (ALPHABET + 1)) - math.log(26.0)
 
     def _differ(self, a: list[int], b: list[int]) -> bool:
         n, m = sum(a), sum(b)
@@ -170,19 +205,17 @@ class Automaton:
         self.counts = [self.counts[x] for x in red]
 
     def score(self, v: list[int]) -> float:
-        """Log probability of a value; off the automaton, each further character has a small fixed one."""
+        """Log probability of a value; a character that no value has at a state has a small one, and the state stays."""
         at, total, logs, nxt = 0, 0.0, self.logs, self.next
-        for i, c in enumerate(v):
+        for c in v:
             total += logs[at, c]
-            at = nxt[at][c]
-            if at < 0:
-                return total + self.floor * (len(v) - i)
+            at = nxt[at][c] if nxt[at][c] >= 0 else at
         return total + logs[at, STOP]
 
 
 class Ordinary:
-    """Bigrams of characters of ordinary candidates, backed off to bigrams of kinds of characters, in which a run of one
-    kind is likely even where the sample has few of them (numbers)."""
+    """An even mixture of two models of ordinary candidates: bigrams of characters, and bigrams of kinds of characters, in
+    which a run of one kind is likely even where the sample has few of them (numbers). The first backs off to the second."""
 
     def __init__(self, values: list[str]):
         chars = "".join(_GROUPS) + "\n"
@@ -195,11 +228,12 @@ class Ordinary:
         pairs = np.full((ALPHABET + 1, ALPHABET + 1), 0.5 / (ALPHABET + 1)) + 0.5 * np.eye(ALPHABET + 1)
         np.add.at(pairs, (kinds[:, None], kinds[None, :]), n)
         back = (pairs / pairs.sum(1, keepdims=True))[kinds][:, kinds] / np.append(_SIZES, 1)[kinds]
+        self.kinds = np.log(back)
         self.logs = np.log((n + BACKOFF * back) / (n.sum(1, keepdims=True) + BACKOFF))
 
     def score(self, v: str) -> float:
         x = [self.at[c] for c in f"\n{v}\n"]
-        return float(self.logs[x[:-1], x[1:]].sum())
+        return float(np.logaddexp(self.logs[x[:-1], x[1:]].sum(), self.kinds[x[:-1], x[1:]].sum())) - math.log(2)
 
 
 class Grammar:
@@ -225,7 +259,7 @@ class Grammar:
     def _set(self, ordinary: list[str]) -> None:
         self.ordinary = Ordinary(ordinary)
         self.cache: dict[str, int] = {}
-        # for each kind, the most that a character can add to the odds, after another one
+        # over all kinds, the most that a character can add to the odds by bigrams of characters, after another one
         chars, logs = list(self.ordinary.at), self.ordinary.logs
         most = [np.append(a.logs[:, :ALPHABET].max(0), a.logs[:, STOP].max()) for a in self.automata.values()]
         best = np.max(most, axis=0)[[_SYMBOL.get(c, ALPHABET) for c in chars]] if most else np.full(len(chars), -np.inf)
@@ -241,7 +275,7 @@ class Grammar:
         """The kind of a candidate, or -1."""
         got = self.cache.get(v)
         if got is None:
-            at, bound = self.gain["\n"], 0.0
+            at, bound = self.gain["\n"], math.log(2)
             for c in v:
                 bound += at[c]
                 at = self.gain[c]
@@ -257,6 +291,8 @@ class Grammar:
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans of candidates that don't touch a base span and whose format is a credential's."""
+        if all(self.kind(v) < 0 for v in set(CANDIDATE.findall(text))):
+            return []
         out, free = [], _apart(base)
         for m in CANDIDATE.finditer(text):
             if free(m.start(), m.end()):
@@ -279,7 +315,7 @@ def learn(docs: DataFrame, *, text: str = "text") -> Grammar:
                     for x in base:
                         seen[x[1]].add(value(t, x))
                     free = _apart(base)
-                    seen[-1].update(m[0] for m in CANDIDATE.finditer(t) if free(*m.span()))
+                    seen[-1].update((m[0] for m in CANDIDATE.finditer(t) if free(*m.span())) if base else CANDIDATE.findall(t))
             for k, s in seen.items():
                 if len(s) > 20_000 or k >= 0:  # keep what can still be among the smallest
                     seen[k] = set(_smallest(s, SAMPLE_VALUES if k >= 0 else SAMPLE_ORDINARY))
@@ -304,7 +340,8 @@ SPANS_SQL = "base array<struct<kind: string, start: long, end: long>>, spans arr
 
 def scan(docs: DataFrame, grammar: Grammar, *, text: str = "text") -> DataFrame:
     """Each row of docs, with its columns called _0, _1 and so on, and base and spans: arrays of (kind, start, end) in
-    code points, end exclusive, by start and then by kind; spans holds the base spans and those that the automata add.
+    code points, end exclusive, by start and then by kind; spans holds the base spans, those that the automata add, and
+    those of `beyond`.
 
     A null or empty text has none. Texts are read whole, at any length. Equal rows have equal spans; no rows give no
     rows. Where the sample holds fewer than
@@ -323,7 +360,7 @@ def scan(docs: DataFrame, grammar: Grammar, *, text: str = "text") -> DataFrame:
                 base, spans = [], []
                 for t in part.column(at).to_pylist():
                     own = base_spans(t) if t else []
-                    more = grammar.added(t, own) if t else []
+                    more = grammar.added(t, own) + beyond(t, own) if t else []
                     base.append(named(own))
                     spans.append(named(sorted(own + more)) if more else base[-1])
                 yield rows_to([*part.columns, base, spans], schema)

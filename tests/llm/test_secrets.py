@@ -80,3 +80,20 @@ def test_sampled_credentials_without_a_keyword_are_found(spark):
     d = spark.createDataFrame(docs, "text string")
     got = {r._0: [(x.kind, r._0[x.start : x.end]) for x in r.spans] for r in S.scan(d, S.learn(d)).collect()}
     assert all(got[f"it is {k} here"] == [("assign", k)] for k in planted) and all(got[f"so {w} on"] == [] for w in plain)
+
+
+def test_short_candidates_and_tokens_around_a_base_span(spark):
+    rng = random.Random(6)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    short = ["sk_" + hexa(9) for _ in range(30)]
+    around = ["ghp_" + hexa(24) + "XYZ", "x/" + hexa(24) + "-" + hexa(30), "AKIA" + "Z9" * 10 + "abc"]
+    alone = ["(" + hexa(24) + ".)", "mytoken=" + hexa(24), "token = " + "x-" + hexa(24)]
+    plain = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(6, 15))) for _ in range(200)] + ["2024-11-26", "555-8590", "10.20.30.40"]
+    docs = [(f"token=sk_{hexa(9)} then",) for _ in range(300)] + [(f"it is {k} here",) for k in [*short, *around, *alone, *plain]]
+    d = spark.createDataFrame(docs, "text string")
+    got = {r._0: r for r in S.scan(d, S.learn(d)).collect()}
+    spans = lambda x: {r._0[s.start : s.end] for r in [got[f"it is {x} here"]] for s in r.spans}
+    assert all(x in spans(x) for x in [*short, *around])
+    assert all(len(got[f"it is {x} here"].spans) == len(got[f"it is {x} here"]["base"]) for x in [*alone, *plain])
+    cut = {r[0] for r in S.without_secrets(d, n_chars=None).collect()}
+    assert "it is [SECRET] here" in cut and not any(x[4:20] in t for x in [*short, *around] for t in cut)

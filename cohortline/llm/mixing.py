@@ -74,8 +74,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     open_ = sources.filter("rest > 0").select("sid", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
     shift = BITS
     while True:
-        shift -= 10 if shift > 10 else shift
-        wide = shift + (10 if shift + 10 <= BITS else 0)
+        wide = shift  # at which the prefixes are taken
+        shift -= min(10, shift)
         inside = rows.drop("rest").join(small(open_), "sid").filter(F.shiftright("part", wide) == F.col("prefix"))
         sums = inside.groupBy("sid", F.shiftright("part", shift).alias("sub")).agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("before"))
         run = F.sum("w").over(Window.partitionBy("sid").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0))

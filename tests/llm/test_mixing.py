@@ -45,3 +45,13 @@ def test_no_rows_and_no_words(spark):
     assert mix(d).count() == 0
     d = spark.createDataFrame([(1, None, "a"), (2, " \t", None)], "doc_id long, text string, source string")
     assert [(r["size"], r.target, r.taken) for r in mix(d).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_a_budget_that_ends_among_equal_rows(spark):
+    docs = [(7, "a b c", "a")] * 40 + [(i, "x", "b") for i in range(30)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mix(d, sorted_rows=2, budget=0.5).collect()
+    want = water({"a": 120, "b": 30}, budget=0.5)
+    assert len(got) == len(docs)
+    for s, w in want.items():
+        assert sum(r.taken for r in got if r.source == s) == int(w)

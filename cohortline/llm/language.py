@@ -249,10 +249,11 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_doc
 
 
 def identify(docs: DataFrame, model: Chain, *, text: str = "text") -> DataFrame:
-    """Each row of docs, with its columns called _0, _1 and so on, and lang_pred and score.
+    """Each row of docs, with its columns called _0, _1 and so on, and lang_pred, score and certainty.
 
     lang_pred is `und` and score 0 where the text is null or has no letter, and everywhere if nothing was learned; else
-    score is the mean posterior of the language over the words with letters. Texts are read whole, at any length. Of
+    score is the mean posterior of the language over the words with letters, and certainty the mean of each word's highest
+    posterior, of whatever language, which is high in mixed texts too. Texts are read whole, at any length. Of
     languages with the same mean the first in order counts. Repeated rows are labelled each; no rows give no rows."""
     n, at = len(docs.columns), docs.columns.index(text)
 
@@ -260,23 +261,24 @@ def identify(docs: DataFrame, model: Chain, *, text: str = "text") -> DataFrame:
         for b in batches:
             data, off, _ = A.buffers(b.column(at))
             for i, j, doc, s, e, h in A.words(data, off):
-                langs, scores = ["und"] * (j - i), [0.0] * (j - i)
+                langs, scores, sure = ["und"] * (j - i), [0.0] * (j - i), [0.0] * (j - i)
                 if len(s) and model.languages:
                     emit, letters = model.emissions(data, s, e, h)
                     post = model.marginals(emit, np.diff(doc, prepend=-1) != 0)
                     begin = np.flatnonzero(np.diff(doc, prepend=-1))
                     total = np.add.reduceat(post * letters[:, None], begin, axis=0)
+                    highest = np.add.reduceat(post.max(1) * letters, begin)
                     count = np.add.reduceat(letters.astype(np.int64), begin)
-                    for d, row, c in zip(doc[begin] - i, total, count):
+                    for d, row, top, c in zip(doc[begin] - i, total, highest, count):
                         if c:
                             best = int(row.argmax())
-                            langs[d], scores[d] = model.languages[best], min(1.0, float(row[best] / c))
+                            langs[d], scores[d], sure[d] = model.languages[best], min(1.0, float(row[best] / c)), min(1.0, float(top / c))
                 columns = [x.slice(i, j - i) for x in b.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sure, pa.float64())], [*b.schema.names, "lang_pred", "score", "certainty"])
 
     out = held(docs)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    return out.mapInArrow(scan, f"{fields}, lang_pred string, score double")
+    return out.mapInArrow(scan, f"{fields}, lang_pred string, score double, certainty double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -285,13 +287,14 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def keep_identified(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", min_score: float = 0.4) -> DataFrame:
-    """docs without those whose language can't be told: no letter, or no language with a mean posterior of min_score.
+    """docs without those whose language can't be told: no letter, or words whose highest posteriors have a mean under
+    min_score. Texts in several languages stay if their words are certain.
     The model learns from the rows that aren't held out. The columns stay as they are."""
     names = docs.columns
     model = train(pick(docs, doc_id=doc_id, text=text, lang=lang).filter(~held_out()))
     if not model.languages:
         return docs
-    found = identify(docs, model, text=text).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    found = identify(docs, model, text=text).filter((F.col("lang_pred") != "und") & (F.col("certainty") >= min_score))
     return found.select(*[f"_{i}" for i in range(len(names))]).toDF(*names)
 
 

@@ -67,3 +67,17 @@ def test_nulls_no_letters_long_and_clashing(spark):
     assert kept.columns == d.columns and {r[0] for r in kept.collect()} == set(range(60)) | {103, 104, None}
     empty = d.limit(0)
     assert L.identify(empty, L.train(empty)).count() == 0 and L.identify(d, L.Chain([])).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_mixed_texts_of_certain_words_are_kept(spark):
+    words = {"en": "the dog sat with that white thing", "fr": "chien maison dans cette jolie rue bleue", "de": "hund und schwarze katze gehen nicht", "ru": "собака идет домой через большой лес"}
+    rows = [(i, f"{words[x]} " * 3, x) for i in range(80) for x in [sorted(words)[i % 4]]]
+    rows += [(100, " ".join(f"{w} " * 6 for w in words.values()), "en"), (101, "1 2 3", "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = L.train(d.filter("doc_id < 80"))
+    r = L.identify(d.filter("doc_id = 100"), m).first()
+    assert r.score < 0.4 < 0.9 < r.certainty
+    kept = {x.doc_id for x in L.keep_identified(d).collect()}
+    assert 100 in kept and 101 not in kept
+    flat = L.Chain(["a", "b", "c"])
+    assert abs(L.identify(d.filter("doc_id = 100"), flat).first().certainty - 1 / 3) < 1e-6

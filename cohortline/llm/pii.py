@@ -2,11 +2,14 @@
 
 One regular expression finds entities; each distinct entity of the corpus gets a keyed surrogate of its kind, format,
 script and, for names, gender. Surrogates that meet each other, or that are entities of the corpus themselves, are drawn
-again until all are distinct, so that one entity has one surrogate everywhere and no two share one. Texts without
-entities are neither shuffled nor changed."""
+again until all are distinct, so that one entity has one surrogate everywhere and no two share one. A name's surrogate is
+put together from those of its parts: surnames are drawn as entities of their own, once for all names that hold them, and
+given names are exchanged within their lists. Texts without entities are neither shuffled nor changed."""
 
 from __future__ import annotations
 
+import hashlib
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,11 +76,6 @@ def norm(k: Column, raw: Column) -> Column:
     return F.when(k.isin("ssn", "phone", "card"), digits).when(k == "iban", F.replace(raw, F.lit(" "))).when(k == "name", bare).otherwise(F.lower(raw))
 
 
-def gender(raw: Column) -> Column:
-    of = lambda g: raw.rlike(rf"^(?:{'|'.join(TITLES[g])})\.? |(?:^| )(?:{'|'.join(x for (y, _), v in NAMES.items() if y == g for x in v)}) ")
-    return F.when(of("f"), F.lit("f")).when(of("m"), F.lit("m")).otherwise(F.lit("n"))
-
-
 def _byte(h: Column, i: Column) -> Column:
     """The i-th number, 0 to 255, of a hash of 128 hexadecimal digits (from its start again after 64)."""
     return F.conv(F.substring(h, F.pmod(i, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -137,27 +135,35 @@ def _email(s: Column, h: Column) -> Column:
     return F.concat(_characters(F.regexp_extract(s, r"^(.*)\.", 1), h), F.lit("."), F.regexp_extract(s, r"\.([^.]*)$", 1))
 
 
-def _name(s: Column, g: Column, key: str, attempt: Column) -> Column:
-    """A given name of the gender, if there is one, and a surname of syllables, both of the script. Each part depends on
-    itself only, so a person named with and without a given name keeps one surname."""
-    parts = F.split(s, " ")
-    last = F.element_at(parts, -1)
-    script = lambda x: F.when(x.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(x.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
-    hash_of = lambda x, salt: F.sha2(F.concat_ws("\0", F.lit(key), F.lit(salt), x, attempt.cast("string")), 512)
-    h1, h2 = hash_of(F.element_at(parts, 1), "given"), hash_of(last, "surname")
-    pick_of = lambda words, h, i: F.element_at(F.array(*map(F.lit, words)), F.pmod(_byte(h, F.lit(i)) * 256 + _byte(h, F.lit(i + 1)), F.lit(len(words))) + 1)
-    given = F.coalesce(*[F.when((g.isin(y, "n")) & (script(s) == z), pick_of(words, h1, 0)) for (y, z), words in NAMES.items()])
-    surname = F.coalesce(*[F.when(script(last) == z, F.concat(*[pick_of(words, h2, i) for i in (0, 2, 4)])) for z, words in SYLLABLES.items()])
-    return F.lower(F.when(F.size(parts) > 1, F.concat(given, F.lit(" "), surname)).otherwise(surname))
+def script(x: Column) -> Column:
+    return F.when(x.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(x.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
+
+
+def given_names(key: str) -> dict[str, str]:
+    """Another listed given name of the gender and script for each, no two the same: lists in the order of keyed hashes,
+    each name by the next one."""
+    out = {}
+    for names in NAMES.values():
+        order = sorted((n.lower() for n in names), key=lambda n: hashlib.sha256(f"{key}\0given\0{n}".encode()).digest())
+        out |= dict(zip(order, order[1:] + order[:1]))
+    return out
+
+
+def _surname(s: Column, h: Column, syllables: dict[str, Column]) -> Column:
+    """Syllables of the script, as many as there are numbers in `syllables` for it."""
+    pick_of = lambda words, i: F.element_at(F.array(*map(F.lit, words)), F.pmod(_byte(h, i * 2) * 256 + _byte(h, i * 2 + 1), F.lit(len(words))) + 1)
+    made = lambda z, words: F.array_join(F.transform(F.sequence(F.lit(0), syllables[z] - 1), lambda i: pick_of(words, i)), "")
+    return F.coalesce(*[F.when(script(s) == z, made(z, words)) for z, words in SYLLABLES.items()])
 
 
-def surrogate(k: Column, n: Column, g: Column, key: str, attempt: Column) -> Column:
-    """The normal form of an entity's surrogate at an attempt."""
+def surrogate(k: Column, n: Column, key: str, attempt: Column, syllables: dict[str, int]) -> Column:
+    """The normal form of an entity's surrogate at an attempt; a surname gets a syllable more every fourth attempt."""
     h = F.sha2(F.concat_ws("\0", F.lit(key), k, n, attempt.cast("string")), 512)
     country = F.when(F.length(n) > 10, F.length(n) - 10).otherwise(0)  # a phone number's leading digits
+    longer = {z: F.lit(x) + F.floor(attempt / 4).cast("int") for z, x in syllables.items()}
     return (
         F.when(k == "email", _email(n, h)).when(k == "ip", _ip(n, h)).when(k == "card", _card(n, h)).when(k == "iban", _iban(n, h))
-        .when(k == "phone", _characters(n, h, country)).when(k == "name", _name(n, g, key, attempt))
+        .when(k == "phone", _characters(n, h, country)).when(k == "surname", _surname(n, h, longer))
         .when(k == "ip6", F.array_join(F.transform(F.split(n, ""), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex(F.pmod(_byte(h, i), F.lit(16)).cast("long"))))), "")).otherwise(_characters(n, h))
     )
 
@@ -174,19 +180,36 @@ def dressed(k: Column, raw: Column, s: Column) -> Column:
     return F.when(k.isin("phone", "card", "ssn"), digits).when(k == "iban", iban).when(k == "name", F.concat(title, F.initcap(s))).when(F.length(s) == F.length(raw), cased).otherwise(s)
 
 
-def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """kind, norm, gender of distinct entities, with the surrogate's normal form `to`: distinct within the kind, and no
-    entity itself. Of those that meet, the one with the least normal form keeps its draw."""
+def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
+    """kind and norm of distinct entities, with the surrogate's normal form `to`: distinct within the kind, and no entity
+    itself. Of those that meet, the one with the least normal form keeps its draw."""
+    given = given_names(key)
+    names = entities.filter(F.col("kind") == "name").select("norm", F.posexplode(F.split("norm", " ")).alias("place", "part"), F.size(F.split("norm", " ")).alias("n"))
+    # a listed given name is one only before another part
+    names = saved(names.withColumn("given", (F.col("place") < F.col("n") - 1) & F.col("part").isin(*given)))
+    surnames = names.filter(~F.col("given")).select(F.lit("surname").alias("kind"), F.col("part").alias("norm")).distinct()
+    to = saved(_drawn(saved(entities.filter(F.col("kind") != "name").unionByName(surnames)), key, rounds))
+    same = names.join(to.filter(F.col("kind") == "surname").select(F.col("norm").alias("part"), "to"), "part", "left")
+    other = F.element_at(F.create_map(*[F.lit(x) for pair in given.items() for x in pair]), F.col("part"))
+    same = same.groupBy("norm").agg(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("given"), other).otherwise(F.col("to")).alias("to")))).alias("x"))
+    return to.filter(F.col("kind") != "surname").unionByName(same.select(F.lit("name").alias("kind"), "norm", F.array_join(F.col("x.to"), " ").alias("to")))
+
+
+def _drawn(entities: DataFrame, key: str, rounds: int) -> DataFrame:
+    """kind, norm and `to` of distinct entities that aren't names. Surnames have three syllables, and more where there
+    are many of them, so that at most one in eight draws of a script meets another."""
+    numbers = {r.z: r.n for r in entities.filter(F.col("kind") == "surname").groupBy(script(F.col("norm")).alias("z")).agg(F.count("*").alias("n")).collect()}
+    syllables = {z: max(3, math.ceil(math.log(8 * numbers.get(z, 1)) / math.log(len(words)))) for z, words in SYLLABLES.items()}
     real = entities.select("kind", F.col("norm").alias("to"))
     now = entities.withColumn("attempt", F.lit(0))
-    for _ in range(ROUNDS):
-        drawn = now.withColumn("to", surrogate(F.col("kind"), F.col("norm"), F.col("gender"), key, F.col("attempt")))
+    for _ in range(rounds):
+        drawn = now.withColumn("to", surrogate(F.col("kind"), F.col("norm"), key, F.col("attempt"), syllables))
         first = F.row_number().over(Window.partitionBy("kind", "to").orderBy("attempt", "norm"))
         drawn = drawn.withColumn("place", first).join(real.withColumn("taken", F.lit(True)), ["kind", "to"], "left")
         drawn = saved(drawn.withColumn("again", (F.col("place") > 1) | F.coalesce("taken", F.lit(False))))
         if not drawn.filter("again").limit(1).count():
             return drawn.select("kind", "norm", "to")
-        now = drawn.select("kind", "norm", "gender", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
+        now = drawn.select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
     tag = F.concat(F.lit("id-"), F.substring(F.sha2(F.concat_ws("\0", F.lit(key), "kind", "norm"), 256), 1, 32))
     return drawn.select("kind", "norm", F.when(F.col("again"), tag).otherwise(F.col("to")).alias("to"))
 
@@ -205,7 +228,7 @@ def pseudonymise(docs: DataFrame, *, text: str = "text", key: str) -> DataFrame:
     raw = dirty.select("__text", F.explode(F.array_distinct(F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)))).alias("raw")).distinct()
     raw = raw.withColumn("kind", kind(F.col("raw"))).withColumn("norm", norm(F.col("kind"), F.col("raw")))
     mentions = saved(raw)
-    entities = mentions.withColumn("g", F.when(F.col("kind") == "name", gender(F.col("raw"))).otherwise(F.lit("n"))).groupBy("kind", "norm").agg(F.min("g").alias("gender"))
+    entities = mentions.select("kind", "norm").distinct()
     to = surrogates(saved(entities), key)
     by_text = mentions.join(to, ["kind", "norm"]).select("__text", F.struct("raw", dressed(F.col("kind"), F.col("raw"), F.col("to"))).alias("e")).groupBy("__text").agg(F.map_from_entries(F.collect_list("e")).alias("__map"))
     found = F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))

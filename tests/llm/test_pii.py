@@ -66,3 +66,21 @@ def test_distinct_and_never_an_entity(spark):
     new = [r._1 for r in P.pseudonymise(d, key="k").collect()]
     assert len(set(new)) == len(ips) and not set(new) & set(ips)
     assert P.pseudonymise(d.limit(0), key="k").count() == 0
+
+
+def test_one_surrogate_of_a_surname_in_all_names(spark):
+    sur = sorted({a + b + c for a in ("Bar", "Kel", "Mor", "Tan") for b in "aeiou" for c in ("ck", "dt", "ff", "gg", "ll", "mm", "nn", "pp", "rr", "ss", "tt", "zz")})
+    greek = ["Π" + a + b + c for a in "αειου" for b in "βγδζθκλμνξ" for c in "αεηιο"]
+    rows = [(f"Mr {x}", f"Mrs Anna {x}", f"Peter {x}") for x in [*sur, *(f"{x}{y}" for x in sur for y in ("er", "in", "ow")), *greek]]
+    d = spark.createDataFrame([(" ; ".join(r),) for r in rows], "text string")
+    got = [re.fullmatch(r"Mr (\w+) ; Mrs (\w+) (\w+) ; (\w+) (\w+)", r[0]) for r in P.pseudonymise(d, key="k").collect()]
+    assert len(got) == len(rows) and all(m and m[1] == m[3] == m[5] for m in got)
+    assert len({m[1] for m in got}) == len(rows) and not {m[1] for m in got} & {r[0][3:] for r in rows}
+    assert {m[2] for m in got} <= set(P.NAMES["f", "latin"]) - {"Anna"} and len({m[2] for m in got}) == 1
+
+
+def test_the_space_of_surnames_grows(spark, monkeypatch):
+    monkeypatch.setitem(P.SYLLABLES, "latin", ["ba", "do"])
+    d = spark.createDataFrame([(f"Mr K{a}{b}x",) for a in "aeiou" for b in "bcdfglmnrst"], "text string")
+    got = {r[0] for r in P.pseudonymise(d, key="k").collect()}
+    assert len(got) == 55 and all(re.fullmatch(r"Mr (Ba|Do)(ba|do)+", t) for t in got)

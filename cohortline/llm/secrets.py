@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import held, pick, rows_to, table
+from ._spark import held, pick, rows_to, saved, table
 
 KINDS = ("assign", "access", "hex")
 #: Values of each kind, and ordinary candidates, that the automata are inferred from at most.
@@ -121,52 +121,63 @@ _GROUPS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOP
 _SYMBOL = {c: i for i, g in enumerate(_GROUPS) for c in g}
 _SIZES = np.array([len(g) for g in _GROUPS], float)
 ALPHABET = len(_GROUPS)
-STOP = ALPHABET
+#: Lengths up to this one are told apart; beyond it, their powers of two.
+LENGTHS = 64
+
+
+def opening(v: list[int]) -> list[int]:
+    """The two symbols that a string begins with: one of the set of its kinds of characters, and one of its length. In
+    automata they follow the alphabet's own: what comes first decides which states the characters go through."""
+    n = len(v)
+    length = n if n <= LENGTHS else LENGTHS + (n - 1).bit_length() - 6
+    return [ALPHABET + sum(1 << c for c in set(v)), -1 - length]
 
 
 class Automaton:
     """A probabilistic deterministic automaton, inferred by merging compatible states of a prefix tree.
 
-    Two states are compatible if no frequency of a symbol, of stopping, or of what follows it differs by more than
-    Hoeffding's bound allows. Blue states (children of red ones) are merged into the first compatible red state, in the
-    order of their first visits, or become red."""
+    A string goes from the start by the set of its kinds of characters to one state, by its length to the next, and on by
+    its characters. Two states of the same of these three levels are compatible if no frequency of a symbol, or of what
+    follows it, differs by more than Hoeffding's bound allows. Blue states (children of red ones) are merged into the first
+    compatible red state, in the order of their first visits, or become red."""
 
     def __init__(self, values: list[list[int]], alpha: float = 0.05):
-        self.next: list[list[int]] = [[-1] * ALPHABET]
-        self.counts = [[0] * (ALPHABET + 1)]
+        self.next: list[dict[int, int]] = [{}]
+        self.counts: list[dict[int, int]] = [{}]
+        self.level = [0]
         for v in values:
             at = 0
-            for c in v:
-                self.counts[at][c] += 1
-                if self.next[at][c] < 0:
-                    self.next.append([-1] * ALPHABET)
-                    self.counts.append([0] * (ALPHABET + 1))
-                    self.next[at][c] = len(self.next) - 1
+            for c in [*opening(v), *v]:
+                self.counts[at][c] = self.counts[at].get(c, 0) + 1
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.level.append(min(self.level[at] + 1, 2))
+                    self.next.append({})
+                    self.counts.append({})
                 at = self.next[at][c]
-            self.counts[at][STOP] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
-        p = np.array([[x + 0.05 for x in c] for c in self.counts])
-        self.logs = np.log(p / p.sum(1, keepdims=True))
-        self.logs[:, :ALPHABET] -= np.log(_SIZES)  # of one character, not of its kind
+        # at the start and after it, unseen symbols have the weight of one of a tenth; characters are of their kinds' sizes
+        self.opening = [{c: math.log(n / (sum(k.values()) + 0.1)) for c, n in k.items()} | {None: math.log(0.1 / (sum(k.values()) + 0.1))} for k in self.counts]
+        p = np.array([[k.get(c, 0) + 0.05 for c in range(ALPHABET)] for k in self.counts])
+        self.logs = np.log(p / p.sum(1, keepdims=True)) - np.log(_SIZES)  # of one character, not of its kind
 
-    def _differ(self, a: list[int], b: list[int]) -> bool:
-        n, m = sum(a), sum(b)
+    def _differ(self, a: dict[int, int], b: dict[int, int]) -> bool:
+        n, m = sum(a.values()), sum(b.values())
         if not n or not m:
             return False
         limit = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-        return any(abs(x / n - y / m) > limit for x, y in zip(a, b))
+        return any(abs(a.get(c, 0) / n - b.get(c, 0) / m) > limit for c in a.keys() | b.keys())
 
     def _compatible(self, red: int, blue: int) -> bool:
+        if self.level[red] != self.level[blue]:
+            return False
         todo = [(red, blue)]
         while todo:
             r, b = todo.pop()
             if self._differ(self.counts[r], self.counts[b]):
                 return False
-            for c in range(ALPHABET):
-                x, y = self.next[r][c], self.next[b][c]
-                if x >= 0 and y >= 0:
-                    todo.append((x, y))
+            todo += [(self.next[r][c], y) for c, y in self.next[b].items() if c in self.next[r]]
         return True
 
     def _fold(self, red: int, blue: int) -> None:
@@ -174,21 +185,18 @@ class Automaton:
         todo = [(red, blue)]
         while todo:
             r, b = todo.pop()
-            for c in range(ALPHABET + 1):
-                self.counts[r][c] += self.counts[b][c]
-            for c in range(ALPHABET):
-                y = self.next[b][c]
-                if y >= 0:
-                    x = self.next[r][c]
-                    if x < 0:
-                        self.next[r][c] = y
-                    else:
-                        todo.append((x, y))
+            for c, n in self.counts[b].items():
+                self.counts[r][c] = self.counts[r].get(c, 0) + n
+            for c, y in self.next[b].items():
+                if c in self.next[r]:
+                    todo.append((self.next[r][c], y))
+                else:
+                    self.next[r][c] = y
 
     def _merge(self) -> None:
         red, seen = [0], {0}
         while True:
-            blue = next(((r, c) for r in red for c in range(ALPHABET) if self.next[r][c] >= 0 and self.next[r][c] not in seen), None)
+            blue = next(((r, c) for r in red for c, y in self.next[r].items() if y not in seen), None)
             if blue is None:
                 break
             r, c = blue
@@ -201,16 +209,26 @@ class Automaton:
                 self.next[r][c] = into
                 self._fold(into, b)
         number = {x: i for i, x in enumerate(red)}
-        self.next = [[number.get(y, -1) for y in self.next[x]] for x in red]
+        self.level = [self.level[x] for x in red]
+        self.next = [{c: number[y] for c, y in self.next[x].items()} for x in red]
         self.counts = [self.counts[x] for x in red]
 
+    def knows(self, v: list[int]) -> bool:
+        """Whether a value with the same kinds of characters and the same length is among those it is inferred from."""
+        first, length = opening(v)
+        return first in self.next[0] and length in self.counts[self.next[0][first]]
+
     def score(self, v: list[int]) -> float:
-        """Log probability of a value; a character that no value has at a state has a small one, and the state stays."""
-        at, total, logs, nxt = 0, 0.0, self.logs, self.next
+        """Log probability of a value. A symbol that no value has at a state has a small one; at the start the most visited
+        state of the next level follows, later the state stays."""
+        at, total = 0, 0.0
+        for c in opening(v):
+            total += self.opening[at].get(c, self.opening[at][None])
+            at = self.next[at][c] if c in self.next[at] else max(self.next[at].items(), key=lambda x: (self.counts[at][x[0]], -x[0]), default=(0, at))[1]
         for c in v:
-            total += logs[at, c]
-            at = nxt[at][c] if nxt[at][c] >= 0 else at
-        return total + logs[at, STOP]
+            total += self.logs[at, c]
+            at = self.next[at].get(c, at)
+        return total
 
 
 class Ordinary:
@@ -241,12 +259,12 @@ class Grammar:
     the ordinary model does, as a whole, so that a short one needs more evidence for each character.
 
     The sample of candidates isn't labelled, so those that are credentials by this rule don't count as ordinary; what is
-    left gives the ordinary model anew. It begins with no candidate, or, if that leaves out most of them, with all."""
+    left gives the ordinary model anew. It begins with those whose set of kinds of characters and length no labelled value has,
+    or, if that leaves out most of them, with all."""
 
     def __init__(self, values: dict[int, list[str]], ordinary: list[str]):
         self.automata = {k: Automaton([symbols(v) for v in vs]) for k, vs in sorted(values.items()) if len(vs) >= MIN_VALUES}
-        self._set([])
-        rest = self._plain(ordinary)
+        rest = [v for v in ordinary if not any(a.knows(symbols(v)) for a in self.automata.values())]
         if len(rest) < len(ordinary) / 2:
             rest = ordinary
         for _ in range(REFITS):
@@ -261,12 +279,15 @@ class Grammar:
         self.cache: dict[str, int] = {}
         # over all kinds, the most that a character can add to the odds by bigrams of characters, after another one
         chars, logs = list(self.ordinary.at), self.ordinary.logs
-        most = [np.append(a.logs[:, :ALPHABET].max(0), a.logs[:, STOP].max()) for a in self.automata.values()]
+        most = [np.append(a.logs.max(0), 0.0) for a in self.automata.values()]
         best = np.max(most, axis=0)[[_SYMBOL.get(c, ALPHABET) for c in chars]] if most else np.full(len(chars), -np.inf)
         self.gain = {c: dict(zip(chars, (best - logs[i]).tolist())) for i, c in enumerate(chars)}
 
     def _plain(self, ordinary: list[str]) -> list[str]:
-        return [v for v in ordinary if self.kind(v) < 0]
+        """Those that count as ordinary. With the characters and length of labelled values, a candidate that an automaton
+        makes likelier at all doesn't, else the few below the level would draw all others of their format after them."""
+        like = lambda v: any(a.knows(symbols(v)) and self.odds(k, v) > 0 for k, a in self.automata.items())
+        return [v for v in ordinary if self.kind(v) < 0 and not like(v)]
 
     def odds(self, kind: int, v: str) -> float:
         return self.automata[kind].score(symbols(v)) - self.ordinary.score(v)
@@ -322,7 +343,7 @@ def learn(docs: DataFrame, *, text: str = "text") -> Grammar:
         rows = [(k, v) for k, s in seen.items() for v in _smallest(s, SAMPLE_VALUES if k >= 0 else SAMPLE_ORDINARY)]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.string())], ["kind", "value"])
 
-    found = pick(docs, text=text).mapInArrow(values, "kind int, value string").distinct()
+    found = saved(pick(docs, text=text).mapInArrow(values, "kind int, value string").distinct())
     got: dict[int, list[str]] = {}
     keyed = found.withColumn("h", F.crc32(F.col("value").cast("binary")))
     for k in range(-1, len(KINDS)):

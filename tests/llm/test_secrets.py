@@ -31,7 +31,7 @@ def test_merging_keeps_counts_and_learns_a_format():
     rng = random.Random(1)
     values = ["sk_" + "".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(200)]
     a = S.Automaton([S.symbols(v) for v in values])
-    assert len(a.next) < 12 and sum(c[S.STOP] for c in a.counts) == 200
+    assert len(a.next) < 12 and sum(a.counts[0].values()) == 200 and sum(sum(c.values()) for c, k in zip(a.counts, a.level) if k == 1) == 200
     words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(16, 22))) for _ in range(500)]
     g = S.Grammar({0: values, 1: [], 2: []}, words)
     more = "sk_" + "".join(rng.choice("0123456789abcdef") for _ in range(20))
@@ -97,3 +97,21 @@ def test_short_candidates_and_tokens_around_a_base_span(spark):
     assert all(len(got[f"it is {x} here"].spans) == len(got[f"it is {x} here"]["base"]) for x in [*alone, *plain])
     cut = {r[0] for r in S.without_secrets(d, n_chars=None).collect()}
     assert "it is [SECRET] here" in cut and not any(x[4:20] in t for x in [*short, *around] for t in cut)
+
+
+def test_states_tell_formats_apart_and_unlabelled_credentials_of_each_are_added(spark):
+    rng = random.Random(8)
+    of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, up, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    kinds = [lambda: "ghp_" + of(mixed, 36), lambda: of(up, 32), lambda: "-".join(of(low, n) for n in (8, 4, 4, 4, 12))]
+    a = S.Automaton([S.symbols(k()) for k in kinds for _ in range(100)])
+    assert len(a.next) > 8 and a.level.count(2) > 3
+    score = [a.score(S.symbols(k())) for k in kinds]
+    assert all(x > a.score(S.symbols(of(mixed, n))) + 20 for x, n in zip(score, (40, 32, 36)))
+    planted = [k() for k in kinds for _ in range(20)]
+    plain = [of("etaoinshr", rng.randint(6, 20)) for _ in range(300)] + ["2024-11-26", "http://www.example.org/index.html", "INTERNATIONAL"]
+    docs = [(f"api_key={k()} then",) for k in kinds for _ in range(120)] + [(f"it is {x} here",) for x in [*planted, *plain]]
+    d = spark.createDataFrame(docs, "text string")
+    got = {r._0: r for r in S.scan(d, S.learn(d)).collect()}
+    assert [(v, got[f"it is {v} here"].spans) for v in planted if [(x.start, x.end) for x in got[f"it is {v} here"].spans] != [(6, 6 + len(v))]] == []
+    assert all(not got[f"it is {v} here"].spans for v in plain)

@@ -1,10 +1,12 @@
 """Surrogates for personal data, in built-in functions only.
 
 One regular expression finds entities; each distinct entity of the corpus gets a keyed surrogate of its kind, format,
-script and, for names, gender. Surrogates that meet each other, or that are entities of the corpus themselves, are drawn
-again until all are distinct, so that one entity has one surrogate everywhere and no two share one. A name's surrogate is
-put together from those of its parts: surnames are drawn as entities of their own, once for all names that hold them, and
-given names are exchanged within their lists. Texts without entities are neither shuffled nor changed."""
+script and, for names, gender. Numbers and addresses go through a keyed permutation of all values of their format, which
+leaves none as it is, so that no two share a surrogate. Surrogates that are entities of the corpus themselves are drawn
+again by another key, unless the corpus holds a quarter of the format's values or more: then a surrogate can be another
+entity's value. A name's surrogate is put together from those of its parts: surnames are drawn as entities of their own,
+once for all names that hold them, again until distinct, and given names are exchanged within their lists. Texts without
+entities are neither shuffled nor changed."""
 
 from __future__ import annotations
 
@@ -60,8 +62,15 @@ ENTITY = (
     _START + "(?:(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in _NUMBERS) + ")|(?=[0-9A-Fa-f]{1,4}:)" + PATTERNS["ip6"]
     + r"|(?=\p{Lu})(?:" + "|".join(PATTERNS[k] for k in _CAPITALS) + ")|" + PATTERNS["email"] + ")"
 )
-#: Times that a colliding surrogate is drawn again before it is made of the entity's hash, whatever its format.
+#: Times that surrogates are drawn, at most; a surname is longer at every fourth.
 ROUNDS = 30
+#: Rounds of the permutation, and the share of a format's values from which the corpus fills it.
+FEISTEL, FULL = 4, 0.25
+#: What positions of a format hold: a character of an alphabet, of hexadecimal digits, or an octet of one, two or three
+#: digits; and how many values each has.
+HEX, OCTET = len(ALPHABETS), len(ALPHABETS) + 1
+CHARACTERS = [*ALPHABETS, "0123456789abcdef"]
+RADICES = [*map(len, CHARACTERS), 10, 90, 156]
 
 
 def kind(raw: Column) -> Column:
@@ -81,20 +90,57 @@ def _byte(h: Column, i: Column) -> Column:
     return F.conv(F.substring(h, F.pmod(i, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
-def _characters(s: Column, h: Column, keep: Column | None = None) -> Column:
-    """Each letter or digit by another of its alphabet, except for the first `keep` characters."""
-    chars = F.split(s, "")
+def _cases(of: Column, values: list) -> Column:
+    """The value at a number, of a list."""
+    return F.element_at(F.array(*map(F.lit, values)), of + 1)
 
-    def swap(c: Column, i: Column) -> Column:
-        low = F.lower(c)
-        # two numbers of the hash for a letter, and its place, so that long entities don't repeat
-        n = _byte(h, i) + _byte(h, i * 7 + 13) * 3 + i
-        out = reduce(lambda acc, a: acc.when(F.instr(F.lit(a), low) > 0, F.substring(F.lit(a), F.pmod(n, F.lit(len(a))) + 1, F.lit(1))), ALPHABETS[1:], F.when(c.rlike("^[0-9]$"), F.pmod(n, F.lit(10)).cast("string")))
-        out = out.when(c.rlike(r"^\p{L}$"), F.substring(F.lit(ALPHABETS[1]), F.pmod(n, F.lit(26)) + 1, F.lit(1))).otherwise(c)
-        out = F.when(c.rlike(r"^\p{Lu}$"), F.upper(out)).otherwise(out)
-        return out if keep is None else F.when(i < keep, c).otherwise(out)
 
-    return F.array_join(F.transform(chars, swap), "")
+def _free(k: Column, n: Column) -> Column:
+    """The part of an entity's normal form whose characters are exchanged: a mail address but for its top domain, a card's
+    digits but the last, an account but for its country and check digits."""
+    return (
+        F.when(k == "email", F.regexp_extract(n, r"^(.*)\.", 1)).when(k == "card", F.substring(n, F.lit(1), F.length(n) - 1))
+        .when(k == "iban", F.lower(F.substring(n, F.lit(5), F.length(n)))).otherwise(n)
+    )
+
+
+def _pieces(k: Column, n: Column) -> Column:
+    return F.when(k == "ip", F.split(n, r"\.")).otherwise(F.split(_free(k, n), ""))
+
+
+def _holds(k: Column, n: Column, pieces: Column) -> Column:
+    """What each piece holds, as a place in RADICES, or -1 where it stays: signs, a card's first digit and a phone number's
+    leading ones. A letter of no alphabet is as if it were a Latin one."""
+    keep = F.when(k == "card", 1).when((k == "phone") & (F.length(n) > 10), F.length(n) - 10).otherwise(0)
+    character = lambda c: F.coalesce(*[F.when(F.instr(F.lit(a), c) > 0, i) for i, a in enumerate(ALPHABETS)], F.when(c.rlike(r"^\p{L}$"), 1), F.lit(-1))
+    held = lambda c, i: F.when(k == "ip", F.length(c) + (OCTET - 1)).when(i < keep, -1).when((k == "ip6") & (c != ":"), HEX).otherwise(character(c))
+    return F.transform(pieces, held)
+
+
+def _numbers(pieces: Column, holds: Column) -> Column:
+    """Each piece's number among the values of what it holds."""
+    place = lambda c, h: F.coalesce(*[F.when(h == i, F.instr(F.lit(a), c) - 1) for i, a in enumerate(CHARACTERS)])
+    one = lambda c, h: F.when(h < 0, 0).when(h >= OCTET, c.try_cast("int") - _cases(h - OCTET, [0, 10, 100])).otherwise(F.when(F.instr(_cases(h, CHARACTERS), c) > 0, place(c, h)).otherwise(F.pmod(F.ascii(c), F.lit(26))))
+    return F.zip_with(pieces, holds, one)
+
+
+def _permuted(v: Column, radices: Column, key: str, tweak: Column) -> Column:
+    """Numbers of the same radices, by a bijection without a fixed point: a Feistel network over the numbers at even and
+    at odd places, one step up of the first number that can change, and the network's inverse."""
+
+    def rounds(v: Column, order: list[int], sign: int) -> Column:
+        def one(acc: Column, r: Column) -> Column:
+            other = F.array_join(F.transform(F.filter(acc, lambda x, i: i % 2 != r % 2), lambda x: x.cast("string")), ",")
+            h = F.sha2(F.concat_ws("\0", F.lit(key), tweak, r.cast("string"), other), 512)
+            add = lambda i: sign * (_byte(h, i * 2) * 256 + _byte(h, i * 2 + 1))
+            return F.transform(acc, lambda x, i: F.when(i % 2 == r % 2, F.pmod(x + add(i), F.element_at(radices, i + 1))).otherwise(x))
+
+        return F.aggregate(F.array(*map(F.lit, order)), v, one)
+
+    first = F.array_position(F.transform(radices, lambda r: (r > 1).cast("int")), 1)
+    up = lambda w: F.transform(w, lambda x, i: F.when(i + 1 == first, F.pmod(x + 1, F.element_at(radices, i + 1))).otherwise(x))
+    order = list(range(FEISTEL))
+    return rounds(up(rounds(v, order, 1)), order[::-1], -1)
 
 
 def _luhn(digits: Column) -> Column:
@@ -104,35 +150,29 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(add, F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def _card(digits: Column, h: Column) -> Column:
-    """The first digit stays, and so does whether the number is valid."""
-    drawn = _characters(digits, h, F.lit(1))
-    body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
-    right = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10))
-    wrong = F.pmod(right + 1 + F.pmod(_byte(h, F.lit(40)), F.lit(9)), F.lit(10))
-    return F.concat(body, F.when(_luhn(digits) == 0, right).otherwise(wrong).cast("string"))
-
-
 def _mod97(s: Column) -> Column:
     step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
     return F.aggregate(F.split(s, ""), F.lit(0), step)
 
 
-def _iban(s: Column, h: Column) -> Column:
-    """The country stays, and the check digits are right."""
-    country, body = F.substring(s, 1, 2), _characters(F.substring(s, F.lit(5), F.length(s)), h)
-    return F.concat(country, F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0"), body)
-
+def _account(s: Column) -> Column:
+    """An account's right check digits, as a number."""
+    return 98 - _mod97(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 2), F.lit("00")))
 
-def _ip(s: Column, h: Column) -> Column:
-    """Octets with as many digits as before."""
-    octet = lambda x, i: F.when(F.length(x) == 1, 1 + F.pmod(_byte(h, i), F.lit(9))).when(F.length(x) == 2, 10 + F.pmod(_byte(h, i), F.lit(90))).otherwise(100 + F.pmod(_byte(h, i), F.lit(156))).cast("string")
-    return F.array_join(F.transform(F.split(s, r"\."), octet), ".")
 
-
-def _email(s: Column, h: Column) -> Column:
-    """Every character before the last dot by another of its alphabet; the top domain stays."""
-    return F.concat(_characters(F.regexp_extract(s, r"^(.*)\.", 1), h), F.lit("."), F.regexp_extract(s, r"\.([^.]*)$", 1))
+def _put(k: Column, n: Column, pieces: Column, holds: Column, v: Column) -> Column:
+    """The normal form with other numbers in its pieces. What checks a number is off by as much as before: by nothing, if
+    it was right."""
+    text = lambda h, x: F.when(h >= OCTET, (x + _cases(h - OCTET, [0, 10, 100])).cast("string")).otherwise(F.substring(_cases(F.least(h, F.lit(HEX)), CHARACTERS), x + 1, F.lit(1)))
+    new = F.zip_with(F.zip_with(holds, v, lambda h, x: F.when(h >= 0, text(h, x))), pieces, lambda t, c: F.coalesce(t, c))
+    body = F.array_join(new, "")
+    last = F.substring(n, F.length(n), F.lit(1)).try_cast("int")
+    checked = lambda b: F.pmod(10 - _luhn(F.concat(b, F.lit("0"))), F.lit(10))
+    card = F.concat(body, F.pmod(checked(body) + last - checked(_free(k, n)), F.lit(10)).cast("string"))
+    raised = F.concat(F.substring(n, 1, 4), F.upper(body))
+    off = F.substring(n, F.lit(3), F.lit(2)).try_cast("int") - _account(n)
+    iban = F.concat(F.substring(n, 1, 2), F.lpad(F.pmod(_account(raised) + off, F.lit(100)).cast("string"), 2, "0"), F.upper(body))
+    return F.when(k == "ip", F.array_join(new, ".")).when(k == "card", card).when(k == "iban", iban).when(k == "email", F.concat(body, F.lit("."), F.regexp_extract(n, r"\.([^.]*)$", 1))).otherwise(body)
 
 
 def script(x: Column) -> Column:
@@ -156,18 +196,6 @@ def _surname(s: Column, h: Column, syllables: dict[str, Column]) -> Column:
     return F.coalesce(*[F.when(script(s) == z, made(z, words)) for z, words in SYLLABLES.items()])
 
 
-def surrogate(k: Column, n: Column, key: str, attempt: Column, syllables: dict[str, int]) -> Column:
-    """The normal form of an entity's surrogate at an attempt; a surname gets a syllable more every fourth attempt."""
-    h = F.sha2(F.concat_ws("\0", F.lit(key), k, n, attempt.cast("string")), 512)
-    country = F.when(F.length(n) > 10, F.length(n) - 10).otherwise(0)  # a phone number's leading digits
-    longer = {z: F.lit(x) + F.floor(attempt / 4).cast("int") for z, x in syllables.items()}
-    return (
-        F.when(k == "email", _email(n, h)).when(k == "ip", _ip(n, h)).when(k == "card", _card(n, h)).when(k == "iban", _iban(n, h))
-        .when(k == "phone", _characters(n, h, country)).when(k == "surname", _surname(n, h, longer))
-        .when(k == "ip6", F.array_join(F.transform(F.split(n, ""), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex(F.pmod(_byte(h, i), F.lit(16)).cast("long"))))), "")).otherwise(_characters(n, h))
-    )
-
-
 def dressed(k: Column, raw: Column, s: Column) -> Column:
     """A surrogate's normal form in the format of a mention: its signs and spaces, capitals and title."""
     chars = F.split(raw, "")
@@ -181,37 +209,71 @@ def dressed(k: Column, raw: Column, s: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
-    """kind and norm of distinct entities, with the surrogate's normal form `to`: distinct within the kind, and no entity
-    itself. Of those that meet, the one with the least normal form keeps its draw."""
+    """kind and norm of distinct entities, with the surrogate's normal form `to`, distinct within the kind and not the
+    entity itself."""
     given = given_names(key)
     names = entities.filter(F.col("kind") == "name").select("norm", F.posexplode(F.split("norm", " ")).alias("place", "part"), F.size(F.split("norm", " ")).alias("n"))
     # a listed given name is one only before another part
     names = saved(names.withColumn("given", (F.col("place") < F.col("n") - 1) & F.col("part").isin(*given)))
     surnames = names.filter(~F.col("given")).select(F.lit("surname").alias("kind"), F.col("part").alias("norm")).distinct()
-    to = saved(_drawn(saved(entities.filter(F.col("kind") != "name").unionByName(surnames)), key, rounds))
+    to = saved(_permutations(entities.filter(F.col("kind") != "name"), key, rounds).unionByName(_surnames(surnames, key, rounds)))
     same = names.join(to.filter(F.col("kind") == "surname").select(F.col("norm").alias("part"), "to"), "part", "left")
     other = F.element_at(F.create_map(*[F.lit(x) for pair in given.items() for x in pair]), F.col("part"))
     same = same.groupBy("norm").agg(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("given"), other).otherwise(F.col("to")).alias("to")))).alias("x"))
     return to.filter(F.col("kind") != "surname").unionByName(same.select(F.lit("name").alias("kind"), "norm", F.array_join(F.col("x.to"), " ").alias("to")))
 
 
-def _drawn(entities: DataFrame, key: str, rounds: int) -> DataFrame:
-    """kind, norm and `to` of distinct entities that aren't names. Surnames have three syllables, and more where there
-    are many of them, so that at most one in eight draws of a script meets another."""
-    numbers = {r.z: r.n for r in entities.filter(F.col("kind") == "surname").groupBy(script(F.col("norm")).alias("z")).agg(F.count("*").alias("n")).collect()}
+def _permutations(entities: DataFrame, key: str, rounds: int) -> DataFrame:
+    """kind, norm and `to` of numbers and addresses. Of a format that isn't full, those that became an entity of the corpus
+    or met another surrogate go through the permutation of the next attempt's key; a format with such ones after the last
+    attempt counts as full. In a full one all have the first attempt's surrogates."""
+    k, n = F.col("kind"), F.col("norm")
+    parts = entities.withColumn("pieces", _pieces(k, n)).withColumn("holds", _holds(k, n, F.col("pieces")))
+    parts = parts.withColumn("format", F.concat_ws("\0", k, F.array_join(F.zip_with("holds", "pieces", lambda h, c: F.when(h < 0, c).otherwise(h.cast("string"))), "|"), F.when(k == "email", F.regexp_extract(n, r"\.([^.]*)$", 1)), F.when(k == "iban", F.substring(n, 1, 2))))
+    parts = parts.withColumns({"v": _numbers(F.col("pieces"), F.col("holds")), "radices": F.transform("holds", lambda h: F.when(h < 0, 1).otherwise(_cases(F.greatest(h, F.lit(0)), RADICES)))})
+    values = F.aggregate("radices", F.lit(0.0), lambda a, r: a + F.ln(r.cast("double")))
+    sizes = parts.groupBy("format").agg(F.count("*").alias("n"), F.max(values).alias("log")).select("format", (F.ln(F.col("n").cast("double")) >= F.col("log") + math.log(FULL)).alias("full"))
+    now = saved(parts.join(sizes, "format").withColumn("attempt", F.lit(0)))
+    real = entities.select("kind", n.alias("to")).withColumn("taken", F.lit(True))
+    to = _put(k, n, F.col("pieces"), F.col("holds"), _permuted(F.col("v"), F.col("radices"), key, F.concat_ws("\0", "format", F.col("attempt").cast("string"))))
+    for r in range(rounds + 1):
+        drawn = now.withColumn("to", to)
+        first = F.row_number().over(Window.partitionBy("kind", "to").orderBy("attempt", "norm"))
+        drawn = drawn.withColumn("place", first).join(real, ["kind", "to"], "left")
+        # letters of no alphabet make a permutation of less than all values, so that two can meet in a full format, too
+        again = F.when(F.col("full"), F.col("place") > 1).otherwise((F.col("place") > 1) | F.coalesce("taken", F.lit(False)))
+        drawn = saved(drawn.withColumn("again", again).drop("place", "taken"))
+        if r == rounds or not drawn.filter("again").limit(1).count():
+            return drawn.select("kind", "norm", "to")
+        now = drawn.withColumn("attempt", F.col("attempt") + F.col("again").cast("int")).drop("to", "again")
+        if r == rounds - 1:
+            ends = drawn.groupBy("format").agg(F.max("again").alias("ends"))
+            now = now.join(ends, "format").withColumns({"full": F.col("full") | F.col("ends"), "attempt": F.when(F.col("ends"), 0).otherwise(F.col("attempt"))}).drop("ends")
+    raise AssertionError
+
+
+def _surnames(entities: DataFrame, key: str, rounds: int) -> DataFrame:
+    """kind, norm and `to` of surnames. They have three syllables, and more where there are many of them, so that at most
+    one in eight draws of a script meets another; each fourth attempt is longer. Of those that meet, the one that comes
+    first by attempt and letters keeps its draw."""
+    k, n = F.col("kind"), F.col("norm")
+    entities = saved(entities)
+    numbers = {r.z: r.n for r in entities.groupBy(script(n).alias("z")).agg(F.count("*").alias("n")).collect()}
     syllables = {z: max(3, math.ceil(math.log(8 * numbers.get(z, 1)) / math.log(len(words)))) for z, words in SYLLABLES.items()}
-    real = entities.select("kind", F.col("norm").alias("to"))
+    longer = {z: F.lit(x) + F.floor(F.col("attempt") / 4).cast("int") for z, x in syllables.items()}
+    real = entities.select(n.alias("to")).withColumn("taken", F.lit(True))
     now = entities.withColumn("attempt", F.lit(0))
     for _ in range(rounds):
-        drawn = now.withColumn("to", surrogate(F.col("kind"), F.col("norm"), key, F.col("attempt"), syllables))
-        first = F.row_number().over(Window.partitionBy("kind", "to").orderBy("attempt", "norm"))
-        drawn = drawn.withColumn("place", first).join(real.withColumn("taken", F.lit(True)), ["kind", "to"], "left")
+        drawn = now.withColumn("to", _surname(n, F.sha2(F.concat_ws("\0", F.lit(key), k, n, F.col("attempt").cast("string")), 512), longer))
+        first = F.row_number().over(Window.partitionBy("to").orderBy("attempt", "norm"))
+        drawn = drawn.withColumn("place", first).join(real, "to", "left")
         drawn = saved(drawn.withColumn("again", (F.col("place") > 1) | F.coalesce("taken", F.lit(False))))
         if not drawn.filter("again").limit(1).count():
-            return drawn.select("kind", "norm", "to")
+            break
         now = drawn.select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
-    tag = F.concat(F.lit("id-"), F.substring(F.sha2(F.concat_ws("\0", F.lit(key), "kind", "norm"), 256), 1, 32))
-    return drawn.select("kind", "norm", F.when(F.col("again"), tag).otherwise(F.col("to")).alias("to"))
+    else:
+        raise RuntimeError(f"Surnames still meet after {rounds} draws")
+    return drawn.select("kind", "norm", "to")
 
 
 def pseudonymise(docs: DataFrame, *, text: str = "text", key: str) -> DataFrame:

@@ -84,3 +84,29 @@ def test_the_space_of_surnames_grows(spark, monkeypatch):
     d = spark.createDataFrame([(f"Mr K{a}{b}x",) for a in "aeiou" for b in "bcdfglmnrst"], "text string")
     got = {r[0] for r in P.pseudonymise(d, key="k").collect()}
     assert len(got) == 55 and all(re.fullmatch(r"Mr (Ba|Do)(ba|do)+", t) for t in got)
+
+
+def test_a_full_format_keeps_its_form_and_stays_distinct(spark):
+    ips = [f"{i // 1000 % 10}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}" for i in range(0, 10_000) if i % 5 < 3]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(ips)], "doc_id long, text string")
+    new = [r._1 for r in P.pseudonymise(d, key="k").sort("_0").collect()]
+    assert len(ips) == 6000 and len(set(new)) == 6000 and all(re.fullmatch(r"\d\.\d\.\d\.\d", x) for x in new)
+    assert all(a != b for a, b in zip(ips, new))
+
+
+def test_the_permutation_is_one_without_fixed_points(spark):
+    radices = [3, 1, 4, 2]
+    rows = [([a, 0, b, c],) for a in range(3) for b in range(4) for c in range(2)]
+    d = spark.createDataFrame(rows, "v array<int>")
+    for key in ("a", "b"):
+        new = [tuple(r[0]) for r in d.select(P._permuted(P.F.col("v"), P.F.array(*map(P.F.lit, radices)), key, P.F.lit("t"))).collect()]
+        assert sorted(new) == sorted(tuple(r[0]) for r in rows) and all(x != tuple(r[0]) for x, r in zip(new, rows))
+
+
+def test_wrong_checks_stay_wrong_and_unknown_letters_are_replaced(spark):
+    rows = ["4111111111111111", "4111111111111112", "DE89370400440532013000", "DE88370400440532013000", "ab\u05d0\u05d1@ex.com", "\u05d2\u05d3@ex.com"]
+    new = [r._0 for r in P.pseudonymise(spark.createDataFrame([(x,) for x in rows], "text string"), key="k").collect()]
+    got = dict(zip(rows, new)) if len(new) == len(rows) else {}
+    assert len(set(new)) == len(rows) and not set(new) & set(rows) and len(got) == 6
+    cards = [x for x in new if x.isdigit()]
+    assert sorted(luhn(x) == 0 for x in cards) == [False, True] and all("\u05d0" > c for x in new for c in x)

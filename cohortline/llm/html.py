@@ -5,7 +5,8 @@ of being called content: the capacities of its edges to the two terminals. Block
 under the same parent, are tied by smoothness edges. The maximum flow's cut is the cheapest labelling.
 
 The classifier is trained here, on a bounded sample of pages whose own markup says which blocks are the article
-(`article`, `main` or the like), starting from and held near fixed weights, which count alone where no page says so."""
+(`article`, `main` or the like), starting from and held near fixed weights, which count alone where no page says so. The
+weight of that markup itself is fixed, and isn't among the features that are fitted to it."""
 
 from __future__ import annotations
 
@@ -30,11 +31,11 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
 # Elements whose text is never shown, or belongs to the page's controls.
-RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
-CONTROLS = frozenset("form button select option input label fieldset svg canvas object audio video map dialog menu".split())
+RAW = frozenset("script style noscript template iframe textarea title noembed noframes".split())
+CONTROLS = frozenset("form button select option input fieldset svg canvas object audio video map dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that do not end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 # Elements that end an open paragraph.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 # What elements, classes, ids and roles say about the blocks in them.
@@ -138,6 +139,14 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             parts.append(" ")
             continue
+        if tag == "xmp":  # its text is shown as it stands
+            end = re.compile(r"</xmp\s*>", re.I).search(page, at)
+            flush()
+            if not stack[-1][4]:
+                parts.append(entities.escape(page[at : end.start() if end else n]))
+            at = end.end() if end else n
+            flush()
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -182,8 +191,13 @@ def features(page: list[Block]) -> np.ndarray:
     return out
 
 
+#: Place of the feature that says what the labels of the fit say: its weight stays.
+INSIDE = FEATURES.index("inside")
+
+
 def fit(pages: list[str], prior: np.ndarray = PRIOR, strength: float = 5.0, steps: int = 30) -> np.ndarray:
-    """Weights by Newton's method on pages with an article of their own; normal around the prior."""
+    """Weights by Newton's method on pages with an article of their own; normal around the prior. Whether a block is inside
+    the article is what is fitted, by all other features."""
     xs, ys = [], []
     for page in pages:
         found = blocks(page)
@@ -192,80 +206,141 @@ def fit(pages: list[str], prior: np.ndarray = PRIOR, strength: float = 5.0, step
             ys += [float(b.inside and not b.bad) for b in found]
     if not xs:
         return prior
-    x, y, w = np.concatenate(xs), np.array(ys), prior.copy()
+    others = np.arange(len(FEATURES)) != INSIDE
+    x, y, before, w = np.concatenate(xs)[:, others], np.array(ys), prior[others], prior[others]
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - strength * (w - prior))
+        step = np.linalg.solve(h, x.T @ (y - p) - strength * (w - before))
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    out = prior.copy()
+    out[others] = w
+    return out
 
 
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """The labelling (True: content) of least cost. gain[i] is the log odds of content: if positive, calling i
     boilerplate costs it, else calling it content costs its opposite; an edge costs its capacity where labels differ.
 
-    Maximum flow by shortest augmenting paths. Since each block has residual capacity to one terminal only, paths are
-    no more than a few, mainly over the borders between regions."""
-    n = len(gain)
+    A block whose gain outweighs all its edges has its label in every cheapest labelling; its edges then count for its
+    neighbours' gains, which may settle these. What is left falls into parts, each labelled by its maximum flow."""
+    near: list[list[tuple[int, float]]] = [[] for _ in gain]
+    for a, b, c in edges:
+        near[a].append((b, c))
+        near[b].append((a, c))
+    gain, pull = list(gain), [sum(c for _, c in x) for x in near]
+    label: list[bool | None] = [None] * len(gain)
+    todo = [i for i, g in enumerate(gain) if abs(g) > pull[i] or not near[i]]
+    while todo:
+        i = todo.pop()
+        if label[i] is not None:
+            continue
+        label[i] = gain[i] > 0
+        for j, c in near[i]:
+            if label[j] is None:
+                gain[j] += c if label[i] else -c
+                pull[j] -= c
+                if abs(gain[j]) > pull[j] + 1e-12:
+                    todo.append(j)
+    for i in range(len(gain)):
+        if label[i] is None:
+            part, seen = [i], {i: 0}
+            for v in part:
+                for u, _ in near[v]:
+                    if label[u] is None and u not in seen:
+                        seen[u] = len(part)
+                        part.append(u)
+            inner = [(seen[v], seen[u], c) for v in part for u, c in near[v] if u in seen and seen[v] < seen[u]]
+            for v, k in zip(part, _flow([gain[v] for v in part], inner)):
+                label[v] = k
+    return [bool(x) for x in label]
+
+
+def _flow(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """The same by maximum flow: in each phase, distances to the sink from one search, then flows along all shortest paths
+    until none is left."""
+    n, tiny = len(gain), 1e-9
     near: list[list[int]] = [[] for _ in range(n)]
     to: list[int] = []
     cap: list[float] = []
     for a, b, c in edges:
         near[a].append(len(to))
-        to.append(b)
-        cap.append(c)
-        near[b].append(len(to))
-        to.append(a)
-        cap.append(c)
+        near[b].append(len(to) + 1)
+        to += [b, a]
+        cap += [c, c]
     source = [max(0.0, g) for g in gain]
     sink = [max(0.0, -g) for g in gain]
-    tiny = 1e-9
     while True:
-        came = [-2] * n
-        queue = [i for i in range(n) if source[i] > tiny]
+        far = [-1] * n
+        queue = [i for i in range(n) if sink[i] > tiny]
         for i in queue:
-            came[i] = -1
-        end = -1
+            far[i] = 0
         for v in queue:
-            if sink[v] > tiny:
-                end = v
-                break
             for e in near[v]:
                 u = to[e]
-                if came[u] == -2 and cap[e] > tiny:
-                    came[u] = e
+                if far[u] < 0 and cap[e ^ 1] > tiny:
+                    far[u] = far[v] + 1
                     queue.append(u)
-        if end < 0:
-            return [c != -2 for c in came]
-        flow, v = sink[end], end
-        while came[v] >= 0:
-            flow = min(flow, cap[came[v]])
-            v = to[came[v] ^ 1]
-        flow = min(flow, source[v])
-        source[v] -= flow
-        sink[end] -= flow
-        v = end
-        while came[v] >= 0:
-            cap[came[v]] -= flow
-            cap[came[v] ^ 1] += flow
-            v = to[came[v] ^ 1]
-
-
-def edges(page: list[Block], follow: float = 0.3, sibling: float = 0.7) -> list[tuple[int, int, float]]:
-    """Blocks that follow each other, more strongly under the same element; and each block with the one before under
-    the same holder, also if others stand between."""
+        starts = [i for i in range(n) if source[i] > tiny and far[i] >= 0]
+        if not starts:
+            break
+        at = [0] * n
+        for s in starts:
+            path: list[int] = []
+            v = s
+            while source[s] > tiny:
+                if sink[v] > tiny and far[v] == 0:
+                    flow = min([source[s], sink[v], *(cap[e] for e in path)])
+                    source[s] -= flow
+                    sink[v] -= flow
+                    for e in path:
+                        cap[e] -= flow
+                        cap[e ^ 1] += flow
+                    path, v = [], s
+                    continue
+                while at[v] < len(near[v]):
+                    e = near[v][at[v]]
+                    if cap[e] > tiny and far[to[e]] == far[v] - 1 >= 0:
+                        break
+                    at[v] += 1
+                if at[v] < len(near[v]):
+                    path.append(near[v][at[v]])
+                    v = to[path[-1]]
+                elif path:
+                    v = to[path.pop() ^ 1]
+                    at[v] += 1
+                else:
+                    break
+    # content: what the source still reaches
+    came = [x > tiny for x in source]
+    queue = [i for i in range(n) if came[i]]
+    for v in queue:
+        for e in near[v]:
+            if cap[e] > tiny and not came[to[e]]:
+                came[to[e]] = True
+                queue.append(to[e])
+    return came
+
+
+def edges(page: list[Block], gain: list[float], follow: float = 0.3, sibling: float = 0.7, certain: float = 3.0) -> list[tuple[int, int, float]]:
+    """Blocks that follow each other, more strongly under the same element; and each block with the one before of its tag
+    under the same holder, also if others stand between. A block that is certain by itself has no edge to one of
+    another parent on the other side: adverts say nothing about the paragraphs they stand between."""
     out, last = [], {}
+
+    def apart(i: int, j: int) -> bool:
+        return page[i].parent != page[j].parent and gain[i] * gain[j] < 0 and max(abs(gain[i]), abs(gain[j])) >= certain
+
     for i, b in enumerate(page):
-        if i:
+        if i and not apart(i - 1, i):
             p = page[i - 1]
             out.append((i - 1, i, follow + (sibling if b.parent == p.parent or b.above == p.above else 0.0)))
-        j = last.get(b.above)
-        if j is not None and j != i - 1:
+        j = last.get((b.above, b.tag))
+        if j is not None and j != i - 1 and not apart(j, i):
             out.append((j, i, sibling / 2))
-        last[b.above] = i
+        last[b.above, b.tag] = i
     return out
 
 
@@ -275,7 +350,7 @@ def extract(page: str, weights: np.ndarray = PRIOR) -> tuple[str, int]:
     if not found:
         return "", 0
     gain = features(found) @ weights
-    keep = (gain > 0).tolist() if (gain > 0).all() or (gain <= 0).all() else min_cut(gain.tolist(), edges(found))
+    keep = (gain > 0).tolist() if (gain > 0).all() or (gain <= 0).all() else min_cut(gain.tolist(), edges(found, gain.tolist()))
     kept = [b.text for b, k in zip(found, keep) if k]
     return "\n".join(kept), len(kept)
 

@@ -2,6 +2,7 @@ import html as entities
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -50,3 +51,31 @@ def test_nulls_empty_long_broken_and_clashing(spark):
 @pytest.mark.parametrize("text", ["<a href='" * 9000, "<!--" * 9000, "<" * 90_000, "</p>" * 9000, "<p" * 9000])
 def test_broken_markup_takes_no_long_time(text):
     assert isinstance(X.extract(text)[0], str)
+
+
+def test_flow_by_itself_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(150):
+        n = rng.randint(1, 9)
+        gain = [rng.uniform(-1, 1) for _ in range(n)]
+        edges = [(a, b, rng.uniform(0, 1)) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.5]
+        cost = lambda x: sum(max(0, g) if not k else max(0, -g) for g, k in zip(gain, x)) + sum(c for a, b, c in edges if x[a] != x[b])  # noqa: E731, B023
+        assert cost(X._flow(gain, edges)) == pytest.approx(min(cost(x) for x in itertools.product([False, True], repeat=n)))
+
+
+def test_adverts_between_paragraphs():
+    text = "This is a paragraph of an article that goes on for a while, number %d of them."
+    page = "<div><h1>The title of it</h1>" + "".join(f"<p>{text % i}</p><div class='ad'>Buy now %d</div>" % i for i in range(20)) + "</div>"
+    assert X.extract(page) == ("\n".join(["The title of it", *(text % i for i in range(20))]), 21)
+
+
+def test_long_pages_take_time_in_proportion():
+    page = "<div>" + "".join(f"<p>One sentence here, {i}.</p><li><a href=x>go on {i}</a></li>" for i in range(50_000)) + "</div>"
+    began = time.process_time()
+    assert X.extract(page)[0]
+    assert time.process_time() - began < 30
+
+
+def test_shown_as_it_stands_and_labels_of_text():
+    page = "<article><p>Some text is here, and goes on.</p><xmp>a <b> &amp; c</xmp><p><label>Note</label> that it ends.</p></article><form><label>Name</label></form>"
+    assert X.extract(page)[0].split("\n") == ["Some text is here, and goes on.", "a <b> &amp; c", "Note that it ends."]

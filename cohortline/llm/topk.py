@@ -59,7 +59,7 @@ class Queries:
     def __init__(self, ids: np.ndarray, x: np.ndarray, slices: int, k: int, cutoff: np.ndarray | None = None):
         self.ids, self.x, self.k, self.cutoff = ids, x, k, cutoff
         self.cuts = np.array_split(np.arange(x.shape[1]), max(1, min(slices, x.shape[1])))
-        self.most = float(np.abs(x).sum(1).max(initial=0))
+        self.most, self.resolved = float(np.abs(x).sum(1).max(initial=0)), 0
 
     def partials(self, c: np.ndarray) -> list[np.ndarray]:
         """Partial scores of candidates (columns) for queries (rows) in each slice."""
@@ -69,30 +69,32 @@ class Queries:
         return [q[:, s].dot(o[:, s].T) for s in self.cuts]
 
     def search(self, c: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Query rows, candidates' places and exact scores: of each list's best entries, or of all that can reach the cutoff."""
+        """Query rows, candidates' places and exact scores: of each list's best entries, or of all that can reach the cutoff.
+        Scores are put together for these entries alone; self.resolved counts them."""
         parts = self.partials(c)
-        own = self.ids[:, None] == ids[None, :]
-        total = sum(parts[1:], parts[0])
+        kept = np.zeros((len(self.ids), len(ids)), bool)
         if self.cutoff is None:
-            kept = np.zeros(own.shape, bool)
+            own = self.ids[:, None] == ids[None, :]
             for p in parts:
                 p = np.where(own, -np.inf, p.astype(np.float64))
                 at = np.argpartition(-p, min(self.k, p.shape[1]) - 1, axis=1)[:, : self.k]
                 np.put_along_axis(kept, at, True, axis=1)
         else:
             limit = self.cutoff[:, None]
-            kept = np.zeros(own.shape, bool)
             for p in parts:  # phase two: the uniform threshold; compared without division
                 kept |= p * len(parts) >= limit
-            kept &= total >= limit  # phase three
-        kept &= ~own
-        # of what is left, no more than k for each query and candidate tile, the best first
         q, at = np.nonzero(kept)
-        order = np.lexsort((ids[at], -total[q, at].astype(np.float64), q)) if total.dtype != object else np.array(sorted(range(len(q)), key=lambda i: (q[i], -total[q[i], at[i]], ids[at[i]])), dtype=np.int64)
-        q, at = q[order], at[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
-        q, at = q[place < self.k], at[place < self.k]
-        yield q, at, total[q, at]
+        self.resolved += len(q)
+        total = sum((p[q, at] for p in parts[1:]), parts[0][q, at])
+        stays = self.ids[q] != ids[at]
+        if self.cutoff is not None:  # phase three
+            stays &= (total >= self.cutoff[q]).astype(bool)
+        q, at, total = q[stays], at[stays], total[stays]
+        # of what is left, no more than k for each query and candidate tile, the best first
+        order = np.lexsort((ids[at], -total.astype(np.float64), q)) if total.dtype != object else np.array(sorted(range(len(q)), key=lambda i: (q[i], -total[i], ids[at[i]])), dtype=np.int64)
+        q, at, total = q[order], at[order], total[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q, "left") < self.k
+        yield q[best], at[best], total[best]
 
 
 def _pass(candidates: DataFrame, block: Queries) -> DataFrame:

@@ -1,9 +1,10 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
-from cohortline.llm.topk import top_k
+from cohortline.llm.topk import Queries, top_k
 
 
 def brute(rows, queries, k, scale):
@@ -36,3 +37,18 @@ def test_fewer_candidates_than_k_and_none(spark):
     d = spark.createDataFrame([(0, [1.0, 0.5]), (1, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in top_k(d, d.filter("vec_id = 0")).collect()] == [(0, 1, 1, -65536)]
     assert top_k(d, d.limit(0)).count() == 0 and top_k(d.limit(0), d.limit(0)).count() == 0
+
+
+def test_the_cutoff_leaves_few_scores_to_put_together():
+    rng = np.random.default_rng(1)
+    x = np.floor(256 * rng.normal(size=(2000, 64)))
+    ids = np.arange(2000)
+    first = Queries(ids[:20], x[:20], 4, 5)
+    got = [r for r in first.search(x, ids)][0]
+    cutoff = np.array([sorted(got[2][got[0] == i])[-5] for i in range(20)], float)
+    second = Queries(ids[:20], x[:20], 4, 5, cutoff)
+    q, at, total = [r for r in second.search(x, ids)][0]
+    full = x[:20] @ x.T
+    full[np.arange(20), np.arange(20)] = -np.inf
+    assert all(sorted(at[q == i]) == sorted(np.argsort(-full[i], kind="stable")[:5]) for i in range(20))
+    assert first.resolved <= 20 * 4 * 5 and second.resolved < 20 * 2000 / 2

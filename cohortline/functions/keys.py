@@ -27,7 +27,6 @@ def filled(column: str, value: str = "0") -> str:
 TENURE = ((6, 12, 24, 48), ("0_6", "7_12", "13_24", "25_48", "49_plus"))
 FINE_TENURE = ((2, 6, 12, 18, 24, 36, 48, 60), ("0_2", "3_6", "7_12", "13_18", "19_24", "25_36", "37_48", "49_60", "61_plus"))
 SUPPORT_BUCKETS = ((0.5, 4.5, 24.5, 74.5, 199.5), ("zero", "1_4", "5_24", "25_74", "75_199", "200p"))
-SUPPORT_LEVELS = ((49, 99, 199, 499), ("lt50", "50_99", "100_199", "200_499", "500_plus"))
 
 
 def tenure_bin(value: str = number("tenure")) -> str:
@@ -77,7 +76,7 @@ def logit(p: str, epsilon: str = "0.000001") -> str:
 
 def normal_text(column: str) -> str:
     """Trimmed, lower-cased, with single spaces; a missing value is __missing__."""
-    return f"lower(trim(regexp_replace(coalesce(cast({column} AS STRING), '__missing__'), '[ \\\\t\\\\n\\\\r]+', ' '{{g}})))"
+    return f"lower(trim(regexp_replace(coalesce(cast({column} AS STRING), '__missing__'), '[ \\\\t\\\\n\\\\r]+', ' ')))"
 
 
 def first_letters(columns: tuple[str, ...]) -> str:
@@ -113,3 +112,31 @@ def sister_family(value: str) -> str | None:
 def services_paid() -> str:
     """Number of services that an account pays for."""
     return f"(CASE WHEN lower({text('InternetService')}) <> 'no' THEN 1 ELSE 0 END + ({yes('PhoneService')}) + ({yes('MultipleLines')}) + {count_yes(SERVICES)})"
+
+
+def sister_column(value: str) -> str:
+    """The same for a column of families of five parts; NULL for other ones."""
+    part = lambda i: f"element_at(split({value}, '__'), {i})"
+    labels = "array(" + ", ".join(f"'{x}'" for x in TENURE[1]) + ")"
+    at = f"array_position({labels}, {part(5)})"
+    moved = f"concat_ws('__', {part(1)}, {part(2)}, {part(3)}, {part(4)}, element_at({labels}, cast(CASE WHEN {at} > 1 THEN {at} - 1 ELSE 2 END AS INT)))"
+    flipped = f"concat_ws('__', {part(1)}, {part(2)}, {part(3)}, CASE WHEN {part(4)} = 'Yes' THEN 'No' ELSE 'Yes' END, {part(5)})"
+    return f"CASE WHEN size(split({value}, '__')) <> 5 THEN NULL WHEN {at} > 0 THEN {moved} ELSE {flipped} END"
+
+
+# Edges and labels of the support of a segment5.
+SEGMENT5_SUPPORT = ((49, 99, 249, 499), ("lt50", "50_99", "100_249", "250_499", "500_plus"))
+
+
+def segment5_support_bucket(count: str) -> str:
+    return bins(count, *SEGMENT5_SUPPORT)
+
+
+def normal_number(column: str, decimals: int = 6) -> str:
+    """Rounded half to even; what isn't a number is -999999."""
+    return f"coalesce(bround({number(column)}, {decimals}), cast(-999999 AS DOUBLE))"
+
+
+def number_text(column: str, decimals: int = 6) -> str:
+    """A normalised number as the text of a whole number of its last decimals, which all engines write alike."""
+    return f"cast(cast(bround({normal_number(column, decimals)} * 1e{decimals}, 0) AS BIGINT) AS STRING)"

@@ -1,53 +1,109 @@
-"""Exact metrics of scored predictions as DataFrame plans without a task that holds all rows."""
+"""Exact metrics, ranks and quantiles as DataFrame plans without a task that holds all rows."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keys import clip
 
+#: Ranges that the numbers between a power of two and the next one fall into.
+RANGES = 512
+
 
 def logloss(y: str, p: str) -> Column:
     """Of one row; predictions are clipped to [1e-6, 1 - 1e-6]."""
     return F.expr(f"-({y} * ln({clip(p)}) + (1 - {y}) * ln(1 - {clip(p)}))")
 
 
-def auc(df: DataFrame, by: Sequence[str], y: str, p: str, name: str = "auc", parts: int = 1024) -> DataFrame:
+def value_range(x: Column) -> Column:
+    """The number of a double's range, which never falls as the double rises. There are RANGES of them between a power of
+    two and the next, so that scores, ranks, logits and amounts of any size are spread over many."""
+    size = F.least(F.abs(x), F.lit(1e300))
+    octave = F.floor(F.log2(size))
+    place = (octave + 1100) * RANGES + F.floor((size / F.pow(F.lit(2.0), octave.cast("double")) - 1) * RANGES)
+    return F.when(size < 1e-300, F.lit(0)).otherwise(F.signum(x).cast("int") * place).cast("bigint")
+
+
+def numbers(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows in which all columns hold a number: neither null nor NaN."""
+    return df.filter(reduce(lambda a, b: a & b, [~F.isnan(F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))) for c in columns]))
+
+
+def cumulated(counts: DataFrame, by: Sequence[str], value: str, sums: Mapping[str, str]) -> DataFrame:
+    """counts (one row for each value of each group) with, for each name in sums, the sum of that column over the group's
+    smaller values.
+
+    First the ranges of values are summed and added up, then the values within a range: no window holds all of a group's
+    values, nor one without a group all there are."""
+    by = list(by)
+    counts = counts.withColumn("_range", value_range(F.col(value).cast("double")))
+    totals = counts.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())])
+    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t{i}").over(below), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))])
+    on = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*by, "_range"]]
+    joined = counts.alias("s").join(totals.alias("t"), on).select("s.*", *[f"t._b{i}" for i in range(len(sums))])
+    within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = joined.withColumns({n: F.col(f"_b{i}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for i, (n, c) in enumerate(sums.items())})
+    return out.drop("_range", *[f"_b{i}" for i in range(len(sums))])
+
+
+def auc(df: DataFrame, by: Sequence[str], y: str, p: str, name: str = "auc") -> DataFrame:
     """Area under the ROC curve of each group, ties counting half; null with one class only.
 
-    Rows are reduced to counts of distinct scores first. Scores come in parts of their range, so that a window holds
-    the parts of a group, or the scores of one part of it, but never all scores of a large group."""
+    Rows without a label or a score, or with NaN as either, don't count; groups with no other rows are missing. Rows are
+    reduced to counts of distinct scores first."""
     by = list(by)
-    scores = df.filter(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.count("*").alias("_n"))
-    scores = scores.withColumns({"_neg": F.col("_n") - F.col("_pos"), "_part": F.floor(F.col("_p") * parts)})
-    sums = scores.groupBy(*by, "_part").agg(F.sum("_neg").alias("_part_neg"))
-    before = F.sum("_part_neg").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("_below", F.coalesce(before, F.lit(0))).drop("_part_neg")
-    on = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*by, "_part"]]
-    joined = scores.alias("s").join(sums.alias("t"), on).select("s.*", "t._below")
-    within = F.sum("_neg").over(Window.partitionBy(*by, "_part").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    joined = joined.withColumn("_u", F.col("_pos") * (F.col("_below") + F.coalesce(within, F.lit(0)) + F.col("_neg") / 2))
-    total = joined.groupBy(*by).agg(F.sum("_u").alias("_u"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+    scores = numbers(df, y, p).groupBy(*by, F.col(p).cast("double").alias("_p")).agg(F.sum(F.col(y).cast("long")).alias("_pos"), F.count("*").alias("_n"))
+    scores = cumulated(scores.withColumn("_neg", F.col("_n") - F.col("_pos")), by, "_p", {"_below": "_neg"})
+    scores = scores.withColumn("_u", F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
+    total = scores.groupBy(*by).agg(F.sum("_u").alias("_u"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
     return total.select(*by, F.expr("_u / nullif(cast(_pos AS double) * _neg, 0)").alias(name))
 
 
 def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str, pct: bool = True, source: DataFrame | None = None) -> DataFrame:
     """df with the average rank of a value in its group, ties sharing their mean; pct: over the values that aren't null.
 
-    The window runs over distinct values and their counts; rows get their rank by a join. source: where the same rows are
-    read from, if df already has joins behind it that needn't be repeated."""
+    Ranks are those of distinct values; rows get theirs by a join. source: where the same rows are read from, if df already
+    has joins behind it that needn't be repeated."""
     by = list(by)
-    counts = (source or df).filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("_n").over(order), F.lit(0)) + (F.col("_n") + 1) / 2
-    ranked = counts.withColumn(name, rank / F.sum("_n").over(Window.partitionBy(*by)) if pct else rank).drop("_n")
+    counts = numbers(source or df, value).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ranked = cumulated(counts, by, "_v", {"_below": "_n"}).withColumn(name, F.col("_below") + (F.col("_n") + 1) / 2)
+    if pct:
+        totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+        on = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
+        ranked = ranked.alias("r").join(totals.alias("t"), on) if by else ranked.alias("r").crossJoin(F.broadcast(totals).alias("t"))  # one row
+        ranked = ranked.select("r.*", "t._all").withColumn(name, F.col(name) / F.col("_all"))
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] + [F.col(f"a.{value}") == F.col("b._v")]
     return df.alias("a").join(ranked.alias("b"), on, "left").select("a.*", f"b.{name}")
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str, named: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles of each group by name, between two values by their linear interpolation; nulls and NaN don't count.
+
+    Neither a group's values nor its distinct ones come together in one task."""
+    by = list(by)
+    counts = numbers(df, value).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    ranked = cumulated(counts, by, "_v", {"_below": "_n"})
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
+    ranked = ranked.alias("r").join(totals.alias("t"), on) if by else ranked.alias("r").crossJoin(F.broadcast(totals).alias("t"))  # one row
+    ranked = ranked.select("r.*", "t._all")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_n")), F.col("_v")))
+
+    aggregates = []
+    for n, q in named.items():
+        place = F.lit(float(q)) * (F.col("_all") - 1)
+        aggregates += [at(F.floor(place)).alias(f"_lo_{n}"), at(F.ceil(place)).alias(f"_hi_{n}"), F.max(place - F.floor(place)).alias(f"_f_{n}")]
+    out = ranked.groupBy(*by).agg(*aggregates)
+    return out.select(*by, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in named])
+
+
 def duck_auc(table: str, y: str, p: str, by: str = "") -> str:
     """The same by ranks, for oracles: a query of the groups and auc."""
     part = f"PARTITION BY {by} " if by else ""

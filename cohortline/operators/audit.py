@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..functions.metrics import quantiles
 from .blend import array_statistics
 
 
@@ -16,10 +17,6 @@ def signature(columns: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", *[F.expr(c) for c in columns]))
 
 
-#: Columns of the coarse signature: categories, exact tenure and its bin, charges by 1 and total by 10.
-COARSE = [*[f"lower(trim({c}))" for c in (*K.SEGMENT3, "PaperlessBilling")], "cast(tenure AS STRING)", "cast(cast(MonthlyCharges / 10 AS BIGINT) AS STRING)"]
-
-
 def duplicate_groups(df: DataFrame, sig: Column, label: str, id_column: str, least: int = 2, examples: int = 5) -> DataFrame:
     """Groups of rows with one signature: size, positive rate, number of labels, smallest mode of the label, first ids."""
     rows = df.select(sig.alias("sig"), F.col(label).alias("label"), F.col(id_column).alias("id"))
@@ -43,14 +40,16 @@ def numeric_drift(df: DataFrame, columns: Sequence[str], is_test: str = "is_test
     over the training side's quantile bins. All columns go through one pass as (column, value) cells."""
     cells = df.select(F.col(is_test).cast("int").alias("t"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.expr(K.number(c)).alias("x")) for c in columns])).alias("c")).select("t", "c.column", "c.x")
     side = lambda agg, t: agg(F.when(F.col("t") == t, F.col("x")))
-    quantiles = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
     measures = []
     for t, n in ((0, "train"), (1, "test")):
         own = F.when(F.col("t") == t, F.col("x"))
         measures += [F.count(own).alias(f"{n}_count"), (1 - F.count(own) / F.sum((F.col("t") == t).cast("int"))).alias(f"{n}_missing_rate"), side(F.avg, t).alias(f"{n}_mean"), side(F.stddev_pop, t).alias(f"{n}_std")]
-        measures += [F.percentile(own, F.lit(q)).alias(f"{n}_p{q * 100:02.0f}") for q in (0.01, 0.5, 0.99)]
-    table = cells.groupBy("column").agg(*measures, F.array_sort(F.array_distinct(F.percentile(F.when(F.col("t") == 0, F.col("x")), quantiles))).alias("_edges"))
-    table = table.filter("train_count > 0 AND test_count > 0")
+    table = cells.groupBy("column").agg(*measures).filter("train_count > 0 AND test_count > 0")
+    edges = {f"_e{i}": i / bins for i in range(bins + 1)}
+    for t, n in ((0, "train"), (1, "test")):
+        named = {f"{n}_p{q * 100:02.0f}": q for q in (0.01, 0.5, 0.99)} | (edges if t == 0 else {})
+        table = table.join(quantiles(cells.filter(F.col("t") == t), ["column"], "x", named), "column")
+    table = table.withColumn("_edges", F.array_sort(F.array_distinct(F.array(*edges)))).drop(*edges)
     inner = table.select("column", F.expr("slice(_edges, 2, greatest(size(_edges) - 2, 0))").alias("inner"))
     binned = cells.filter("x IS NOT NULL").join(inner, "column").withColumn("bin", F.aggregate("inner", F.lit(0), lambda a, e: a + (e <= F.col("x")).cast("int")))
     hist = binned.groupBy("column", "bin").agg(F.sum(1 - F.col("t")).alias("a"), F.sum("t").alias("b"))
@@ -93,7 +92,7 @@ def noise_audit(df: DataFrame, teachers: Sequence[str], sig: Column, wrong: floa
     error = F.when(F.col(target) == 1, 1 - F.col(reference)).otherwise(F.col(reference))
     rows = df.withColumns({"_sig": sig, "_err": error, "_sd": array_statistics(teachers)["std"]})
     groups = rows.groupBy("_sig").agg(F.count("*").alias("_n"), F.sum(target).alias("_p"))
-    limits = rows.agg(F.percentile("_err", F.lit(hard)).alias("_hard"), F.median("_sd").alias("_calm"))
+    limits = quantiles(rows, [], "_err", {"_hard": hard}).crossJoin(quantiles(rows, [], "_sd", {"_calm": 0.5}))  # one row each
     all_wrong = F.forall(F.array(*teachers), lambda x: (x >= 0.5) != (F.col(target) == 1))
     out = rows.join(groups, "_sig").crossJoin(F.broadcast(limits))
     reason = F.when(F.col("_n").between(2, small) & (F.col("_p") > 0) & (F.col("_p") < F.col("_n")), "near_duplicate_conflict")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +56,27 @@ def composite_strata(df: DataFrame, min_rows: int, target: str = "target") -> Da
         out = out.join(counts, f"_{n}")
     chosen = F.coalesce(*[F.when(F.col(f"_n_{n}") >= min_rows, F.col(f"_{n}")) for n in ("s3", "pc", "c")], F.col("_y"))
     return out.withColumn("stratum", chosen).drop(*[f"_{n}" for n in levels], "_n_s3", "_n_pc", "_n_c")
+
+
+def joint_strata(df: DataFrame, family: Column, least: int = 2, target: str = "target") -> DataFrame:
+    """stratum: target and membership of a family if each such pair has `least` rows, else the target alone."""
+    joint = df.withColumn("_joint", F.concat_ws("__", F.col(target).cast("string"), F.coalesce(family, F.lit(False)).cast("int").cast("string")))
+    n = joint.groupBy("_joint").agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))
+    out = joint.crossJoin(F.broadcast(n))  # one row
+    return out.withColumn("stratum", F.when(F.col("_least") >= least, F.col("_joint")).otherwise(F.col(target).cast("string"))).drop("_joint", "_least")
+
+
+def leave_family_out(df: DataFrame, family: Column, min_rows: int = 1, families: Sequence[str] | None = None) -> DataFrame:
+    """For each family with enough rows (or each one given): its own rows as side 'valid', and all others as 'train', under
+    the family's name as left_out. Families are few; rows are repeated once for each of them."""
+    keyed = df.withColumn("_family", family)
+    if families is None:
+        families = sorted(r["_family"] for r in keyed.groupBy("_family").agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows).select("_family").collect())
+    each = keyed.withColumn("left_out", F.explode(F.array(*map(F.lit, families)).cast("array<string>")))
+    return each.withColumn("side", F.when(F.col("_family").eqNullSafe(F.col("left_out")), "valid").otherwise("train")).drop("_family")
+
+
+def sorted_groups(df: DataFrame, group: str, by: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Rows with each group's together, in order: dealt by group, sorted within partitions, without a global sort."""
+    dealt = df.repartition(partitions, group) if partitions else df.repartition(group)
+    return dealt.sortWithinPartitions(group, *by)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..functions.metrics import quantiles
 from .blend import array_statistics
 from .folds import order_hash
 
@@ -25,7 +26,7 @@ def uncertainty_band(df: DataFrame, family: Column, p: str, width: float, teache
 
 def hard_examples(df: DataFrame, family: Column, score: Column, q: float) -> DataFrame:
     """hard: rows of the family with a score at or over its exact q-quantile within the family."""
-    limit = df.filter(family).agg(F.percentile(score, F.lit(q)).alias("_limit"))
+    limit = quantiles(df.filter(family).select(score.alias("_score")), [], "_score", {"_limit": q})
     return df.crossJoin(F.broadcast(limit)).withColumn("hard", (family & (score >= F.col("_limit"))).cast("int")).drop("_limit")
 
 

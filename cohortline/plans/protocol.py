@@ -11,7 +11,7 @@ from ..functions.metrics import auc, logloss
 from ..operators.select import DOMINANT
 
 #: The protocol's thresholds.
-MIN_DELTA, MAX_DOMINANT, MAX_TARGET, MAX_DAMAGE = 1e-5, -2e-4, -1e-4, 0.03
+MIN_DELTA, MAX_DOMINANT, MAX_TARGET, MAX_DAMAGE, MAX_STD_RATIO = 1e-5, -2e-4, -1e-4, 0.03, 1.15
 LARGE, MICRO, PROMOTABLE = (5000, 2000), (1000, 400), (2000, 800)
 STAGES = ("smoke", "midcap", "submission")
 
@@ -40,8 +40,9 @@ def family_metrics(df: DataFrame, test: DataFrame | None = None) -> DataFrame:
     return table
 
 
-def checks(df: DataFrame, test: DataFrame, stage: str = "submission", target_family: str | None = None, sister_family: str | None = None, dominant: str = DOMINANT, top: int = 3) -> DataFrame:
-    """check, status, value: a row for each check of the stage. All come from the family table and the total AUCs."""
+def checks(df: DataFrame, test: DataFrame, stage: str = "submission", target_family: str | None = None, sister_family: str | None = None, dominant: str = DOMINANT, top: int = 3, candidate_cv_std: float | None = None, reference_cv_std: float | None = None, trace: str | None = None) -> DataFrame:
+    """check, status, value: a row for each check of the stage. All come from the family table and the total AUCs, but for
+    those of the deviations over folds, from the midcap stage on, and of the submission's file (`trace`)."""
     if stage not in STAGES:
         raise ValueError(f"Unknown stage {stage!r}")
     table = saved(family_metrics(df, test))  # one row for each family, read by every check
@@ -57,6 +58,12 @@ def checks(df: DataFrame, test: DataFrame, stage: str = "submission", target_fam
         row(total, "split_a_delta_auc", F.col("value") >= MIN_DELTA), row(of(seg3, dominant), "split_b_dominant_family", F.col("value") >= MAX_DOMINANT),
         row(damage, "split_b_top_damage_families", F.col("value") <= MAX_DAMAGE), row(micro, "micro_family_dependence", F.col("value") < 1),
     ]
+    given = lambda value, name, ok: total.select(F.lit(name).alias("check"), F.lit("PASS" if ok else "FAIL").alias("status"), F.lit(value).cast("double").alias("value"))
+    if stage != "smoke":
+        stable = candidate_cv_std is not None and reference_cv_std is not None and candidate_cv_std <= reference_cv_std * MAX_STD_RATIO
+        out.append(given(candidate_cv_std, "midcap_cv_std", stable))
+    if stage == "submission":
+        out.append(given(float(trace is not None), "submission_trace_artifacts", trace is not None))
     if target_family:
         level = seg5 if target_family.count("__") == 4 else seg3
         mine = level.filter(F.col("family_value") == target_family)

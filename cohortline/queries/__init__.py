@@ -1,6 +1,7 @@
 """Queries over the driver's tables, one or more for each operator, and SQL that gives the same rows."""
 
-from . import evaluation, features, learning, selection
+from . import audits, challenges, evaluation, features, learning, selection
 
-QUERIES = {**features.QUERIES, **selection.QUERIES, **evaluation.QUERIES, **learning.QUERIES}
-ORACLES = {**features.ORACLES, **selection.ORACLES, **evaluation.ORACLES}
+_MODULES = (features, selection, audits, evaluation, challenges, learning)
+QUERIES = {n: q for m in _MODULES for n, q in m.QUERIES.items()}
+ORACLES = {n: q for m in _MODULES for n, q in getattr(m, "ORACLES", {}).items()}

@@ -11,6 +11,7 @@ from ..functions.metrics import auc, average_rank, duck_auc
 from ..operators import blend as B
 from ..operators import folds as L
 from ..operators.select import DOMINANT
+from ..plans import gates as GT
 from ..plans import protocol as P
 from ..sources.accounts import DUCK, REFERENCE_WEIGHTS, accounts, blend_sql
 from .selection import TEACHERS, d6, r6
@@ -69,8 +70,13 @@ _checks = " UNION ALL ".join([
     _one("target_family_promotable_support", f"(SELECT coalesce(max(CASE WHEN train_rows >= 2000 AND test_rows >= 800 THEN 1 ELSE 0 END), 0) FROM famd WHERE family_level = 'segment5' AND family_value = '{_TARGET}')", "v = 1"),
     _one("sister_family_guardrail", _of(5, _SISTER), "v >= -1e-4"),
 ])
-register("protocol_checks", lambda s, d: P.checks(*sides(s, d), target_family=_TARGET).select("check", "status", r6("value")), f"+{_FAM} {_checks}")
-register("protocol_verdict", lambda s, d: P.verdict(P.checks(*sides(s, d), target_family=_TARGET)), f"+{_FAM}, ch AS ({_checks}) SELECT CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (status = 'WARN') > 0 THEN 'WARN' ELSE 'PASS' END AS verdict, count(*) FILTER (status = 'PASS') AS pass, count(*) FILTER (status = 'WARN') AS warn, count(*) FILTER (status = 'FAIL') AS fail FROM ch")
+_FOLDED = "fo AS (SELECT *, (row_number() OVER (PARTITION BY repeat, target ORDER BY md5(':' || (repeat + 42)::VARCHAR || ':' || id::VARCHAR), id) - 1) % 3 AS fold FROM tr, (SELECT unnest(range(2)) AS repeat) WHERE split = 'train')"
+_cv_std = lambda p: f"(SELECT stddev_pop(auc) FROM ({duck_auc('fo', 'target', p, 'repeat, fold')}))"
+_checks = f"""{_checks} UNION ALL SELECT 'midcap_cv_std', CASE WHEN v <= w * 1.15 THEN 'PASS' ELSE 'FAIL' END, {d6('v', 'value')} FROM (SELECT {_cv_std('candidate_pred')} AS v, {_cv_std('reference_pred')} AS w)
+UNION ALL SELECT 'submission_trace_artifacts', 'FAIL', 0"""
+_protocol = lambda s, d: GT.chain_report(*sides(s, d), stage="submission", repeats=2, folds=3, target_family=_TARGET)
+register("protocol_checks", lambda s, d: _protocol(s, d).select("check", "status", r6("value")), f"+{_FAM}, {_FOLDED} {_checks}")
+register("protocol_verdict", lambda s, d: P.verdict(_protocol(s, d)), f"+{_FAM}, {_FOLDED}, ch AS ({_checks}) SELECT CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (status = 'WARN') > 0 THEN 'WARN' ELSE 'PASS' END AS verdict, count(*) FILTER (status = 'PASS') AS pass, count(*) FILTER (status = 'WARN') AS warn, count(*) FILTER (status = 'FAIL') AS fail FROM ch")
 register(
     "oof_merge",
     lambda s, d: (lambda a: B.merge_oof({m: a.filter(f"(id + {i}) % 7 <> 0").select("id", "target", F.col(f"pred_{m}").alias("pred")) for i, m in enumerate(("cb", "xgb", "lgb"))}).select("id", "target", *[r6(f"pred_{m}") for m in ("cb", "xgb", "lgb")]))(accounts(s, d)),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.masks import PRESETS
-from ..functions.metrics import average_rank
+from ..functions.metrics import average_rank, quantiles
 from ..operators import blocks as B
 from ..operators import priors as P
 from ..operators import states as S
@@ -256,7 +256,7 @@ register(
 )
 register(
     "median_fill",
-    lambda spark, d: accounts(spark, d).crossJoin(F.broadcast(accounts(spark, d).filter("split = 'train'").agg(F.median("TotalCharges").alias("m")))).select("id", F.round(F.coalesce("TotalCharges", "m"), 6).alias("total_filled")),
+    lambda spark, d: accounts(spark, d).crossJoin(F.broadcast(quantiles(accounts(spark, d).filter("split = 'train'"), [], "TotalCharges", {"m": 0.5}))).select("id", F.round(F.coalesce("TotalCharges", "m"), 6).alias("total_filled")),
     "SELECT id, round(coalesce(TotalCharges, (SELECT median(TotalCharges) FROM accounts WHERE split = 'train')), 6) AS total_filled FROM accounts",
 )
 register(
@@ -266,7 +266,7 @@ register(
 )
 register(
     "category_codes",
-    lambda spark, d: (lambda a: a.join(a.select("PaymentMethod").distinct().withColumn("code", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("PaymentMethod")).cast("long")), "PaymentMethod").select("id", "code"))(accounts(spark, d)),
+    lambda spark, d: (lambda a: a.join(a.select("PaymentMethod").distinct().withColumn("code", F.row_number().over(Window.orderBy("PaymentMethod")).cast("long")), "PaymentMethod").select("id", "code"))(accounts(spark, d)),
     "SELECT id, dense_rank() OVER (ORDER BY PaymentMethod) AS code FROM accounts",
 )
 register("accounts_scan", lambda spark, d: accounts(spark, d).select("id", "PaymentMethod", "Contract", "InternetService", "PaperlessBilling", "tenure", F.round("MonthlyCharges", 6).alias("MonthlyCharges"), F.round("TotalCharges", 6).alias("TotalCharges"), *B.SERVICES, "PhoneService", "MultipleLines", "gender", "Partner", "Dependents", "SeniorCitizen", "Churn", "target", "split"),

@@ -85,3 +85,52 @@ def test_guards(spark):
     with pytest.raises(ValueError):
         calibrated(d, 2, "spline", "x")
     assert blocks.normalise("h, r,VALUE,R") == ("H", "R", "V") and B.normalise_weights([-1, 0]) == [0.5, 0.5]
+
+
+def test_auc_leaves_out_rows_without_label_or_score(spark):
+    rows = [(1, 0.9), (0, 0.2), (None, 0.9), (None, 0.9), (1, float("nan")), (0, None)]
+    d = spark.createDataFrame(rows, "y int, p double")
+    assert auc(d, [], "y", "p").first().auc == 1.0
+    nan = spark.createDataFrame([(1, 0.9), (0, 0.2), (1, float("nan")), (0, 0.5)], "y int, p double")
+    assert auc(nan, [], "y", "p").first().auc == 1.0
+
+
+def test_ranges_rise_with_values_and_spread_small_ones(spark):
+    import random
+
+    from cohortline.functions.metrics import value_range
+
+    rng = random.Random(1)
+    values = sorted({0.0, -0.0, 1.0, 2.0, 4.0, 0.5, 1e-300, -1e300, 1e308, *(rng.choice([-1, 1]) * rng.random() * 10 ** rng.randint(-12, 12) for _ in range(3000))})
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(value_range(F.col("v"))).collect()]
+    assert got == sorted(got)
+    small = spark.createDataFrame([(rng.random() * 1e-3,) for _ in range(5000)], "v double")
+    assert small.groupBy(value_range(F.col("v"))).count().agg(F.max("count")).first()[0] < 100
+
+
+def test_quantiles_equal_numpy(spark):
+    import random
+
+    import numpy as np
+
+    from cohortline.functions.metrics import quantiles
+
+    rng = random.Random(2)
+    rows = [(g, rng.choice([rng.random(), 0.5, -3.0]) * (10 if g else 1)) for g in (0, 1) for _ in range(501)] + [(2, 7.0), (0, None), (1, float("nan")), (3, None)]
+    d = spark.createDataFrame(rows, "g int, v double")
+    named = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = {r.g: [r[n] for n in named] for r in quantiles(d, ["g"], "v", named).collect()}
+    for g in (0, 1, 2):
+        own = [v for h, v in rows if h == g and v is not None and v == v]
+        assert got[g] == pytest.approx(np.quantile(own, list(named.values())).tolist())
+    assert 3 not in got
+    none = quantiles(d.limit(0), ["g"], "v", named)
+    assert none.columns == ["g", *named] and none.collect() == []
+
+
+def test_text_and_sister_keys(spark):
+    d = spark.createDataFrame([("  A \t b\n c ",), (None,)], "t string")
+    assert [r[0] for r in d.select(F.expr(K.normal_text("t"))).collect()] == ["a b c", "__missing__"]
+    values = ["a__b__c__Yes__0_6", "a__b__c__Yes__25_48", "a__b__c__No__x", "a__b"]
+    s = spark.createDataFrame([(v,) for v in values], "f string")
+    assert [r[0] for r in s.select(F.expr(K.sister_column("f"))).collect()] == [K.sister_family(v) for v in values]

@@ -258,8 +258,9 @@ def apply_blocks(df: DataFrame, blocks: str | Sequence[str], id_column: str = "i
             raise ValueError(f"Block {b} needs a state that is fitted on training rows")
         require_columns(df, ("tenure", "Contract", "PaymentMethod") if b in "ABMR" else (*K.SEGMENT3, "tenure", *SERVICES) if b in ("H", "S", "V", "F") else (), f"Block {b}")
         if b in PROJECTIONS:
-            new = {c for s in PROJECTIONS[b] for c in s}
-            df = staged(df.drop(*[c for c in new if c in df.columns and b == "M"]), PROJECTIONS[b])
+            # columns of block M that are there already stay as they are
+            stages = [{c: e for c, e in s.items() if b != "M" or c not in df.columns} for s in PROJECTIONS[b]]
+            df = staged(df, [s for s in stages if s])
         else:
             df = {"H": block_h, "V": block_v}[b](df) if b != "F" else block_f(df, id_column)
     return df

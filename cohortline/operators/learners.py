@@ -53,11 +53,11 @@ def boosted(categorical: Sequence[str], numeric: Sequence[str], label: str = "ta
 
 
 def linear(categorical: Sequence[str], numeric: Sequence[str], label: str = "target") -> Callable[[int], Estimator]:
-    return lambda k: Pipeline(stages=[*features(categorical, numeric, True, True), LogisticRegression(labelCol=label, regParam=0.01)])
+    return lambda k: Pipeline(stages=[*features(categorical, numeric, True, True), LogisticRegression(labelCol=label, regParam=0.01, maxIter=25)])
 
 
 def factorised(categorical: Sequence[str], numeric: Sequence[str], label: str = "target") -> Callable[[int], Estimator]:
-    return lambda k: Pipeline(stages=[*features(categorical, numeric, True, True), FMClassifier(labelCol=label, factorSize=4, maxIter=30, seed=17 + k)])
+    return lambda k: Pipeline(stages=[*features(categorical, numeric, True, True), FMClassifier(labelCol=label, factorSize=4, maxIter=15, seed=17 + k)])
 
 
 def perceptron(categorical: Sequence[str], numeric: Sequence[str], width: int, label: str = "target") -> Callable[[int], Estimator]:

@@ -90,6 +90,31 @@ class TargetPriors:
         return out.select(*df.columns, *made)
 
 
+def save_priors(fitted: TargetPriors, path: str) -> None:
+    """A fitted encoder as tables: one of each level's groups and one of the totals, with the levels' definitions."""
+    session = fitted.totals.sparkSession
+    specs = [(i, s.name, list(s.columns), s.min_support, float(s.alpha), list(fitted.numeric)) for i, s in enumerate(fitted.specs)]
+    session.createDataFrame(specs, "place int, name string, columns array<string>, min_support int, alpha double, numeric array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/specs")
+    fitted.totals.write.mode("overwrite").parquet(f"{path}/totals")
+    for s in fitted.specs:
+        fitted.tables[s.name].write.mode("overwrite").parquet(f"{path}/level={s.name}")
+
+
+def load_priors(spark, path: str) -> TargetPriors:  # noqa: ANN001
+    """The encoder that save_priors has written."""
+    rows = spark.read.parquet(f"{path}/specs").orderBy("place").collect()  # one for each level
+    specs = tuple(PriorSpec(r["name"], tuple(r["columns"]), r["min_support"], r["alpha"]) for r in rows)
+    return TargetPriors(specs, tuple(rows[0]["numeric"]), {s.name: spark.read.parquet(f"{path}/level={s.name}") for s in specs}, spark.read.parquet(f"{path}/totals"))
+
+
+def with_priors(df: DataFrame, fitted: TargetPriors, mode: str = "raw_plus_priors", keep: Sequence[str] = ("id", "target")) -> DataFrame:
+    """df with the encoder's columns, or with mode='priors_only' these and the kept columns alone."""
+    if mode not in ("raw_plus_priors", "priors_only"):
+        raise ValueError(f"Unknown mode {mode!r}")
+    out = fitted.apply(df)
+    return out if mode == "raw_plus_priors" else out.select(*[c for c in keep if c in df.columns], *[c for c in out.columns if c not in df.columns])
+
+
 def fold_safe_encoding(df: DataFrame, columns: Sequence[str], target: str = "target", fold: str = "fold", alpha: float = 10.0, external: DataFrame | None = None) -> DataFrame:
     """TE_<column> and TE_COUNT_<column>: each row's value's smoothed mean target, and log of one plus its rows, without
     the rows of its own fold; external rows (same columns and target) count in every fold.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
@@ -17,8 +17,8 @@ def signature(columns: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", *[F.expr(c) for c in columns]))
 
 
-def duplicate_groups(df: DataFrame, sig: Column, label: str, id_column: str, least: int = 2, examples: int = 5) -> DataFrame:
-    """Groups of rows with one signature: size, positive rate, number of labels, smallest mode of the label, first ids."""
+def duplicate_groups(df: DataFrame, sig: Column, label: str, id_column: str, least: int = 2) -> DataFrame:
+    """Groups of rows with one signature: size, positive rate, whether labels differ, smallest mode of the label, first id."""
     rows = df.select(sig.alias("sig"), F.col(label).alias("label"), F.col(id_column).alias("id"))
     by_label = rows.groupBy("sig", "label").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     groups = by_label.groupBy("sig").agg(F.sum("n").alias("group_size"), F.count("*").alias("labels"), F.sum(F.col("label") * F.col("n")).alias("s"), F.max_by("label", F.struct("n", -F.col("label"))).alias("label_mode"), F.min("first_id").alias("first_id"))
@@ -59,16 +59,19 @@ def numeric_drift(df: DataFrame, columns: Sequence[str], is_test: str = "is_test
     return out.withColumns({"mean_delta": F.col("test_mean") - F.col("train_mean"), "missing_rate_delta": F.col("test_missing_rate") - F.col("train_missing_rate")}).drop("_edges")
 
 
-def categorical_drift(df: DataFrame, columns: Sequence[str], is_test: str = "is_test") -> DataFrame:
-    """For each column: values on both sides, those the training side doesn't have, the total variation distance, and the
+def categorical_drift(df: DataFrame, columns: Sequence[str], is_test: str = "is_test", examples: int = 5) -> DataFrame:
+    """For each column: values on both sides, those the training side doesn't have and the first of these, the total variation distance, and the
     most frequent value (the first of equals) with its share."""
     cells = df.select(F.col(is_test).cast("int").alias("t"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("__MISSING__")).alias("v")) for c in columns])).alias("c")).select("t", "c.column", "c.v")
     counts = cells.groupBy("column", "v").agg(F.sum(1 - F.col("t")).alias("a"), F.sum("t").alias("b"))
     total = counts.groupBy("column").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     x = counts.join(total, "column")
+    unseen = Window.partitionBy("column", F.col("a") == 0).orderBy("v")
+    x = x.withColumn("unseen_place", F.when(F.col("a") == 0, F.row_number().over(unseen)))
     top = lambda n: F.min_by("v", F.struct(-F.col(n), F.col("v")))
     return x.groupBy("column").agg(
         F.sum((F.col("a") > 0).cast("int")).alias("train_unique"), F.sum((F.col("b") > 0).cast("int")).alias("test_unique"), F.sum(((F.col("a") == 0) & (F.col("b") > 0)).cast("int")).alias("unseen_in_test_count"),
+        F.slice(F.array_sort(F.collect_list(F.when((F.col("a") == 0) & (F.col("b") > 0) & (F.col("unseen_place") <= examples), F.col("v")))), 1, examples).alias("unseen_examples"),
         (F.sum(F.abs(F.col("a") / F.col("na") - F.col("b") / F.col("nb"))) / 2).alias("tvd"), top("a").alias("train_top_1"), F.max(F.col("a") / F.col("na")).alias("train_top_1_share"), top("b").alias("test_top_1"), F.max(F.col("b") / F.col("nb")).alias("test_top_1_share"),
     )
 

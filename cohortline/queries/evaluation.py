@@ -79,8 +79,8 @@ register("protocol_checks", lambda s, d: _protocol(s, d).select("check", "status
 register("protocol_verdict", lambda s, d: P.verdict(_protocol(s, d)), f"+{_FAM}, {_FOLDED}, ch AS ({_checks}) SELECT CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) FILTER (status = 'WARN') > 0 THEN 'WARN' ELSE 'PASS' END AS verdict, count(*) FILTER (status = 'PASS') AS pass, count(*) FILTER (status = 'WARN') AS warn, count(*) FILTER (status = 'FAIL') AS fail FROM ch")
 register(
     "oof_merge",
-    lambda s, d: (lambda a: B.merge_oof({m: a.filter(f"(id + {i}) % 7 <> 0").select("id", "target", F.col(f"pred_{m}").alias("pred")) for i, m in enumerate(("cb", "xgb", "lgb"))}).select("id", "target", *[r6(f"pred_{m}") for m in ("cb", "xgb", "lgb")]))(accounts(s, d)),
-    f"SELECT id, target, {', '.join(d6(f'pred_{m}', f'pred_{m}') for m in ('cb', 'xgb', 'lgb'))} FROM accounts WHERE id % 7 <> 0 AND (id + 1) % 7 <> 0 AND (id + 2) % 7 <> 0",
+    lambda s, d: (lambda a: B.merge_oof({m: a.select("id", "target", F.col(f"pred_{m}").alias("pred")) for m in ("cb", "xgb", "lgb")}).select("id", "target", *[r6(f"pred_{m}") for m in ("cb", "xgb", "lgb")]))(accounts(s, d)),
+    f"SELECT id, target, {', '.join(d6(f'pred_{m}', f'pred_{m}') for m in ('cb', 'xgb', 'lgb'))} FROM accounts",
 )
 register("weighted_blend", lambda s, d: scored(s, d).select("id", r6("reference_pred"), r6("candidate_pred")), f"SELECT id, {d6('reference_pred', 'reference_pred')}, {d6('candidate_pred', 'candidate_pred')} FROM scored")
 _rank = lambda c: f"((rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2) / count(*) OVER ())"

@@ -249,10 +249,11 @@ register(
     lambda spark, d: P.smoothed_means(accounts(spark, d).filter("split = 'train'"), _NG).select("name", "value", F.col("rows").cast("long").alias("n"), F.round("smooth", 6).alias("smooth"), F.round("log_count", 6).alias("log_count")),
     "+tr AS (SELECT * FROM accounts WHERE split = 'train'), p AS (SELECT avg(target) AS p FROM tr) " + " UNION ALL ".join(f"SELECT '{n}' AS name, {e} AS value, count(*) AS n, round((sum(target) + any_value(p) * 10) / (count(*) + 10), 6) AS smooth, round(ln(1 + count(*)), 6) AS log_count FROM tr, p GROUP BY 2" for n, e in _NG.items()),
 )
+_LATE = "CASE WHEN split = 'test' AND tenure > 60 THEN 'Late' ELSE InternetService END"  # a value that no training row has
 register(
     "full_te_apply",
-    lambda spark, d: rounded(P.full_encoding(accounts(spark, d).filter("split = 'test'"), accounts(spark, d).filter("split = 'train' AND InternetService <> 'No'"), "InternetService"), ["id", "TE_InternetService", "TE_COUNT_InternetService"]),
-    "+tr AS (SELECT * FROM accounts WHERE split = 'train' AND InternetService <> 'No'), p AS (SELECT avg(target) AS p FROM tr), g AS (SELECT InternetService, sum(target) AS s, count(*) AS n FROM tr GROUP BY 1) SELECT id, round(CASE WHEN n IS NULL THEN p ELSE (s + p * 10) / (n + 10) END + 0.000000001, 6) AS TE_InternetService, round(ln(1 + coalesce(n, 0)) + 0.000000001, 6) AS TE_COUNT_InternetService FROM accounts CROSS JOIN p LEFT JOIN g USING (InternetService) WHERE split = 'test'",
+    lambda spark, d: (lambda a: rounded(P.full_encoding(a.filter("split = 'test'"), a.filter("split = 'train'"), "InternetService"), ["id", "TE_InternetService", "TE_COUNT_InternetService"]))(accounts(spark, d).withColumn("InternetService", F.expr(_LATE))),
+    f"+k AS (SELECT * REPLACE ({_LATE} AS InternetService) FROM accounts), tr AS (SELECT * FROM k WHERE split = 'train'), p AS (SELECT avg(target) AS p FROM tr), g AS (SELECT InternetService, sum(target) AS s, count(*) AS n FROM tr GROUP BY 1) SELECT id, round(CASE WHEN n IS NULL THEN p ELSE (s + p * 10) / (n + 10) END + 0.000000001, 6) AS TE_InternetService, round(ln(1 + coalesce(n, 0)) + 0.000000001, 6) AS TE_COUNT_InternetService FROM k CROSS JOIN p LEFT JOIN g USING (InternetService) WHERE split = 'test'",
 )
 register(
     "median_fill",

@@ -14,11 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def saved(df: DataFrame) -> DataFrame:
     """df, computed once into the shared checkpoint folder, so that a lost executor costs no recomputation. The folder
-    is the session's spark.checkpoint.dir; only where none is set (tests), a local folder is used."""
+    is the session's spark.checkpoint.dir; only where none is set and all runs on one machine, a local folder is used."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("On a cluster spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 

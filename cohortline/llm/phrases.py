@@ -19,7 +19,7 @@ from ._arrow import buffers
 from ._spark import pick, saved, table
 
 #: Bytes of text that are counted at once; a longer text is cut at the end of a piece.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 3 << 20
 #: Parts of a language's phrases that are ranked apart, before the best of all parts are.
 PARTS = 64
 

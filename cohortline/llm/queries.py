@@ -1,6 +1,6 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
-from . import decontamination, html, language, lm_scoring, mixing, near_dedup, phrases, pii, rotated, secrets, tokens, topk
+from . import band, decontamination, html, language, lm_scoring, mixing, near_dedup, phrases, pii, rotated, secrets, tokens, topk
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_html": html.query,
     "op11_phrases": phrases.query,
     "op12_rotated_codes": rotated.query,
+    "op13_band_join": band.query,
 }
-ORACLES = {"op1_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE, "op9_topk": topk.ORACLE, "op11_phrases": phrases.ORACLE}
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE, "op9_topk": topk.ORACLE, "op11_phrases": phrases.ORACLE, "op13_band_join": band.ORACLE}

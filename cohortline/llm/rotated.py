@@ -164,11 +164,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str
         ids, x = np.array([r[0] for r in rows], np.int64), matrix([r[1][: dims * 8] for r in rows], dims)
 
         def first_scores(batches, x=x):
+            best = np.full((len(x), k + 1), -np.inf)  # one more, for the query's own row
             for first, _, vectors_, estimate, _ in _tiles(batches, codes, x, deviations):
-                m = min(k + 1, estimate.shape[1])  # one more, for the query's own row
+                m, part = min(k + 1, estimate.shape[1]), slice(first, first + len(estimate))
                 at = np.argpartition(-estimate, m - 1, axis=1)[:, :m].ravel()
-                q = np.repeat(np.arange(first, first + len(estimate)), m)
-                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(exact(x, q, vectors_, at))], ["q", "score"])
+                score = exact(x, np.repeat(np.arange(first, first + len(estimate)), m), vectors_, at)
+                best[part] = -np.partition(-np.hstack([best[part], score.reshape(-1, m)]), k, axis=1)[:, : k + 1]
+            q, at = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(best[q, at])], ["q", "score"])
 
         by_score = Window.partitionBy("q").orderBy(F.desc("score"))
         limits = coded.mapInArrow(first_scores, "q int, score double").withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k + 1)
@@ -181,6 +184,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, vec_id: str
                 q, at = np.nonzero(estimate + error >= cutoff[first : first + len(estimate), None])
                 q += first
                 score = exact(x, q, vectors_, at)
+                reach = score >= cutoff[q]
+                q, at, score = q[reach], at[reach], score[reach]
                 order = np.lexsort((own[at], -score, q))
                 q, at, score = q[order], at[order], score[order]
                 best = np.arange(len(q)) - np.searchsorted(q, q, "left") <= k

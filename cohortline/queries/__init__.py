@@ -1,7 +1,7 @@
 """Queries over the driver's tables, one or more for each operator, and SQL that gives the same rows."""
 
-from . import artifacts, audits, challenges, evaluation, features, learning, selection
+from . import artifacts, audits, boosting, challenges, evaluation, features, learning, selection
 
-_MODULES = (features, selection, audits, evaluation, challenges, artifacts, learning)
+_MODULES = (features, selection, audits, evaluation, challenges, artifacts, learning, boosting)
 QUERIES = {n: q for m in _MODULES for n, q in m.QUERIES.items()}
 ORACLES = {n: q for m in _MODULES for n, q in getattr(m, "ORACLES", {}).items()}

@@ -1,25 +1,30 @@
 """Phrase collocations: n-grams as rows, counted by language, scored by their weakest cut, with parts of longer phrases left out.
 
-Texts are cut into pieces at punctuation and line ends, and pieces into words. All 1..max_words-grams of a piece become rows
-of a DataFrame, already summed within a slice of texts, and are hash-aggregated. A phrase is joined to the counts of both
-sides of each of its cuts; a phrase that mostly occurs within another one is found by the one-word extensions: if a longer
-phrase holds it often enough, so does the one with a single word more, since each holds all occurrences of the longer."""
+Texts are cut into pieces at punctuation and line ends, and pieces into words. The 1..max_words-grams of pieces become rows of
+a DataFrame, already summed within a slice of texts, and are hash-aggregated, those of one word first. A phrase can't be
+frequent if a part of it isn't, so that longer ones become rows only if their parts pass a sieve of the frequent ones; the
+sieve has a fixed size and lets some others pass, whose counts then tell. A phrase is joined to the counts of both sides of
+each of its cuts; a phrase that mostly occurs within another one is found by the one-word extensions: if a longer phrase
+holds it often enough, so does the one with a single word more, since each holds all occurrences of the longer."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._arrow import buffers
+from ._arrow import BASE, buffers, mix
 from ._spark import pick, saved, table
 
 #: Bytes of text that are counted at once; a longer text is cut at the end of a piece.
 SLICE_BYTES = 3 << 20
+#: The sieve of frequent phrases has 2^SIEVE_BITS bits: 4 MB.
+SIEVE_BITS = 25
 #: Parts of a language's phrases that are ranked apart, before the best of all parts are.
 PARTS = 64
 
@@ -65,9 +70,26 @@ def slices(data: np.ndarray, off: np.ndarray, size: int = 0) -> Iterator[tuple[n
         i = j
 
 
-def ngrams(raw: np.ndarray, places: np.ndarray, lang: np.ndarray, names: pa.Array, max_words: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
-    """(languages, phrases, counts) of all 1..max_words-grams of a slice; the empty phrase counts all words. lang: the
-    number of each text's language among names. Numbers of words and n-grams stand for them exactly, there is no hash."""
+def hashes(texts: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings, the same on all machines."""
+    return pd.util.hash_array(np.asarray(texts.to_pylist(), object), categorize=False) if len(texts) else np.zeros(0, np.uint64)
+
+
+def longer(first: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with one word more."""
+    return mix(first * BASE + word)
+
+
+def passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the sieve has the bits of hashes: it has all that were put in, and some others."""
+    at = h >> np.uint64(64 - SIEVE_BITS)
+    return (sieve[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def ngrams(raw: np.ndarray, places: np.ndarray, lang: np.ndarray, names: pa.Array, sieves: list[np.ndarray]) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """(languages, phrases, counts) of a slice's phrases of one word more than there are sieves, of which all shorter parts
+    pass theirs; without sieves, also the empty phrase, which counts all words. lang: the number of each text's language among
+    names. Phrases are told apart by numbers of their words, not by hashes."""
     if not len(raw):
         return
     kind = CLASSES[raw]
@@ -76,38 +98,36 @@ def ngrams(raw: np.ndarray, places: np.ndarray, lang: np.ndarray, names: pa.Arra
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return
-    letters = LOWER[raw[kind == 0]]
     off = np.concatenate([[0], np.cumsum(ends - starts)])
+    letters = LOWER[raw[kind == 0]]
     words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
     vocabulary, word = words.dictionary, words.indices.to_numpy().astype(np.int64)
-    piece = np.cumsum(kind == 2, dtype=np.int64)[starts]
     spoken = lang[np.searchsorted(places, starts, "right") - 1]
-    total = np.bincount(spoken, minlength=len(names))
-    yield names, pa.array([""] * len(names), pa.large_string()), total
     key, word, count = np.unique(spoken * len(vocabulary) + word, return_inverse=True, return_counts=True)
     of, singles = key // len(vocabulary), vocabulary.take(pa.array(key % len(vocabulary)))
-    phrases, gram, n = singles, word, 1
-    while True:
-        yield names.take(pa.array(of)), phrases, count
-        n += 1
-        if n > max_words:
-            return
-        if n == 2:
-            at = np.flatnonzero(piece[1:] == piece[:-1])
-        else:  # both its parts of n - 1 words are there
-            at = np.flatnonzero((gram[:-1] >= 0) & (gram[1:] >= 0))
+    if not sieves:
+        yield names, pa.array([""] * len(names), pa.large_string()), np.bincount(spoken, minlength=len(names))
+        yield names.take(pa.array(of)), singles, count
+        return
+    piece = np.cumsum(kind == 2, dtype=np.int64)[starts]
+    single = hashes(vocabulary)[key % len(vocabulary)]
+    h = longer(hashes(names)[of], single)
+    parts, gram = [np.arange(len(singles))], word
+    for n, sieve in enumerate(sieves, 2):
+        good = passes(sieve, h)[gram] & (gram >= 0)
+        at = np.flatnonzero(good[:-1] & good[1:] & (piece[1:] == piece[:-1]))  # both its parts of n - 1 words pass
         if not len(at):
             return
         key, inverse, count = np.unique(gram[at] * len(singles) + word[at + n - 1], return_inverse=True, return_counts=True)
-        first = key // len(singles)
-        phrases = pc.binary_join_element_wise(phrases.take(pa.array(first)), singles.take(pa.array(key % len(singles))), pa.scalar(" ", pa.large_string()))
-        of = of[first]
+        first, last = key // len(singles), key % len(singles)
+        h, parts, of = longer(h[first], single[last]), [*[x[first] for x in parts], last], of[first]
         gram = np.full(len(word), -1, np.int64)
         gram[at] = inverse
+    yield names.take(pa.array(of)), pc.binary_join_element_wise(*[singles.take(pa.array(x)) for x in parts], pa.scalar(" ", pa.large_string())), count
 
 
-def counted(docs: DataFrame, max_words: int, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, phrase and a, how often it occurs, for all phrases of up to max_words words; the empty one counts all words."""
+def counted(docs: DataFrame, sieves: list[np.ndarray]) -> DataFrame:
+    """lang, phrase and a, how often it occurs, for phrases of one word more than there are sieves; docs: text and lang."""
 
     def count(batches):
         for b in batches:
@@ -115,13 +135,33 @@ def counted(docs: DataFrame, max_words: int, *, text: str = "text", lang: str =
             code = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             data, off, _ = buffers(b.column(0))
             for raw, places, texts in slices(data, off):
-                for of, phrases, n in ngrams(raw, places, code[texts], names.dictionary, max_words):
+                for of, phrases, n in ngrams(raw, places, code[texts], names.dictionary, sieves):
                     for at in range(0, len(n), 1 << 17):
                         part = slice(at, at + (1 << 17))
                         yield pa.RecordBatch.from_arrays([of[part].cast(pa.string()), phrases[part].cast(pa.string()), pa.array(n[part].astype(np.int64))], ["lang", "phrase", "c"])
 
-    rows = pick(docs, text=text, lang=lang).mapInArrow(count, "lang string, phrase string, c long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("c").alias("a"))
+    return docs.mapInArrow(count, "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("a"))
+
+
+def sieve_of(frequent: DataFrame) -> np.ndarray:
+    """A sieve of 2^SIEVE_BITS bits that all phrases of a table (lang, phrase) pass: of that size at any number of them."""
+
+    def bits(batches):
+        for b in batches:
+            lang, words = b.column(0), pc.split_pattern(b.column(1), " ")
+            h, n = hashes(lang), pc.list_value_length(words).to_numpy(zero_copy_only=False)
+            of, first = hashes(words.flatten()), np.concatenate([[0], np.cumsum(n)])[:-1]
+            for k in range(int(n.max(initial=0))):
+                more = n > k
+                h[more] = longer(h[more], of[first[more] + k])
+            at = h >> np.uint64(64 - SIEVE_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["at", "bits"])
+
+    rows = frequent.select("lang", "phrase").mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    for b in rows.toArrow().to_batches():
+        out[b.column(0).to_numpy()] = b.column(1).to_numpy().view(np.uint64)
+    return out
 
 
 def words_of(phrase: str = "phrase"):
@@ -139,9 +179,14 @@ def collocations(docs: DataFrame, *, max_words: int = 3, least: int = 10, within
     A null language is `und`, together with the language of that name. Null and empty texts, empty tables and texts
     without words give no rows; repeated rows count each; ties can't remain, as phrases differ. Other columns, of no matter
     what name, don't matter."""
-    frequent = saved(counted(docs, max_words, text=text, lang=lang).filter((F.col("a") >= least) | (F.col("phrase") == "")))
+    rows, sieves = pick(docs, text=text, lang=lang), []
+    frequent = saved(counted(rows, sieves).filter((F.col("a") >= least) | (F.col("phrase") == "")))
     totals = frequent.filter("phrase = ''").select("lang", F.col("a").alias("n"))
-    counts = frequent.filter(f"phrase <> '' AND a >= {int(least)}")
+    counts = last = frequent.filter(f"phrase <> '' AND a >= {int(least)}")
+    for _ in range(1, max_words):
+        sieves = [*sieves, sieve_of(last)]
+        last = saved(counted(rows, sieves).filter(F.col("a") >= least))
+        counts = counts.unionByName(last)
     candidates = counts.withColumn("w", words_of()).filter("w > 1")
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("w") - 1))).withColumn("left", F.expr("substring_index(phrase, ' ', k)"))
     cuts = cuts.withColumn("right", F.expr("substr(phrase, length(left) + 2)"))

@@ -1,53 +1,240 @@
-"""Nearest neighbours and the features of their graph."""
+"""Nearest neighbours by an index of centroid lists, their exact yardstick, and the features of their graph.
+
+Equal vectors are one entry of the index, with the k + 1 least ids that have it: more of them can be no row's neighbours. Each
+entry is in the list of its nearest centroid; a query goes to the lists of its nearest few. Lists that are too long for a
+task are dealt over several, and so are their queries; candidates are scored exactly."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers that one block of queries holds; the blocks' jobs follow each other, so the broadcast has a fixed size.
-BLOCK_NUMBERS = 1 << 22
-
-
-def exact_knn(vectors: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, neighbour, rank: the k nearest other rows by Euclidean distance, ties to the smaller id.
-
-    Blocks of queries are sent to all rows; each batch keeps its k best, and a window over those of a query decides."""
-    read = vectors.select(F.col(id_column).alias("vec_id"), F.col(vector).cast("array<double>").alias("x")).filter("vec_id IS NOT NULL AND x IS NOT NULL")
-    n, dims = read.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(1))).first()
-    blocks = max(1, -(-n * dims // BLOCK_NUMBERS))
-    out = None
-    for b in range(blocks):
-        rows = read.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        ids, q = np.array([r.vec_id for r in rows], np.int64), np.array([r.x for r in rows]).reshape(len(rows), -1)
-
-        def near(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    part = batch.slice(a, 1024)
-                    own = part.column(0).to_numpy()
-                    x = np.array(part.column(1).to_pylist())
-                    d = np.zeros((len(q), len(x)))
-                    for j in range(q.shape[1] if len(x) else 0):
-                        d += (q[:, j, None] - x[None, :, j]) ** 2
-                    d[ids[:, None] == own[None, :]] = np.inf
-                    order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
-                    i = np.repeat(np.arange(len(q)), order.shape[1])
-                    at = order.reshape(-1)
-                    ok = np.isfinite(d[i, at])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i][ok]), pa.array(own[at][ok]), pa.array(d[i, at][ok])], ["vec_id", "neighbour", "d"])
-
-        if len(rows):
-            found = read.mapInArrow(near, "vec_id long, neighbour long, d double")
-            ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("d", "neighbour"))).filter(F.col("rank") <= k)
-            out = ranked if out is None else out.unionByName(ranked)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "vec_id long, neighbour long, rank int")
-    return out.select("vec_id", "neighbour", "rank")
+from ..checkpoints import saved
+from .matrix import Codes, Scaling
+
+#: Vectors that centroids are fitted on, those with the least hashes; rounds of the fit; most lists.
+SAMPLE_ROWS, ROUNDS, MOST_LISTS = 8192, 12, 4096
+#: Entries and queries that meet in one task.
+TILE = 4096
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, list) to (id, doubles as bytes), without vectors that are null or hold null or non-finite parts."""
+    for b in batches:
+        lists = b.column(1)
+        values = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+        ok = lists.is_valid().to_numpy(zero_copy_only=False) & (bad[ends[1:]] == bad[ends[:-1]])
+        rows = [(values[a:z] + 0.0).tobytes() for a, z, o in zip(ends, ends[1:], ok) if o]  # -0.0 is 0.0
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)).cast(pa.int64()), pa.array(rows, pa.binary())], ["vec_id", "x"])
+
+
+def _matrix(raw: list[bytes], dims: int) -> np.ndarray:
+    out = np.zeros((len(raw), dims))
+    for i, r in enumerate(raw):
+        v = np.frombuffer(r)[:dims]
+        out[i, : len(v)] = v
+    return out
+
+
+def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances, added up dimension by dimension."""
+    d = np.zeros((len(q), len(x)))
+    for j in range(q.shape[1]):
+        d += (q[:, j, None] - x[None, :, j]) ** 2
+    return d
+
+
+def read(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """vec_id and x, a vector as bytes. Rows without an id and vectors that are null or hold null or non-finite parts take no
+    part; of vectors of unlike length the missing parts count as 0 in distances."""
+    return vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector)).filter("vec_id IS NOT NULL").mapInArrow(_read, "vec_id long, x binary")
+
+
+def entries(rows: DataFrame, k: int) -> DataFrame:
+    """x and ids, the k + 1 least of the rows that have it: each vector once."""
+    order = F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))
+    few = rows.withColumn("i", order).filter(F.col("i") <= k + 1)
+    return few.groupBy("x").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+
+
+def _nearest(k: int, dims: int):
+    """The join of a tile: for each query (kind 1) the k nearest entries (kind 0) with other vectors."""
+
+    def join(t: pa.Table) -> pa.Table:
+        kind = t["kind"].to_numpy()
+        at = [np.flatnonzero(kind == i) for i in (0, 1)]
+        raw = [t["x"].take(pa.array(a)).to_pylist() for a in at]
+        x, q = _matrix(raw[0], dims), _matrix(raw[1], dims)
+        ids = t["ids"].take(pa.array(at[0]))
+        least = np.array([i[0] for i in ids.to_pylist()], np.int64)
+        where, found, gaps = [], [], []
+        for a in range(0, len(q) if len(x) else 0, 256):
+            d = _distances(q[a : a + 256], x)
+            for i, same in enumerate(raw[1][a : a + 256]):
+                m = min(k + 1, len(x))
+                near = np.flatnonzero(d[i] <= np.partition(d[i], m - 1)[m - 1])
+                near = near[np.lexsort((least[near], d[i, near]))][: k + 1]
+                near = np.array([j for j in near if raw[0][j] != same][:k], np.int64)
+                where += [a + i] * len(near)
+                found.append(near)
+                gaps.append(d[i, near])
+        found = np.concatenate([np.zeros(0, np.int64), *found])
+        queries = pa.array([raw[1][i] for i in where], pa.binary())
+        return pa.table([queries, pa.array(np.concatenate([np.zeros(0), *gaps])), pa.chunked_array([pa.concat_arrays(ids.take(pa.array(found)).chunks)]) if len(found) else pa.array([], pa.list_(pa.int64()))], ["x", "d", "ids"])
+
+    return join
+
+
+def _answers(asked: DataFrame, found: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """vec_id, neighbour, rank from the neighbouring vectors of each asked one: ids of its own vector are at distance 0."""
+    own = known.select("x", F.lit(0.0).alias("d"), "ids")
+    each = F.transform("ids", lambda i: F.struct(F.col("d").alias("d"), i.alias("id")))
+    lists = found.select("x", "d", "ids").unionByName(own).select("x", each.alias("n")).groupBy("x").agg(F.slice(F.array_sort(F.flatten(F.collect_list("n"))), 1, k + 1).alias("n"))
+    rows = asked.join(lists, "x").select("vec_id", F.slice(F.filter("n", lambda e: e["id"] != F.col("vec_id")), 1, k).alias("n"))
+    return rows.select("vec_id", F.posexplode("n").alias("at", "e")).select("vec_id", F.col("e.id").alias("neighbour"), (F.col("at") + 1).alias("rank"))
+
+
+def _met(tiles: DataFrame, k: int, dims: int) -> DataFrame:
+    """Neighbours over all tiles that a query meets: the k nearest vectors."""
+    met = tiles.groupBy("tile").applyInArrow(_nearest(k, dims), "x binary, d double, ids array<long>")
+    order = Window.partitionBy("x").orderBy("d", F.col("ids")[0])
+    return met.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k).drop("i")
+
+
+def _dims(rows: DataFrame) -> tuple[int, int]:
+    n, size = rows.agg(F.count("*"), F.coalesce(F.max(F.length("x")), F.lit(0))).first()
+    return n, max(1, size // 8)
+
+
+def exact_knn(vectors: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
+    """vec_id, neighbour, rank: the k nearest other rows by Euclidean distance, ties to the smaller id, for each row of
+    queries (all, if none are given). Every query meets every vector, in tiles of a matrix: the yardstick of the index."""
+    rows = saved(read(vectors, id_column, vector))
+    known = saved(entries(rows, k))
+    asked = rows if queries is None else saved(read(queries, id_column, vector))
+    n, dims = _dims(known)
+    wanted = asked.select("x").distinct()
+    across, down = max(1, -(-n // TILE)), max(1, -(-wanted.count() // TILE))
+    part = lambda of: F.pmod(F.xxhash64("x"), F.lit(of))
+    copies = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    a = known.select(F.lit(0).alias("kind"), "x", "ids", part(across).alias("c"), copies(down).alias("r"))
+    b = wanted.select(F.lit(1).alias("kind"), "x", F.lit(None).cast("array<long>").alias("ids"), copies(across).alias("c"), part(down).alias("r"))
+    tiles = a.unionByName(b).withColumn("tile", F.col("r") * across + F.col("c"))
+    return _answers(asked, _met(tiles, k, dims), known, k)
+
+
+@dataclass
+class VectorIndex:
+    """Entries (x, ids, list) by the centroid that is nearest, and how many are in each list."""
+
+    lists: DataFrame
+    centroids: np.ndarray
+    sizes: dict[int, int]
+    k: int
+
+    def _probed(self, wanted: DataFrame, probes: int) -> DataFrame:
+        centroids, most = self.centroids, min(probes, len(self.centroids))
+
+        def probe(batches):
+            for b in batches:
+                x = _matrix(b.column(0).to_pylist(), centroids.shape[1])
+                for a in range(0, len(x), 1024):
+                    d = _distances(x[a : a + 1024], centroids)
+                    at = np.argsort(d, axis=1, kind="stable")[:, :most]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 1024).take(pa.array(np.repeat(np.arange(len(at)), most))), pa.array(at.ravel().astype(np.int32))], ["x", "list"])
+
+        return wanted.select("x").mapInArrow(probe, "x binary, list int")
+
+    def search(self, asked: DataFrame, probes: int) -> tuple[DataFrame, DataFrame]:
+        """Neighbours (vec_id, neighbour, rank) of rows (vec_id, x), and list, entries and queries of all lists visited."""
+        spark = self.lists.sparkSession
+        visits = saved(self._probed(asked.select("x").distinct(), probes))
+        counts = visits.groupBy("list").agg(F.count("*").alias("n")).collect()  # no more rows than lists
+        rows, first = [], 0
+        for r in sorted(counts):
+            across, down = -(-self.sizes.get(r.list, 1) // TILE), -(-r.n // TILE)
+            rows.append((r.list, first, across, down, self.sizes.get(r.list, 0), r.n))
+            first += across * down
+        plan = spark.createDataFrame(rows, "list int, first int, across int, down int, entries long, queries long")
+        part = lambda of: F.pmod(F.xxhash64("x"), F.col(of)).cast("int")
+        copies = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        a = self.lists.join(F.broadcast(plan), "list").select(F.lit(0).alias("kind"), "x", "ids", "first", "across", part("across").alias("c"), copies("down").alias("r"))
+        b = visits.join(F.broadcast(plan), "list").select(F.lit(1).alias("kind"), "x", F.lit(None).cast("array<long>").alias("ids"), "first", "across", copies("across").alias("c"), part("down").alias("r"))
+        tiles = a.unionByName(b).withColumn("tile", F.col("first") + F.col("r") * F.col("across") + F.col("c"))
+        found = _met(tiles, self.k, self.centroids.shape[1])
+        return _answers(asked, found, self.lists, self.k), plan.select("list", "entries", "queries")
+
+
+def fitted_centroids(sample: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Centroids of a bounded sample: from rows spread over it by their distance, moved to the means of their rows."""
+    rng = np.random.default_rng(7)
+    chosen = [0]
+    gap = _distances(sample[:1], sample)[0]
+    for _ in range(min(lists, len(sample)) - 1):
+        if gap.sum() == 0:
+            break
+        chosen.append(int(rng.choice(len(sample), p=gap / gap.sum())))
+        gap = np.minimum(gap, _distances(sample[chosen[-1:]], sample)[0])
+    centroids = sample[chosen]
+    for _ in range(rounds):
+        near = np.concatenate([_distances(sample[a : a + 1024], centroids).argmin(1) for a in range(0, len(sample), 1024)])
+        total = np.zeros_like(centroids)
+        np.add.at(total, near, sample)
+        n = np.bincount(near, minlength=len(centroids))
+        centroids = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centroids)
+    return centroids
+
+
+def build_index(rows: DataFrame, k: int, lists: int | None = None) -> VectorIndex:
+    """An index of rows (vec_id, x). By default there are as many lists as the root of the number of vectors; the centroids
+    are fitted on SAMPLE_ROWS of them, all are in a list."""
+    known = saved(entries(rows, k))
+    n, dims = _dims(known)
+    lists = min(MOST_LISTS, lists or max(1, int(n**0.5)))
+    sample = _matrix([bytes(r.x) for r in known.orderBy(F.xxhash64("x"), "x").limit(SAMPLE_ROWS).select("x").collect()], dims)
+    centroids = fitted_centroids(sample, lists) if len(sample) else np.zeros((1, dims))
+
+    def assign(batches):
+        for b in batches:
+            x = _matrix(b.column(0).to_pylist(), dims)
+            near = [_distances(x[a : a + 1024], centroids).argmin(1) for a in range(0, len(x), 1024)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *near]).astype(np.int32))], ["x", "ids", "list"])
+
+    dealt = saved(known.mapInArrow(assign, "x binary, ids array<long>, list int"))
+    sizes = {r.list: r.n for r in dealt.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    return VectorIndex(dealt, centroids, sizes, k)
+
+
+def indexed_knn(vectors: DataFrame, k: int, *, probes: int, lists: int | None = None, id_column: str = "vec_id", vector: str = "embedding", queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """vec_id, neighbour, rank as exact_knn finds them in the lists that are probed, and the lists' entries and queries, whose
+    products are the work. Empty tables give no rows; repeated rows of one id are one candidate."""
+    rows = saved(read(vectors, id_column, vector))
+    asked = rows if queries is None else saved(read(queries, id_column, vector))
+    return build_index(rows, k, lists).search(asked, probes)
+
+
+def recall(found: DataFrame, true: DataFrame) -> DataFrame:
+    """queries, and the share of true neighbours that were found."""
+    hit = true.join(found.select("vec_id", "neighbour", F.lit(1).alias("hit")), ["vec_id", "neighbour"], "left")
+    return hit.agg(F.count_distinct("vec_id").alias("queries"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
+def graph_vectors(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], multiplier: float = 3.0, id_column: str = "id") -> DataFrame:
+    """vec_id and embedding: a 0 or 1 for each value of each category, and standardised numbers times the multiplier."""
+    codes, scaling = Codes(categorical).fit(df), Scaling(numeric).fit(df)
+    sizes = {c: codes.tables[c].count() for c in categorical}
+    flags = [(F.col(f"code_{c}") == i).cast("double") for c in categorical for i in range(1, sizes[c] + 1)]
+    numbers = [F.col(f"z_{c}") * multiplier for c in numeric]
+    return scaling.apply(codes.apply(df)).select(F.col(id_column).alias("vec_id"), F.array(*flags, *numbers).alias("embedding"))
 
 
 def neighbour_means(edges: DataFrame, values: DataFrame, columns: list[str], id_column: str = "vec_id") -> DataFrame:

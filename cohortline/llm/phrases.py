@@ -12,17 +12,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._arrow import BASE, buffers, mix
+from ._arrow import BASE, _tables, buffers, mix
 from ._spark import pick, saved, table
 
 #: Bytes of text that are counted at once; a longer text is cut at the end of a piece.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 #: The sieve of frequent phrases has 2^SIEVE_BITS bits: 4 MB.
 SIEVE_BITS = 25
 #: Parts of a language's phrases that are ranked apart, before the best of all parts are.
@@ -72,7 +71,12 @@ def slices(data: np.ndarray, off: np.ndarray, size: int = 0) -> Iterator[tuple[n
 
 def hashes(texts: pa.Array) -> np.ndarray:
     """64-bit hashes of strings, the same on all machines."""
-    return pd.util.hash_array(np.asarray(texts.to_pylist(), object), categorize=False) if len(texts) else np.zeros(0, np.uint64)
+    data, off, _ = buffers(texts)
+    data, off = data[off[0] : off[-1]], off - off[0]
+    up, down = _tables(len(data) + 1)
+    run = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(data.astype(np.uint64) * up[: len(data)], out=run[1:])
+    return mix(((run[off[1:]] - run[off[:-1]]) * down[off[:-1]]) ^ (np.diff(off).astype(np.uint64) << np.uint64(56)))
 
 
 def longer(first: np.ndarray, word: np.ndarray) -> np.ndarray:

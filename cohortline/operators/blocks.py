@@ -145,19 +145,41 @@ BASES: dict[str, Stages] = {
 #: Columns, outputs and names of a surface: (column, prefix).
 SURFACE = (("_mc", "monthly"), ("_tc", "total"), ("monthly_per_active_service", "mpas"), ("support_services_count", "support"), ("paid_services_count", "paid"), ("current_vs_effective_monthly_delta", "delta"))
 
-# Other names of the blocks.
-NAMES = {
-    "O": "OUTLIER OUTLIERS OUTLIER_FLAGS FLAGS",
-    "P": "PCLIP CLIP CLIPPING PERCENTILE_CLIP",
-    "R": "RENEWAL LIFECYCLE CYCLE",
-    "G": "COVERAGE BACKOFF SUPPORT FAMILY",
-    "F": "SURFACE FOCUS EC_SURFACE",
-    "T": "SURFACE_FIT TRAIN_SURFACE EC_SURFACE_FIT",
-    "H": "HARD CONTRAST COHORT COHORT_CONTRAST",
-    "S": "SERVICE SERVICES BUNDLE TOPOLOGY",
-    "V": "VALUE PRESSURE FRICTION",
+# Other names of the blocks, and the block that each stands for.
+ALIASES = {
+    "OUTLIER": "O",
+    "OUTLIERS": "O",
+    "OUTLIER_FLAGS": "O",
+    "FLAGS": "O",
+    "PCLIP": "P",
+    "CLIP": "P",
+    "CLIPPING": "P",
+    "PERCENTILE_CLIP": "P",
+    "RENEWAL": "R",
+    "LIFECYCLE": "R",
+    "CYCLE": "R",
+    "COVERAGE": "G",
+    "BACKOFF": "G",
+    "SUPPORT": "G",
+    "FAMILY": "G",
+    "SURFACE": "F",
+    "FOCUS": "F",
+    "EC_SURFACE": "F",
+    "SURFACE_FIT": "T",
+    "TRAIN_SURFACE": "T",
+    "EC_SURFACE_FIT": "T",
+    "HARD": "H",
+    "CONTRAST": "H",
+    "COHORT": "H",
+    "COHORT_CONTRAST": "H",
+    "SERVICE": "S",
+    "SERVICES": "S",
+    "BUNDLE": "S",
+    "TOPOLOGY": "S",
+    "VALUE": "V",
+    "PRESSURE": "V",
+    "FRICTION": "V",
 }
-ALIASES = {name: block for block, names in NAMES.items() for name in names.split()}
 STATEFUL = ("G", "T")
 
 

@@ -36,12 +36,13 @@ def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter("split = 'train'"), rows.filter("split = 'test'")
 
 
+_TRAIN = "(SELECT * FROM tr WHERE split = 'train')"
 _LOSS = lambda y, p: f"-({y} * ln({K.clip(p)}) + (1 - {y}) * ln(1 - {K.clip(p)}))"
 _FAM = f"tr AS (SELECT *, {K.segment3()} AS segment3, {K.segment5()} AS segment5, {_LOSS('target', 'reference_pred')} AS rl, {_LOSS('target', 'candidate_pred')} AS cl FROM scored), " + ", ".join(
     f"f{n} AS (SELECT 'segment{n}' AS family_level, b.segment{n} AS family_value, b.train_rows, b.positive_rows, b.positive_rate, b.rl, b.cl, r.auc AS reference_auc, c.auc AS candidate_auc, coalesce(t.test_rows, 0) AS test_rows FROM "
     f"(SELECT segment{n}, count(*) AS train_rows, sum(target) AS positive_rows, avg(target) AS positive_rate, avg(rl) AS rl, avg(cl) AS cl FROM tr WHERE split = 'train' GROUP BY 1) b "
-    f"JOIN ({duck_auc(chr(40) + 'SELECT * FROM tr WHERE split = ' + chr(39) + 'train' + chr(39) + chr(41), 'target', 'reference_pred', f'segment{n}')}) r USING (segment{n}) "
-    f"JOIN ({duck_auc(chr(40) + 'SELECT * FROM tr WHERE split = ' + chr(39) + 'train' + chr(39) + chr(41), 'target', 'candidate_pred', f'segment{n}')}) c USING (segment{n}) "
+    f"JOIN ({duck_auc(_TRAIN, 'target', 'reference_pred', f'segment{n}')}) r USING (segment{n}) "
+    f"JOIN ({duck_auc(_TRAIN, 'target', 'candidate_pred', f'segment{n}')}) c USING (segment{n}) "
     f"LEFT JOIN (SELECT segment{n}, count(*) AS test_rows FROM tr WHERE split = 'test' GROUP BY 1) t USING (segment{n}))" for n in (3, 5)
 ) + ", fam AS (SELECT *, rl * train_rows / (SELECT count(*) FROM tr WHERE split = 'train') AS rc, cl * train_rows / (SELECT count(*) FROM tr WHERE split = 'train') AS cc FROM (SELECT * FROM f3 UNION ALL SELECT * FROM f5)), famd AS (SELECT *, candidate_auc - reference_auc AS delta_auc, (cc - rc) / greatest(abs(rc), 1e-12) AS rd FROM fam)"
 
@@ -60,7 +61,7 @@ register(
 _TARGET = f"{DOMINANT}__Yes__7_12"
 _SISTER = K.sister_family(_TARGET)
 _one = lambda name, value, ok: f"SELECT '{name}' AS \"check\", CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS status, {d6('v', 'value')} FROM (SELECT {value} AS v)"
-_tr_auc = lambda p: f"(SELECT auc FROM ({duck_auc(chr(40) + 'SELECT * FROM tr WHERE split = ' + chr(39) + 'train' + chr(39) + chr(41), 'target', p)}))"
+_tr_auc = lambda p: f"(SELECT auc FROM ({duck_auc(_TRAIN, 'target', p)}))"
 _of = lambda level, v: f"(SELECT max(delta_auc) FROM famd WHERE family_level = 'segment{level}' AND family_value = '{v}')"
 _checks = " UNION ALL ".join([
     _one("split_a_delta_auc", f"{_tr_auc('candidate_pred')} - {_tr_auc('reference_pred')}", "v >= 1e-5"), _one("split_b_dominant_family", _of(3, DOMINANT), "v >= -2e-4"),
@@ -206,5 +207,5 @@ register(
 register(
     "submission_parity",
     lambda s, d: (lambda tr, te: tr.agg(F.count("*").alias("train_rows"), F.min("reference_pred").alias("a"), F.max("reference_pred").alias("b")).crossJoin(te.agg(F.count("*").alias("test_rows"), F.sum(((F.col("reference_pred") < 0) | (F.col("reference_pred") > 1)).cast("long")).alias("out_of_range"), F.count_distinct("id").alias("test_ids"))).select("train_rows", "test_rows", "test_ids", "out_of_range", r6("a", "train_low"), r6("b", "train_high")))(*sides(s, d)),
-    f"SELECT count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'test') AS test_rows, count(DISTINCT id) FILTER (split = 'test') AS test_ids, cast(sum(CASE WHEN split = 'test' AND (reference_pred < 0 OR reference_pred > 1) THEN 1 ELSE 0 END) AS BIGINT) AS out_of_range, {d6('min(CASE WHEN split = ' + chr(39) + 'train' + chr(39) + ' THEN reference_pred END)', 'train_low')}, {d6('max(CASE WHEN split = ' + chr(39) + 'train' + chr(39) + ' THEN reference_pred END)', 'train_high')} FROM scored",
+    f"SELECT count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'test') AS test_rows, count(DISTINCT id) FILTER (split = 'test') AS test_ids, cast(sum(CASE WHEN split = 'test' AND (reference_pred < 0 OR reference_pred > 1) THEN 1 ELSE 0 END) AS BIGINT) AS out_of_range, {d6("min(CASE WHEN split = 'train' THEN reference_pred END)", 'train_low')}, {d6("max(CASE WHEN split = 'train' THEN reference_pred END)", 'train_high')} FROM scored",
 )

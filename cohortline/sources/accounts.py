@@ -10,7 +10,7 @@ from ..schema import SERVICES
 #: Divisors of the services' parities, and multipliers of each model's noise.
 SERVICE_DIVISORS = dict(zip(SERVICES, (3, 5, 7, 11, 13, 17)))
 FLAG_DIVISORS = {"PhoneService": 19, "MultipleLines": 23, "gender": 29, "Partner": 31, "Dependents": 37, "SeniorCitizen": 41}
-FLAG_VALUES = {"gender": ("'Male'", "'Female'"), "SeniorCitizen": ("1", "0")}
+FLAG_VALUES = {f: ("'Yes'", "'No'") for f in FLAG_DIVISORS} | {"gender": ("'Male'", "'Female'"), "SeniorCitizen": ("1", "0")}
 MODELS = {"cb": (3, 5), "xgb": (7, 11), "lgb": (13, 17), "r": (19, 23), "rv": (29, 31)}
 #: Weights of the reference blend.
 REFERENCE_WEIGHTS = {"cb": 0.35, "xgb": 0.25, "lgb": 0.15, "r": 0.10, "rv": 0.15}
@@ -36,7 +36,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "target": F.when((cents * 31 + k * 17) % 100 < F.col("_base"), 1).otherwise(0),
         "TotalCharges": F.when(k % 997 != 0, ((1825 + cents % 10051) * F.col("tenure") + cents % 2001).cast("double") / 100),
         **{s: F.when(F.col("InternetService") == "No", "No internet service").when(F.expr(f"(_c div {d}) % 2 = 0"), "Yes").otherwise("No") for s, d in SERVICE_DIVISORS.items()},
-        **{f: F.expr(f"CASE WHEN (_c div {d}) % 2 = 0 THEN {FLAG_VALUES.get(f, (chr(39) + 'Yes' + chr(39), ''))[0]} ELSE {FLAG_VALUES.get(f, ('', chr(39) + 'No' + chr(39)))[1]} END") for f, d in FLAG_DIVISORS.items()},
+        **{f: F.expr(f"CASE WHEN (_c div {d}) % 2 = 0 THEN {FLAG_VALUES[f][0]} ELSE {FLAG_VALUES[f][1]} END") for f, d in FLAG_DIVISORS.items()},
     })
     a = a.withColumns({
         "Churn": F.when(F.col("target") == 1, "Yes").otherwise("No"), "split": F.when(k % 5 == 4, "test").otherwise("train"),
@@ -48,7 +48,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _duck() -> str:
     flags = ",\n    ".join(
         [f"CASE WHEN InternetService = 'No' THEN 'No internet service' WHEN (c // {d}) % 2 = 0 THEN 'Yes' ELSE 'No' END AS {s}" for s, d in SERVICE_DIVISORS.items()]
-        + [f"CASE WHEN (c // {d}) % 2 = 0 THEN {FLAG_VALUES.get(f, (chr(39) + 'Yes' + chr(39), chr(39) + 'No' + chr(39)))[0]} ELSE {FLAG_VALUES.get(f, ('', chr(39) + 'No' + chr(39)))[1]} END AS {f}" for f, d in FLAG_DIVISORS.items()]
+        + [f"CASE WHEN (c // {d}) % 2 = 0 THEN {FLAG_VALUES[f][0]} ELSE {FLAG_VALUES[f][1]} END AS {f}" for f, d in FLAG_DIVISORS.items()]
     )
     preds = ",\n    ".join(f"cast(100 + base * 60 + (3000 * target * (id % 3)) // 3 + (c * {x} + id * {y}) % 1500 AS DOUBLE) / 10000 AS pred_{m}" for m, (x, y) in MODELS.items())
     return f"""accounts0 AS (

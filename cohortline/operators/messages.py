@@ -40,8 +40,13 @@ def shaped(x: np.ndarray, like: Parameters) -> Parameters:
 
 def _array(column: pa.Array, width: int) -> np.ndarray:
     """Rows of numbers; a null row is zeros."""
-    rows = column.to_pylist()
-    return np.array([r if r is not None else [0.0] * width for r in rows]).reshape(len(rows), width)
+    out = np.zeros((len(column), width))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
 
 def _mapped(df: DataFrame, columns: list[str], made: dict[str, int], f) -> DataFrame:
@@ -54,7 +59,7 @@ def _mapped(df: DataFrame, columns: list[str], made: dict[str, int], f) -> DataF
     def run(batches):
         for b in batches:
             out = f({n: c for n, c in zip(b.schema.names, b.columns)})
-            more = [pa.array(out[n].tolist(), pa.list_(pa.float64())) if w else pa.array(out[n], pa.float64()) for n, w in made.items()]
+            more = [_lists(out[n]) if w else pa.array(out[n], pa.float64()) for n, w in made.items()]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *made])
 
     return kept.mapInArrow(run, schema)

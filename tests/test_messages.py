@@ -51,7 +51,7 @@ def test_learned_messages_beat_fixed_means(spark):
     edges = [(i, int(j)) for i in range(400) for j in rng.permutation(np.flatnonzero((of == of[i]) & (np.arange(400) != i)))[:5]]
     nodes = spark.createDataFrame([(i, x[i].tolist(), int(y[i]), int(of[i] % 2)) for i in range(400)], "id long, x array<double>, y int, learn int").checkpoint()
     e = spark.createDataFrame(edges, "vec_id long, neighbour long").checkpoint()
-    model = S.fit(nodes, e, width=8, rounds=25, rate=0.1)
+    model = S.fit(nodes, e, width=8, rounds=14, rate=0.12)
     assert model.losses[-1] < 0.7 * model.losses[0]
     got = S.predicted(nodes, S.weighted_edges(e), model.parameters).join(nodes.filter("learn = 0").select("id"), "id")
     trained = auc(got, [], "y", "prediction").first()[0]

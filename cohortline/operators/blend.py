@@ -113,32 +113,66 @@ def invert(df: DataFrame, first: tuple[str, Mapping[str, float]], second: tuple[
 def normalise_weights(weights: Sequence[float]) -> list[float]:
     """Negative weights as 0, and all to a sum of 1; equal ones if nothing is left."""
     w = [max(0.0, x) for x in weights]
-    return [x / sum(w) for x in w] if sum(w) > 0 else [1 / len(w)] * len(w)
+    total = reduce(lambda a, b: a + b, w)  # in order, as other engines add
+    return [x / total for x in w] if total > 0 else [1 / len(w)] * len(w)
+
+
+def weight_moves(now: Sequence[float], step: float) -> list[list[float]]:
+    """The weights themselves, and those after each step of one weight, down and then up, with the others rescaled; a step
+    beyond 0 or 1 isn't one."""
+    out = [list(now)]
+    for i, w in enumerate(now):
+        for x in (w - step, w + step):
+            if 0.0 <= x <= 1.0:
+                rest, others = 1.0 - w, len(now) - 1
+                moved = [x if j == i else (v * (1.0 - x) / rest if rest > 1e-12 else (1.0 - x) / others) for j, v in enumerate(now)]
+                out.append(normalise_weights(moved))
+    return out
+
+
+def move_scores(rows: DataFrame, tried: Mapping[tuple[int, int], list[list[float]]], models: Sequence[str], y: str = "target") -> DataFrame:
+    """repeat, left_out, move, auc: the AUC of each tried blend of each fit over the rows of its repeat outside its fold, in one
+    job. rows: repeat, fold, y and the models' columns; tried: weights by (repeat, left_out), few at any number of rows."""
+    grid = [(r, f, i, *w) for (r, f), many in sorted(tried.items()) for i, w in enumerate(many)]
+    names = [f"_w{j}" for j in range(len(models))]
+    schema = "_repeat int, left_out int, move int, " + ", ".join(f"{n} double" for n in names)
+    small = F.broadcast(rows.sparkSession.createDataFrame(grid, schema))
+    each = rows.join(small, (F.col("repeat") == F.col("_repeat")) & (F.col("fold") != F.col("left_out")))
+    s = reduce(lambda a, b: a + b, [F.col(w) * F.col(m) for w, m in zip(names, models)])
+    return auc(each.select("repeat", "left_out", "move", y, s.alias("_s")), ["repeat", "left_out", "move"], y, "_s")
+
+
+def batched_descent(
+    rows: DataFrame, fits: Sequence[tuple[int, int]], models: Sequence[str], y: str = "target", step: float = 0.02, rounds: int = 25
+) -> dict[tuple[int, int], tuple[list[float], float]]:
+    """Blend weights and their AUC for each fit (repeat, left_out): in each round every fit takes its best move, while that
+    gains more than 1e-10. A round is one job for all moves of all fits that still go on. A fit without rows of both
+    classes keeps equal weights and has no AUC."""
+    best = {f: (normalise_weights([1.0] * len(models)), float("nan")) for f in fits}
+    open_ = set(fits)
+    for _ in range(rounds):
+        if not open_:
+            break
+        tried = {f: weight_moves(best[f][0], step) for f in open_}
+        found: dict[tuple[int, int], dict[int, float]] = {}
+        for r in move_scores(rows, tried, models, y).collect():  # a row for each move
+            if r["auc"] is not None:
+                found.setdefault((r["repeat"], r["left_out"]), {})[r["move"]] = r["auc"]
+        for f in list(open_):
+            scores = found.get(f)
+            if scores is None:
+                open_.discard(f)
+                continue
+            at = max(scores, key=lambda i: (scores[i], -i))
+            if scores[at] <= scores[0] + 1e-10:
+                best[f] = (best[f][0], scores[0])
+                open_.discard(f)
+            else:
+                best[f] = (tried[f][at], scores[at])
+    return best
 
 
 def coordinate_descent(df: DataFrame, models: Sequence[str], y: str = "target", step: float = 0.02, rounds: int = 25) -> tuple[list[float], float]:
-    """Blend weights that raise the AUC: in each round all moves of one weight by a step up or down (the others rescaled)
-    are scored by one job, and the best is taken while it gains more than 1e-10."""
-    w = normalise_weights([1.0] * len(models))
-
-    def moves(now: list[float]) -> list[list[float]]:
-        out = [now]
-        for i in range(len(now)):
-            for d in (step, -step):
-                x = min(1.0, max(0.0, now[i] + d))
-                rest = sum(now) - now[i]
-                out.append([x if j == i else (v * (1 - x) / rest if rest > 0 else (1 - x) / (len(now) - 1)) for j, v in enumerate(now)])
-        return out
-
-    now = -1.0
-    for _ in range(rounds):
-        tried = moves(w)
-        grid = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), *[F.lit(v).alias(f"w{j}") for j, v in enumerate(t)]) for i, t in enumerate(tried)])).alias("g")
-        s = reduce(lambda a, b: a + b, [F.col(f"g.w{j}") * F.col(f"pred_{m}") for j, m in enumerate(models)])
-        scored = {r.pos: r.auc for r in auc(df.withColumn("g", grid).select(F.col("g.pos").alias("pos"), y, s.alias("_s")), ["pos"], y, "_s").collect()}
-        at = max(scored, key=lambda i: (scored[i], -i))
-        now = scored[0] if now < 0 else now
-        if scored[at] <= now + 1e-10:
-            break
-        w, now = tried[at], scored[at]
-    return w, now
+    """Blend weights (of columns pred_<model>) that no step of one of them improves, and their AUC over all rows."""
+    rows = df.select(F.lit(0).alias("repeat"), F.lit(0).alias("fold"), y, *[f"pred_{m}" for m in models])
+    return batched_descent(rows, [(0, -1)], [f"pred_{m}" for m in models], y, step, rounds)[0, -1]

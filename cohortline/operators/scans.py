@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
 from ..functions import keys as K
 from ..functions.metrics import auc, average_rank
 from . import blend as B
@@ -103,10 +104,10 @@ def override_prediction(df: DataFrame, mask: Column, specialist: Column, alpha:
     return df.withColumns({"specialist_mask": inside.cast("int"), "specialist_pred": F.when(inside, specialist), "prediction": F.when(inside, (1 - alpha) * F.col(reference) + alpha * specialist).otherwise(F.col(reference))})
 
 
-def robustness(df: DataFrame, models: Sequence[str], repeats: int = 3, folds: int = 5, seed: int = 42, y: str = "target", id_column: str = "id", weighted: bool = False) -> DataFrame:
+def robustness(df: DataFrame, models: Sequence[str], repeats: int = 3, folds: int = 5, seed: int = 42, y: str = "target", id_column: str = "id", weighted: bool = False, step: float = 0.02, rounds: int = 25) -> DataFrame:
     """method, cv_mean_auc, cv_std_auc, cv_min_auc, cv_max_auc, full_auc and optimism (full less mean) of ensembles with
     equal weights and of mean ranks, over repeated folds; ranks are those within a fold's rows. With weighted=True also of
-    weights by coordinate descent, fitted on the other folds: a job for each of its rounds."""
+    weights by coordinate descent, fitted on the other folds: a job for each of its rounds, for all folds together."""
     equal = reduce(lambda a, b: a + b, [F.col(m) for m in models]) / len(models)
     each = F.explode(F.array(*[F.lit(r) for r in range(repeats)]))
     rows = df.select(F.col(id_column).alias("_id"), F.col(y).alias("_y"), *models, each.alias("repeat"))
@@ -128,23 +129,24 @@ def robustness(df: DataFrame, models: Sequence[str], repeats: int = 3, folds: in
         part = part.select(F.lit(method).alias("method"), "*", (F.col("full_auc") - F.col("cv_mean_auc")).alias("optimism"))
         out = part if out is None else out.unionByName(part)
     if weighted:
-        out = out.unionByName(_weighted(dealt, plain, models, repeats, folds))
+        out = out.unionByName(_weighted(dealt, plain, models, repeats, folds, step, rounds))
     return out
 
 
-def _weighted(dealt: DataFrame, plain: DataFrame, models: Sequence[str], repeats: int, folds: int) -> DataFrame:
-    names = [m.removeprefix("pred_") for m in models]
-    score = lambda d, w: d.withColumn("_s", reduce(lambda a, b: a + b, [F.col(m) * x for m, x in zip(models, w)]))
-    aucs = []
-    for r in range(repeats):
-        for f in range(folds):
-            own = dealt.filter(F.col("repeat") == r)
-            w, _ = B.coordinate_descent(own.filter(F.col("fold") != f), names, "_y")
-            aucs.append(auc(score(own.filter(F.col("fold") == f), w), [], "_y", "_s").first()["auc"])  # one number
-    _, full = B.coordinate_descent(plain, names, "_y")
-    mean = sum(aucs) / len(aucs)
-    std = (sum((a - mean) ** 2 for a in aucs) / len(aucs)) ** 0.5
-    return plain.sparkSession.createDataFrame([("weighted", mean, std, min(aucs), max(aucs), full, full - mean)], "method string, cv_mean_auc double, cv_std_auc double, cv_min_auc double, cv_max_auc double, full_auc double, optimism double")
+def _weighted(dealt: DataFrame, plain: DataFrame, models: Sequence[str], repeats: int, folds: int, step: float, rounds: int) -> DataFrame:
+    """The row of weights by descent: those of all folds and of all rows (as repeat -1) are fitted together."""
+    whole = plain.select(F.lit(-1).alias("repeat"), F.lit(0).alias("fold"), "_y", *models)
+    rows = saved(dealt.select(F.col("repeat").cast("int").alias("repeat"), F.col("fold").cast("int").alias("fold"), "_y", *models).unionByName(whole))
+    fits = [(-1, -1), *[(r, f) for r in range(repeats) for f in range(folds)]]
+    fitted = B.batched_descent(rows, fits, models, "_y", step, rounds)
+    table = [(r, f, *w) for (r, f), (w, _) in fitted.items() if r >= 0]
+    names = [f"_w{j}" for j in range(len(models))]
+    weights = F.broadcast(plain.sparkSession.createDataFrame(table, "repeat int, fold int, " + ", ".join(f"{n} double" for n in names)))
+    blended = reduce(lambda a, b: a + b, [F.col(w) * F.col(m) for w, m in zip(names, models)])
+    held = auc(rows.join(weights, ["repeat", "fold"]).withColumn("_s", blended), ["repeat", "fold"], "_y", "_s")
+    full = fitted[-1, -1][1]
+    cv = held.agg(F.avg("auc").alias("cv_mean_auc"), F.stddev_pop("auc").alias("cv_std_auc"), F.min("auc").alias("cv_min_auc"), F.max("auc").alias("cv_max_auc"))
+    return cv.select(F.lit("weighted").alias("method"), "*", F.lit(full).alias("full_auc"), (F.lit(full) - F.col("cv_mean_auc")).alias("optimism"))
 
 
 def renormalised(weights: Mapping[str, float], available: Sequence[str]) -> dict[str, float]:

@@ -1,4 +1,5 @@
-"""Exact metrics, ranks and quantiles as DataFrame plans without a task that holds all rows."""
+"""Exact metrics, ranks and quantiles as DataFrame plans without a task that holds all rows. All three first count distinct
+values; quantiles save the counts, which they read several times."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
 from .keys import clip
 
 #: Ranges that the numbers between a power of two and the next one fall into.
@@ -86,7 +88,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, named: Mapping[str,
 
     Neither a group's values nor its distinct ones come together in one task."""
     by = list(by)
-    counts = numbers(df, value).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    counts = saved(numbers(df, value).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
     ranked = cumulated(counts, by, "_v", {"_below": "_n"})
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
 from ..functions import keys as K
 from ..functions.metrics import quantiles
 from .blend import array_statistics
@@ -39,6 +40,7 @@ def numeric_drift(df: DataFrame, columns: Sequence[str], is_test: str = "is_test
     """For each column: counts, missing rates, moments and percentiles of both sides, and the population stability index
     over the training side's quantile bins. All columns go through one pass as (column, value) cells."""
     cells = df.select(F.col(is_test).cast("int").alias("t"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.expr(K.number(c)).alias("x")) for c in columns])).alias("c")).select("t", "c.column", "c.x")
+    cells = saved(cells)  # read for the moments, the quantiles of both sides and the bins
     side = lambda agg, t: agg(F.when(F.col("t") == t, F.col("x")))
     measures = []
     for t, n in ((0, "train"), (1, "test")):
@@ -93,11 +95,14 @@ def noise_audit(df: DataFrame, teachers: Sequence[str], sig: Column, wrong: floa
     """id and the first reason that holds: a conflict in a small group of near duplicates; a reference that is far off
     with teachers that all are on its side and agree; an error over the `hard` quantile with teachers that agree."""
     error = F.when(F.col(target) == 1, 1 - F.col(reference)).otherwise(F.col(reference))
-    rows = df.withColumns({"_sig": sig, "_err": error, "_sd": array_statistics(teachers)["std"]})
-    groups = rows.groupBy("_sig").agg(F.count("*").alias("_n"), F.sum(target).alias("_p"))
-    limits = quantiles(rows, [], "_err", {"_hard": hard}).crossJoin(quantiles(rows, [], "_sd", {"_calm": 0.5}))  # one row each
     all_wrong = F.forall(F.array(*teachers), lambda x: (x >= 0.5) != (F.col(target) == 1))
-    out = rows.join(groups, "_sig").crossJoin(F.broadcast(limits))
+    rows = saved(df.select("id", F.col(target).alias("_y"), sig.alias("_sig"), error.alias("_err"), array_statistics(teachers)["std"].alias("_sd"), all_wrong.alias("_wrong")))
+    groups = rows.groupBy("_sig").agg(F.count("*").alias("_n"), F.sum("_y").alias("_p"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("x")) for c in ("_err", "_sd")])).alias("s")
+    both = quantiles(rows.select(cells).select("s.*"), ["c"], "x", {"hard": hard, "calm": 0.5})
+    limits = both.agg(F.max(F.when(F.col("c") == "_err", F.col("hard"))).alias("_hard"), F.max(F.when(F.col("c") == "_sd", F.col("calm"))).alias("_calm"))
+    out = rows.join(groups, "_sig").crossJoin(F.broadcast(limits))  # one row
+    all_wrong = F.col("_wrong")
     reason = F.when(F.col("_n").between(2, small) & (F.col("_p") > 0) & (F.col("_p") < F.col("_n")), "near_duplicate_conflict")
     reason = reason.when((F.col("_err") >= wrong) & (F.col("_sd") <= F.col("_calm")) & all_wrong, "label_noise").when((F.col("_err") >= F.col("_hard")) & (F.col("_sd") <= F.col("_calm")), "hard_stable")
-    return out.withColumn("reason", reason).filter("reason IS NOT NULL").drop("_sig", "_err", "_sd", "_n", "_p", "_hard", "_calm")
+    return out.select("id", reason.alias("reason")).filter("reason IS NOT NULL")

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
 from ..functions.metrics import auc, logloss, quantiles
 
 # The least rows of a group in each dimension, and of a group of hard cases.
@@ -21,9 +22,12 @@ def with_hard_cases(df: DataFrame, quantile: float = 0.95, y: str = "target", si
     """df with <side>_loss and <side>_hard of both predictions <side>_pred: hard are losses at or over their exact quantile."""
     if not 0.5 < quantile < 1:
         raise ValueError(f"The quantile must lie between 0.5 and 1: {quantile}")
-    out = df.withColumns({f"{s}_loss": logloss(y, f"{s}_pred") for s in sides})
-    limits = quantiles(out, [], f"{sides[0]}_loss", {f"_{sides[0]}": quantile}).crossJoin(quantiles(out, [], f"{sides[1]}_loss", {f"_{sides[1]}": quantile}))
-    return out.crossJoin(F.broadcast(limits)).withColumns({f"{s}_hard": (F.col(f"{s}_loss") >= F.col(f"_{s}")).cast("int") for s in sides}).drop(*[f"_{s}" for s in sides])  # one row
+    out = saved(df.withColumns({f"{s}_loss": logloss(y, f"{s}_pred") for s in sides}))  # read for the limits and by each report
+    cells = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_loss").alias("x")) for s in sides]))
+    found = quantiles(out.select(cells.alias("c")).select("c.*"), ["side"], "x", {"limit": quantile})
+    limits = found.agg(*[F.max(F.when(F.col("side") == s, F.col("limit"))).alias(f"_{s}") for s in sides])
+    hard = {f"{s}_hard": (F.col(f"{s}_loss") >= F.col(f"_{s}")).cast("int") for s in sides}
+    return out.crossJoin(F.broadcast(limits)).withColumns(hard).drop(*[f"_{s}" for s in sides])  # one row
 
 
 def group_errors(df: DataFrame, dimensions: Mapping[str, str], min_rows: Mapping[str, int], y: str = "target") -> DataFrame:

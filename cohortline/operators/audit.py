@@ -106,3 +106,44 @@ def noise_audit(df: DataFrame, teachers: Sequence[str], sig: Column, wrong: floa
     reason = F.when(F.col("_n").between(2, small) & (F.col("_p") > 0) & (F.col("_p") < F.col("_n")), "near_duplicate_conflict")
     reason = reason.when((F.col("_err") >= wrong) & (F.col("_sd") <= F.col("_calm")) & all_wrong, "label_noise").when((F.col("_err") >= F.col("_hard")) & (F.col("_sd") <= F.col("_calm")), "hard_stable")
     return out.select("id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def label_noise(
+    df: DataFrame, teachers: Sequence[str], exact: Column, coarse: Column, *, upper: float = 0.9, lower: float = 0.1, hard: float = 0.995, calm: float = 0.35, loud: float = 0.75,
+    most: int = 5, target: str = "target", reference: str = "reference_pred", id_column: str = "id",
+) -> DataFrame:
+    """Suspicious rows: id, target, abs_error, logloss, exact_group_size, coarse_group_size, near_duplicate_conflict,
+    label_noise_candidate, hard_example_stable and primary_reason, the first of these three that holds.
+
+    A conflict is a group of one exact signature with both labels, or of one coarse signature if it has `most` rows at most.
+    Noise is a reference beyond upper or lower on the wrong side, with teachers that all are on one side and whose
+    deviation is at most its `calm` quantile. Hard and stable is a log loss at or over its `hard` quantile that is neither,
+    with teachers' deviation at or over its `loud` quantile or a reference within 0.15 of one half. Quantiles are exact. A
+    row without a target or reference is only judged by its groups; without rows there are none."""
+    if not (0.5 < upper < 1 and 0 < lower < 0.5):
+        raise ValueError(f"Bounds of confidence must lie beyond and below one half: {upper}, {lower}")
+    if not all(0 < q < 1 for q in (hard, calm, loud)) or most < 2:
+        raise ValueError("Quantiles must lie between 0 and 1, and groups have two rows at least")
+    p, y = F.when(F.col(reference).isNotNull(), F.expr(K.clip(reference))), F.col(target).cast("double")
+    stats, a = array_statistics(teachers), F.array(*teachers)
+    one_side = F.forall(a, lambda x: x >= 0.5) | F.forall(a, lambda x: x < 0.5)
+    base = saved(df.select(
+        F.col(id_column).alias("id"), F.col(target).alias("target"), F.abs(y - p).alias("abs_error"), (-(y * F.ln(p) + (1 - y) * F.ln(1 - p))).alias("logloss"), F.abs(p - 0.5).alias("margin"),
+        ((F.col(target) == 0) & (p >= upper) | (F.col(target) == 1) & (p <= lower)).alias("wrong"), stats["std"].alias("std"), one_side.alias("one_side"), exact.alias("exact"), coarse.alias("coarse"),
+    ))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("x")) for c in ("logloss", "std")])).alias("s")
+    found = quantiles(base.select(cells).select("s.*"), ["c"], "x", {"hard": hard, "calm": calm, "loud": loud})
+    limits = found.agg(F.max(F.when(F.col("c") == "logloss", F.col("hard"))).alias("_hard"), *[F.max(F.when(F.col("c") == "std", F.col(n))).alias(f"_{n}") for n in ("calm", "loud")])
+    out = base
+    for kind in ("exact", "coarse"):
+        groups = base.groupBy(kind).agg(F.count("*").alias(f"{kind}_group_size"), (F.min("target") < F.max("target")).alias(f"_{kind}"))
+        out = out.join(groups, kind)
+    out = out.crossJoin(F.broadcast(limits))  # one row
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    out = out.withColumn("near_duplicate_conflict", yes(F.col("_exact")) | (yes(F.col("_coarse")) & (F.col("coarse_group_size") <= most)))
+    out = out.withColumn("label_noise_candidate", yes(F.col("wrong") & F.col("one_side") & (F.col("std") <= F.col("_calm"))))
+    unstable = (F.col("std") >= F.col("_loud")) | (F.col("margin") <= 0.15)
+    hard_one = yes((F.col("logloss") >= F.col("_hard")) & unstable) & ~F.col("label_noise_candidate") & ~F.col("near_duplicate_conflict")
+    reasons = ("near_duplicate_conflict", "label_noise_candidate", "hard_example_stable")
+    out = out.withColumn(reasons[2], hard_one).withColumn("primary_reason", F.coalesce(*[F.when(F.col(r), r) for r in reasons]))
+    return out.filter("primary_reason IS NOT NULL").select("id", "target", "abs_error", "logloss", "exact_group_size", "coarse_group_size", *reasons, "primary_reason")

@@ -83,12 +83,13 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str, pct: b
     return df.alias("a").join(ranked.alias("b"), on, "left").select("a.*", f"b.{name}")
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, named: Mapping[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], value: str, named: Mapping[str, float], n: str | None = None) -> DataFrame:
     """Exact quantiles of each group by name, between two values by their linear interpolation; nulls and NaN don't count.
+    n: a column that tells how often a row counts.
 
     Neither a group's values nor its distinct ones come together in one task."""
     by = list(by)
-    counts = saved(numbers(df, value).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    counts = saved(numbers(df, value).groupBy(*by, F.col(value).cast("double").alias("_v")).agg((F.sum(n) if n else F.count("*")).alias("_n")))
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
     ranked = cumulated(counts, by, "_v", {"_below": "_n"})
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]

@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
 from ..functions import keys as K
-from ..functions.metrics import average_rank
+from ..functions.metrics import cumulated
 from ..schema import ENTERTAINMENT, SERVICES, SUPPORT, Stages, require_columns, staged, text
 
 MIN_ROWS = 75
@@ -195,25 +196,52 @@ def normalise(blocks: str | Sequence[str] | None) -> tuple[str, ...]:
     return tuple(out)
 
 
-def cohort_statistics(df: DataFrame, source: DataFrame, key: str, prefix: str, medians: Sequence[str] = (), means: Sequence[str] = ()) -> DataFrame:
-    """df with the rows, medians and means of a key's group in source: one aggregate, joined."""
-    agg = [F.count("*").alias(f"{prefix}rows"), *[F.median(c).alias(f"{prefix}med_{c}") for c in medians], *[F.avg(c).alias(f"{prefix}avg_{c}") for c in means]]
-    return df.join(source.groupBy(key).agg(*agg), key)
-
-
-def _backed(df: DataFrame, column: str) -> DataFrame:
-    """`_{column}`: of the detailed cohort if it has enough rows, else of the fallback."""
-    return df.withColumn(f"_{column}", F.when(F.col("_d_rows") >= MIN_ROWS, F.col(f"_d_{column}")).otherwise(F.col(f"_f_{column}")))
-
-
-def _both(df: DataFrame, medians: Sequence[str], means: Sequence[str] = (), ranks: Sequence[str] = ()) -> DataFrame:
-    source = df  # all statistics come from the same rows, not from what has been joined so far
-    for key, prefix in (("_detail", "_d_"), ("_fallback", "_f_")):
-        df = cohort_statistics(df, source, key, prefix, medians, means)
-        for c in ranks:
-            df = average_rank(df, [key], c, f"{prefix}rank_{c}", source=source)
-    for c in [f"med_{c}" for c in medians] + [f"avg_{c}" for c in means] + [f"rank_{c}" for c in ranks]:
-        df = _backed(df, c)
+def cohort_records(source: DataFrame, numbers: Sequence[str], texts: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What cohorts at both levels ('d' by _detail, 'f' by _fallback) hold, from one pass over the rows: their wide record
+    (level, key, rows, med_<c> and avg_<c> of each number), the ranks (level, key, column, x, rank) of distinct numbers and
+    the counts (level, key, column, v, n) of distinct texts.
+
+    The rows are reduced to counts of distinct values first, which are added up over ranges of values: no task holds all
+    of a cohort's values. Nulls and NaN don't count."""
+    cell = lambda c, x, v: F.struct(F.lit(c).alias("column"), x.cast("double").alias("x"), v.cast("string").alias("v"))
+    none = F.lit(None)
+    cells = [cell("", F.lit(0), none), *[cell(c, F.nanvl(F.col(c).cast("double"), none.cast("double")), none) for c in numbers], *[cell(c, none, F.col(c)) for c in texts]]
+    keys = [F.struct(F.lit(level).alias("level"), F.col(key).alias("key")) for level, key in (("d", "_detail"), ("f", "_fallback"))]
+    each = source.select(F.explode(F.array(*keys)).alias("k"), F.array(*cells).alias("cells")).select("k.*", F.explode("cells").alias("c")).select("level", "key", "c.*")
+    counts = saved(each.filter("key IS NOT NULL AND (x IS NOT NULL OR v IS NOT NULL)").groupBy("level", "key", "column", "x", "v").agg(F.count("*").alias("n")))
+    by = ["level", "key", "column"]
+    held = counts.filter("x IS NOT NULL AND column <> ''").drop("v")
+    totals = held.groupBy(*by).agg(F.sum("n").alias("_all"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("_avg"))
+    ranked = saved(cumulated(held, by, "x", {"_below": "n"}).join(totals, by))
+    place = (F.col("_all") - 1) / 2
+    at = lambda place: (F.col("_below") <= place) & (place < F.col("_below") + F.col("n"))
+    middle = lambda c: (F.max(F.when((F.col("column") == c) & at(F.floor(place)), F.col("x"))) + F.max(F.when((F.col("column") == c) & at(F.ceil(place)), F.col("x")))) / 2
+    measures = [m for c in numbers for m in (middle(c).alias(f"med_{c}"), F.max(F.when(F.col("column") == c, F.col("_avg"))).alias(f"avg_{c}"))]
+    wide = ranked.groupBy("level", "key").agg(*measures)
+    sizes = counts.filter("column = ''").select("level", "key", F.col("n").alias("rows"))
+    records = sizes.join(wide, ["level", "key"], "left")
+    ranks = ranked.select(*by, "x", ((F.col("_below") + (F.col("n") + 1) / 2) / F.col("_all")).alias("rank"))
+    return records, ranks, counts.filter("v IS NOT NULL").select(*by, "v", "n")
+
+
+def _both(df: DataFrame, medians: Sequence[str], means: Sequence[str] = (), ranks: Sequence[str] = (), texts: Sequence[str] = ()) -> DataFrame:
+    """df with _d_rows, _f_rows and, of the detailed cohort if it has enough rows, else of the fallback: _med_<c>, _avg_<c>,
+    _rank_<c> and, of texts, _n<c>."""
+    numbers = list(dict.fromkeys([*medians, *means, *ranks]))
+    records, places, counts = cohort_records(df, numbers, texts)
+    for key, level in (("_detail", "d"), ("_fallback", "f")):
+        record = F.struct(*[c for c in records.columns if c not in ("level", "key")]).alias(f"_{level}")
+        df = df.join(records.filter(F.col("level") == level).select(F.col("key").alias(key), record), key)
+        df = df.withColumn(f"_{level}_rows", F.col(f"_{level}.rows"))
+    enough = F.col("_d_rows") >= MIN_ROWS
+    backed = {f"_{n}": F.when(enough, F.col(f"_d.{n}")).otherwise(F.col(f"_f.{n}")) for n in [f"med_{c}" for c in medians] + [f"avg_{c}" for c in means]}
+    df = df.withColumns({"_level": F.when(enough, "d").otherwise("f"), "_key": F.when(enough, F.col("_detail")).otherwise(F.col("_fallback")), **backed}).drop("_d", "_f")
+    for c in ranks:
+        own = places.filter(F.col("column") == c).select(F.col("level").alias("_level"), F.col("key").alias("_key"), F.col("x").alias(f"_x_{c}"), F.col("rank").alias(f"_rank_{c}"))
+        df = df.withColumn(f"_x_{c}", F.col(c).cast("double")).join(own, ["_level", "_key", f"_x_{c}"], "left")
+    for c in texts:
+        own = counts.filter(F.col("column") == c).select(F.col("level").alias("_level"), F.col("key").alias("_key"), F.col("v").alias(c), F.col("n").alias(f"_n{c}"))
+        df = df.join(own, ["_level", "_key", c])
     return df
 
 
@@ -223,12 +251,7 @@ def _clean(df: DataFrame) -> DataFrame:
 
 def block_h(df: DataFrame) -> DataFrame:
     """Contrasts with the cohort: counts less medians, shares less means, ranks, and how common the bundle is."""
-    source = staged(df, BASES["H"], True)
-    out = _both(source, ["_support", "_ent", "_paid"], ["_share", "_mix"], ["_support", "_ent", "_mix"])
-    for c in ("_bundle", "_signature"):
-        for key, prefix in (("_detail", "_d_"), ("_fallback", "_f_")):
-            out = out.join(source.groupBy(key, c).agg(F.count("*").alias(f"{prefix}n{c}")), [key, c])
-        out = _backed(out, f"n{c}")
+    out = _both(staged(df, BASES["H"], True), ["_support", "_ent", "_paid"], ["_share", "_mix"], ["_support", "_ent", "_mix"], ["_bundle", "_signature"])
     out = out.withColumn("contrast_cohort_rows", F.when(F.col("_d_rows") >= MIN_ROWS, F.col("_d_rows")).otherwise(F.col("_f_rows")))
     return _clean(staged(out, [{
         "contrast_used_fallback_cohort": f"CASE WHEN _d_rows >= {MIN_ROWS} THEN 0 ELSE 1 END",

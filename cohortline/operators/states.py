@@ -7,7 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
 from ..functions import keys as K
+from ..functions.metrics import quantiles
 from ..schema import staged, text
 from .blocks import _T0, MACRO, SURFACE, VALUE_PRIMITIVES, _flag
 
@@ -64,9 +66,16 @@ class SurfaceProfiles:
         """All three levels in one pass over the family: each row counts for three keys."""
         base = staged(df, SURFACE_STAGES, True).filter("_macro = 1")
         levels = F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col(f"_{x}_key").alias("key")) for x in LEVELS])).alias("k")
-        deciles = F.array(*[F.lit(i / 10) for i in range(1, 10)])
-        measures = [e for c, p in SURFACE for e in (F.median(c).alias(f"med_{p}"), F.array_distinct(F.percentile(c, deciles)).alias(f"edges_{p}"))]
-        table = base.select(levels, *[c for c, _ in SURFACE]).groupBy("k.level", "k.key").agg(F.count("*").alias("rows"), *measures)
+        cells = F.array(F.struct(F.lit("").alias("c"), F.lit(0.0).alias("x")), *[F.struct(F.lit(p).alias("c"), F.col(c).cast("double").alias("x")) for c, p in SURFACE])
+        each = base.select(levels, cells.alias("cells")).select("k.*", F.explode("cells").alias("s")).select("level", "key", "s.*")
+        counts = saved(each.groupBy("level", "key", "c", "x").agg(F.count("*").alias("n")))
+        sizes = counts.filter("c = ''").groupBy("level", "key").agg(F.sum("n").alias("rows"))
+        deciles = {f"e{i}": i / 10 for i in range(1, 10)}
+        found = quantiles(counts.filter("c <> ''"), ["level", "key", "c"], "x", {"med": 0.5, **deciles}, n="n")
+        edges = F.array_distinct(F.array(*deciles))
+        of = lambda column, p: F.max(F.when(F.col("c") == p, column))
+        measures = [e for _, p in SURFACE for e in (of(F.col("med"), p).alias(f"med_{p}"), of(edges, p).alias(f"edges_{p}"))]
+        table = sizes.join(found.groupBy("level", "key").agg(*measures), ["level", "key"], "left")
         self.profiles = {x: table.filter(F.col("level") == x).drop("level") for x in LEVELS}
         return self
 

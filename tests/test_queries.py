@@ -11,7 +11,8 @@ QUICK = [
     "family_metrics", "protocol_checks", "block_a", "block_h", "block_v", "block_t_fit_apply", "prior_transform", "fold_safe_te", "kfold_assign", "holdout_assign", "query_groups", "rank_pairs", "drift_numeric",
     "drift_categorical", "noise_audit", "fold_suspects", "alpha_scan_residual", "rank_reassign", "chain_shift_stats", "blend_inversion", "repeated_cv_auc", "metrics_rollup", "knn_embeddings", "json_leaves_events",
     "signatures", "duplicate_summary", "duplicate_flags", "suspicious_families", "frame_compatibility", "joint_strata", "leave_family_out", "dominance_slices", "dominance_verdict", "error_groups", "signal_alpha_scan",
-    "chain_submission_base", "ensemble_robustness", "chain_protocol", "gate_checks",
+    "chain_submission_base", "ensemble_robustness", "chain_protocol", "gate_checks", "boosted_histogram", "boosted_first_tree", "pair_lambdas",
+    "blend_moves", "label_noise_audit",
 ]
 
 

@@ -22,9 +22,15 @@ def blend(df: DataFrame, weights: Mapping[str, float], name: str = "reference_pr
 
 
 def merge_oof(frames: Mapping[str, DataFrame], on: Sequence[str] = ("id", "target")) -> DataFrame:
-    """One row for each key that all frames have, with each frame's `pred` as pred_<name>."""
-    parts = [d.select(*on, F.col("pred").alias(f"pred_{n}")) for n, d in frames.items()]
-    return reduce(lambda a, b: a.join(b, list(on)), parts)
+    """One row for each key that all frames have, with each frame's `pred` as pred_<name>; fails on evaluation where a frame
+    repeats a key. The check is the aggregate by key that the join needs anyway."""
+
+    def once(name: str, df: DataFrame) -> DataFrame:
+        keyed = df.groupBy(*on).agg(F.count("*").alias("_n"), F.first("pred").alias(f"pred_{name}"))
+        told = F.raise_error(F.concat(F.lit(f"{name} repeats {on[0]} = "), F.coalesce(F.col(on[0]).cast("string"), F.lit("null"))))
+        return keyed.filter(F.when(F.col("_n") > 1, told.cast("boolean")).otherwise(True)).drop("_n")
+
+    return reduce(lambda a, b: a.join(b, list(on)), [once(n, d) for n, d in frames.items()])
 
 
 def duplicates(df: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -110,6 +116,26 @@ def invert(df: DataFrame, first: tuple[str, Mapping[str, float]], second: tuple[
     return df.withColumns({f"inverted_{a}": (x * v[b] - y * w[b]) / det, f"inverted_{b}": (y * w[a] - x * v[a]) / det})
 
 
+def invert_components(df: DataFrame, three: tuple[str, Mapping[str, float]], four: tuple[str, Mapping[str, float]], five: tuple[str, Mapping[str, float]]) -> tuple[DataFrame, DataFrame]:
+    """pred_xgb, pred_lgb and pred_rv of blends whose other components are known, and one row of the largest errors with which
+    the components give the blends again.
+
+    Each blend is a column and its weights: of cb, xgb, lgb; of these and r; and of these and rv. xgb and lgb come from
+    the first two, rv is what is left of the third."""
+    for (_, w), names in zip((three, four, five), (("cb", "xgb", "lgb"), ("cb", "xgb", "lgb", "r"), ("cb", "xgb", "lgb", "r", "rv"))):
+        if not set(names) <= set(w):
+            raise ValueError(f"A blend's weights must hold {sorted(names)}")
+    if abs(five[1]["rv"]) < 1e-12:
+        raise ValueError("The third blend doesn't hold rv")
+    pair = invert(df, (three[0], {**three[1], "r": 0.0}), four, ("cb", "r"), ("xgb", "lgb"))
+    out = pair.withColumnsRenamed({"inverted_xgb": "_xgb", "inverted_lgb": "_lgb"}).drop("pred_xgb", "pred_lgb", "pred_rv")
+    out = out.withColumnsRenamed({"_xgb": "pred_xgb", "_lgb": "pred_lgb"})
+    rest = F.col(five[0]) - weighted({m: five[1][m] for m in ("cb", "xgb", "lgb", "r")})
+    out = out.withColumn("pred_rv", rest / five[1]["rv"])
+    errors = [F.max(F.abs(weighted(w) - F.col(c))).alias(f"error_{n}") for n, (c, w) in zip(("three", "four", "five"), (three, four, five))]
+    return out, out.agg(*errors)
+
+
 def normalise_weights(weights: Sequence[float]) -> list[float]:
     """Negative weights as 0, and all to a sum of 1; equal ones if nothing is left."""
     w = [max(0.0, x) for x in weights]

@@ -16,8 +16,26 @@ from .folds import order_hash
 DOMINANT = "Electronic check__Month-to-month__Fiber optic"
 
 
-def uncertainty_band(df: DataFrame, family: Column, p: str, width: float, teachers: Sequence[str] = (), min_std: float | None = None) -> DataFrame:
-    """in_band: of the family, within width of one half, and with teachers that disagree by min_std at least."""
+def band_summary(df: DataFrame, family: Column, p: str, width: float, teachers: Sequence[str] = (), min_std: float | None = None) -> DataFrame:
+    """One row: rows, family_rows, band_rows, baseline_rows (both), final_rows (with the teachers that disagree enough), and
+    relative_drift, the share of the baseline that this leaves out (0 without a baseline)."""
+    inside, near = F.coalesce(family, F.lit(False)), F.coalesce(F.abs(F.col(p) - 0.5) <= width, F.lit(False))
+    final = inside & near & (F.coalesce(array_statistics(teachers)["std"] >= min_std, F.lit(False)) if min_std is not None else F.lit(True))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    row = df.agg(F.count("*").alias("rows"), n(inside).alias("family_rows"), n(near).alias("band_rows"), n(inside & near).alias("baseline_rows"), n(final).alias("final_rows"))
+    drift = F.when(F.col("baseline_rows") > 0, F.abs(F.col("final_rows") - F.col("baseline_rows")) / F.col("baseline_rows")).otherwise(0.0)
+    return row.withColumn("relative_drift", drift)
+
+
+def uncertainty_band(df: DataFrame, family: Column, p: str, width: float, teachers: Sequence[str] = (), min_std: float | None = None, max_drift: float | None = None) -> DataFrame:
+    """in_band: of the family, within width of one half, and with teachers that disagree by min_std at least. With max_drift
+    it fails if that condition leaves out a larger share of the band."""
+    if not 0 < width < 0.5:
+        raise ValueError(f"A band's half width lies in (0, 0.5): {width}")
+    if max_drift is not None:
+        drift = band_summary(df, family, p, width, teachers, min_std).first()["relative_drift"]
+        if drift > max_drift:
+            raise ValueError(f"The teachers' condition leaves out {drift:.6f} of the band, more than {max_drift}")
     inside = family & (F.abs(F.col(p) - 0.5) <= width)
     if min_std is not None:
         inside = inside & (array_statistics(teachers)["std"] >= min_std)
@@ -43,6 +61,21 @@ def pseudo_rows(df: DataFrame, teachers: Sequence[str], low: float, high: float,
     return out.withColumn("pseudo_label", (F.col("pseudo_p") >= 0.5).cast("int"))
 
 
+def pseudo_summary(chosen: DataFrame, target: str = "target", min_rows: int = 0) -> DataFrame:
+    """One row of pseudo_rows: how many, of which label, mean prediction, deviation and confidence, and, if there are min_rows
+    at least, the share of right labels in all and of each label; null where there are none."""
+    y, label = F.col(target), F.col("pseudo_label")
+    right = (y == label).cast("double")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    row = chosen.agg(
+        F.count("*").alias("selected_rows"), n(label == 1).alias("selected_positive_rows"), n(label == 0).alias("selected_negative_rows"), F.avg("pseudo_p").alias("selected_mean"),
+        F.avg("pseudo_std").alias("teacher_std_mean"), F.avg(F.greatest(F.col("pseudo_p"), 1 - F.col("pseudo_p"))).alias("mean_confidence"),
+        F.avg(right).alias("accuracy"), F.avg(F.when(label == 1, right)).alias("positive_precision"), F.avg(F.when(label == 0, right)).alias("negative_precision"),
+    )
+    enough = F.col("selected_rows") >= min_rows
+    return row.withColumns({c: F.when(enough, F.col(c)) for c in ("mean_confidence", "accuracy", "positive_precision", "negative_precision")})
+
+
 def training_rows(df: DataFrame, p: str, weight: float, soft: bool = True, confidence: bool = True) -> DataFrame:
     """A hard label for each row, or with soft=True two rows, weighted by the probability of each label; with confidence
     the weights also by twice the distance from one half."""

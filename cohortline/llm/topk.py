@@ -68,16 +68,15 @@ class Queries:
         q, o = (np.array([[int(v) for v in r] for r in m], dtype=object).reshape(m.shape) for m in (self.x, c))
         return [q[:, s].dot(o[:, s].T) for s in self.cuts]
 
-    def search(self, c: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Query rows, candidates' places and exact scores: of each list's best entries, or of all that can reach the cutoff.
-        Scores are put together for these entries alone; self.resolved counts them."""
+    def search(self, c: np.ndarray, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Query rows, candidates' places, exact scores and whether it may be the query's own row (of its id and vector): of each
+        list's best entries, or of all that can reach the cutoff, one more than k as the own row is among them. Scores are
+        put together for these entries alone; self.resolved counts them."""
         parts = self.partials(c)
         kept = np.zeros((len(self.ids), len(ids)), bool)
         if self.cutoff is None:
-            own = self.ids[:, None] == ids[None, :]
             for p in parts:
-                p = np.where(own, -np.inf, p.astype(np.float64))
-                at = np.argpartition(-p, min(self.k, p.shape[1]) - 1, axis=1)[:, : self.k]
+                at = np.argpartition(-p.astype(np.float64), min(self.k + 1, p.shape[1]) - 1, axis=1)[:, : self.k + 1]
                 np.put_along_axis(kept, at, True, axis=1)
         else:
             limit = self.cutoff[:, None]
@@ -86,29 +85,32 @@ class Queries:
         q, at = np.nonzero(kept)
         self.resolved += len(q)
         total = sum((p[q, at] for p in parts[1:]), parts[0][q, at])
-        stays = self.ids[q] != ids[at]
         if self.cutoff is not None:  # phase three
-            stays &= (total >= self.cutoff[q]).astype(bool)
-        q, at, total = q[stays], at[stays], total[stays]
-        # of what is left, no more than k for each query and candidate tile, the best first
+            stays = (total >= self.cutoff[q]).astype(bool)
+            q, at, total = q[stays], at[stays], total[stays]
+        # of what is left, no more than k and its own row for each query and candidate tile, the best first
         order = np.lexsort((ids[at], -total.astype(np.float64), q)) if total.dtype != object else np.array(sorted(range(len(q)), key=lambda i: (q[i], -total[i], ids[at[i]])), dtype=np.int64)
         q, at, total = q[order], at[order], total[order]
-        best = np.arange(len(q)) - np.searchsorted(q, q, "left") < self.k
-        yield q[best], at[best], total[best]
+        best = np.arange(len(q)) - np.searchsorted(q, q, "left") <= self.k
+        q, at, total = q[best], at[best], total[best]
+        itself = self.ids[q] == ids[at]
+        itself[itself] = (self.x[q[itself]] == c[at[itself]]).all(1)
+        yield q, at, total, itself
 
 
 def _pass(candidates: DataFrame, block: Queries) -> DataFrame:
-    """(query's place, vec_id, score) of search() over all candidates, at most k for each query and tile."""
+    """(query's place, vec_id, score, itself) of search() over all candidates, at most k + 1 for each query and tile."""
 
     def scan(batches):
         for b in batches:
             for a in range(0, b.num_rows, TILE):
                 part = b.slice(a, TILE)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                for q, at, score in block.search(_matrix(part.column(1).to_pylist(), block.x.shape[1]), ids):
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(ids[at], pa.int64()), pa.array([int(s) for s in score], pa.decimal128(38, 0))], ["q", "vec_id", "score"])
+                for q, at, score, itself in block.search(_matrix(part.column(1).to_pylist(), block.x.shape[1]), ids):
+                    columns = [pa.array(q, pa.int32()), pa.array(ids[at], pa.int64()), pa.array([int(s) for s in score], pa.decimal128(38, 0)), pa.array(itself)]
+                    yield pa.RecordBatch.from_arrays(columns, ["q", "vec_id", "score", "itself"])
 
-    return candidates.mapInArrow(scan, "q int, vec_id long, score decimal(38,0)")
+    return candidates.mapInArrow(scan, "q int, vec_id long, score decimal(38,0), itself boolean")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -118,11 +120,11 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 256, slices: int = 4, vec_id: str = "vec_id", vector: str = "embedding", block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest inner products of floor(scale * x) for each row of queries
-    among the rows of vectors whose id isn't its own; ties go to the smaller id. Both have the columns vec_id, vector.
+    among all rows of vectors but its own; ties go to the smaller id. Both have the columns vec_id, vector.
 
     Vectors that are null or hold null or non-finite parts take no part, nor do rows without an id. Of vectors of
-    different lengths the missing parts count as 0. Repeated rows are candidates each, and repeated queries are answered
-    each. With fewer candidates than k all are returned; no rows give no rows. Extra columns don't matter."""
+    different lengths the missing parts count as 0. Repeated rows are candidates each, of which one is a query's own; other
+    rows with a query's id are candidates too, and repeated queries are answered each. With fewer candidates than k all are returned; no rows give no rows. Extra columns don't matter."""
     spark = vectors.sparkSession
 
     def read(df):
@@ -143,7 +145,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 25
             continue
         ids, x = np.array([r[0] for r in rows], np.int64), _matrix([r[1] for r in rows], dims)
         # phase one: the lists' best entries, resolved; the k-th best exact score is the cutoff, or none if there are fewer
-        first = _best(_pass(candidates, Queries(ids, x, slices, k)), k).filter(F.col("rank") == k).select("q", "score").collect()
+        first = _best(_pass(candidates, Queries(ids, x, slices, k)), k + 1).filter(F.col("rank") == k + 1).select("q", "score").collect()
         cutoff = np.full(len(rows), -np.inf)
         exact = {r.q: int(r.score) for r in first}
         big = any(abs(v) >= EXACT for v in exact.values())
@@ -151,7 +153,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, scale: int = 25
             cutoff = cutoff.astype(object)
         for q, v in exact.items():
             cutoff[q] = v
-        best = _best(_pass(candidates, Queries(ids, x, slices, k, cutoff)), k)
+        found = _best(_pass(candidates, Queries(ids, x, slices, k, cutoff)), k + 1)
+        copies = F.row_number().over(Window.partitionBy("q", "itself").orderBy("rank"))
+        best = _best(found.withColumn("copy", copies).filter("NOT (itself AND copy = 1)").drop("rank"), k)
         of = spark.createDataFrame([(i, v) for i, v in enumerate(ids.tolist())], "q int, query_id long")
         best = best.join(F.broadcast(of), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
         best = saved(best) if blocks > 1 else best
@@ -170,7 +174,7 @@ WITH e AS (
   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.r AS qr, q.vec_id AS query_id, c.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1] * z[2], 0))), 0) AS BIGINT) AS score, c.r
-  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.r <> c.r
 ), n AS (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id, r) AS rank FROM s)
 SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM n WHERE rank <= 5
 """

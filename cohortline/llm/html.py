@@ -186,7 +186,7 @@ def features(page: list[Block]) -> np.ndarray:
         spaces = b.text.count(" ")
         out[i] = (
             1, b.good, b.bad, b.inside and not b.bad, b.linked / size, min(spaces, 40) / 20, size > 200, bool(ENDS.search(b.text)),
-            len(b.tag) == 2 and b.tag[0] == "h" and b.tag[1].isdigit(), b.tag in ("li", "td", "th", "dt", "dd"), i == 0, i == n - 1, size < 400 and bool(COPYRIGHT.search(b.text)),
+            len(b.tag) == 2 and b.tag[0] == "h" and b.tag[1].isdigit(), b.tag in ("li", "td", "th", "dt", "dd"), i == 0 and n > 1, i == n - 1 and n > 1, size < 400 and bool(COPYRIGHT.search(b.text)),
         )
     return out
 
@@ -327,19 +327,24 @@ def _flow(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
 def edges(page: list[Block], gain: list[float], follow: float = 0.3, sibling: float = 0.7, certain: float = 3.0) -> list[tuple[int, int, float]]:
     """Blocks that follow each other, more strongly under the same element; and each block with the one before of its tag
     under the same holder, also if others stand between. A block that is certain by itself has no edge to one of
-    another parent on the other side: adverts say nothing about the paragraphs they stand between."""
+    another parent on the other side, and the less alike the shares of links of two blocks are, the weaker is their
+    edge: adverts say nothing about the paragraphs they stand between."""
     out, last = [], {}
 
+    def alike(i: int, j: int) -> float:
+        shares = [page[k].linked / max(len(page[k].text), 1) for k in (i, j)]
+        return max(0.0, 1.0 - abs(shares[0] - shares[1]))
+
     def apart(i: int, j: int) -> bool:
         return page[i].parent != page[j].parent and gain[i] * gain[j] < 0 and max(abs(gain[i]), abs(gain[j])) >= certain
 
     for i, b in enumerate(page):
         if i and not apart(i - 1, i):
             p = page[i - 1]
-            out.append((i - 1, i, follow + (sibling if b.parent == p.parent or b.above == p.above else 0.0)))
+            out.append((i - 1, i, alike(i - 1, i) * (follow + (sibling if b.parent == p.parent or b.above == p.above else 0.0))))
         j = last.get((b.above, b.tag))
         if j is not None and j != i - 1 and not apart(j, i):
-            out.append((j, i, sibling / 2))
+            out.append((j, i, alike(j, i) * sibling / 2))
         last[b.above, b.tag] = i
     return out
 

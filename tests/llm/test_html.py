@@ -79,3 +79,14 @@ def test_long_pages_take_time_in_proportion():
 def test_shown_as_it_stands_and_labels_of_text():
     page = "<article><p>Some text is here, and goes on.</p><xmp>a <b> &amp; c</xmp><p><label>Note</label> that it ends.</p></article><form><label>Name</label></form>"
     assert X.extract(page)[0].split("\n") == ["Some text is here, and goes on.", "a <b> &amp; c", "Note that it ends."]
+
+
+@pytest.mark.parametrize("advert", ["<div><a href='x'>Buy now and save {}</a></div>", "<p><a href='x'>Buy now and save {}</a></p>"])
+def test_adverts_between_paragraphs_take_none_with_them(advert):
+    texts = [f"This is paragraph number {i} of the story, and it tells what happened next on that day." for i in range(20)]
+    page = "<body><div>" + "".join(f"<p>{t}</p>{advert.format(i)}" for i, t in enumerate(texts)) + "</div></body>"
+    assert X.extract(page)[0].split("\n") == texts
+
+
+def test_a_short_text_alone_on_a_page_is_kept():
+    assert X.extract("<body><p>It rained.</p></body>")[0] == "It rained." and X.extract("<body><div>Hello there</div></body>")[0] == "Hello there"

@@ -30,6 +30,8 @@ NAMES = {
 }
 # Forms of address, by gender ("n": either).
 TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Mlle Señora Sra Doña Госпожа Κυρία".split(), "m": "Mr Herr Monsieur Señor Don Господин Κύριος".split(), "n": "Dr Prof".split()}
+# Particles between given names and surnames, which stay.
+PARTICLES = "van von der den de del della di da du dos la le ten ter zu zum zur af av bin ibn el al".split()
 # Syllables of surnames by script.
 SYLLABLES = {
     "latin": "ba be bor da del den du fal fen gar ger hal har hem kar kel ker lan lem lor mar mel mon nar nel nor pal pen ral ren ros sal sen sol tam tel tor val ver win".split(),
@@ -42,6 +44,7 @@ ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéê
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(t for v in TITLES.values() for t in v)
 _GIVEN = "|".join(n for v in NAMES.values() for n in v)
+_PARTICLES = "|".join(PARTICLES)
 _LETTERS = r"\p{L}\p{M}"
 _START, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 #: The kinds in order, with patterns that end where no entity of the kind goes on. Runs are possessive, so that the time
@@ -53,7 +56,7 @@ PATTERNS = {
     "card": rf"\d{{4}}(?:[ -]\d{{4}}){{3}}(?![\p{{L}}\p{{N}}_]|[ -]?\d)|\d{{13,19}}{_END}",
     "ip6": r"(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
     "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
-    "name": rf"(?:(?:(?:{_TITLE})\.? )(?:(?:{_GIVEN}) )?|(?:{_GIVEN}) )\p{{Lu}}[{_LETTERS}]++(?:[-'’]\p{{Lu}}[{_LETTERS}]++)?",
+    "name": rf"(?:(?:(?:{_TITLE})\.? )(?:(?:{_GIVEN}) )*|(?:(?:{_GIVEN}) )+)(?:(?:{_PARTICLES}) )*\p{{Lu}}[{_LETTERS}]++(?:[-'’]\p{{Lu}}[{_LETTERS}]++)?",
     "email": r"(?<![.%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
 }
 _NUMBERS, _CAPITALS = ("ip", "ssn", "phone", "card"), ("iban", "name")
@@ -189,6 +192,11 @@ def given_names(key: str) -> dict[str, str]:
     return out
 
 
+def _capitalised(s: Column) -> Column:
+    """A name's parts with a capital, but for particles."""
+    return F.array_join(F.transform(F.split(s, " "), lambda w: F.when(w.isin(PARTICLES), w).otherwise(F.initcap(w))), " ")
+
+
 def _surname(s: Column, h: Column, syllables: dict[str, Column]) -> Column:
     """Syllables of the script, as many as there are numbers in `syllables` for it."""
     pick_of = lambda words, i: F.element_at(F.array(*map(F.lit, words)), F.pmod(_byte(h, i * 2) * 256 + _byte(h, i * 2 + 1), F.lit(len(words))) + 1)
@@ -205,13 +213,13 @@ def dressed(k: Column, raw: Column, s: Column) -> Column:
     iban = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(s, spaced(i), F.lit(1)))), "")
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"^\p{Lu}$"), F.upper(F.substring(s, i + 1, F.lit(1)))).otherwise(F.substring(s, i + 1, F.lit(1)))), "")
     title = F.regexp_extract(raw, rf"^(?:(?:{_TITLE})\.? )?", 0)
-    return F.when(k.isin("phone", "card", "ssn"), digits).when(k == "iban", iban).when(k == "name", F.concat(title, F.initcap(s))).when(F.length(s) == F.length(raw), cased).otherwise(s)
+    return F.when(k.isin("phone", "card", "ssn"), digits).when(k == "iban", iban).when(k == "name", F.concat(title, _capitalised(s))).when(F.length(s) == F.length(raw), cased).otherwise(s)
 
 
 def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """kind and norm of distinct entities, with the surrogate's normal form `to`, distinct within the kind and not the
     entity itself."""
-    given = given_names(key)
+    given = given_names(key) | {p: p for p in PARTICLES}
     names = entities.filter(F.col("kind") == "name").select("norm", F.posexplode(F.split("norm", " ")).alias("place", "part"), F.size(F.split("norm", " ")).alias("n"))
     # a listed given name is one only before another part
     names = saved(names.withColumn("given", (F.col("place") < F.col("n") - 1) & F.col("part").isin(*given)))

@@ -110,3 +110,15 @@ def test_wrong_checks_stay_wrong_and_unknown_letters_are_replaced(spark):
     assert len(set(new)) == len(rows) and not set(new) & set(rows) and len(got) == 6
     cards = [x for x in new if x.isdigit()]
     assert sorted(luhn(x) == 0 for x in cards) == [False, True] and all("\u05d0" > c for x in new for c in x)
+
+
+def test_several_given_names_and_particles(spark):
+    texts = ["Dr Anna Maria Schmidt came.", "Peter van der Berg and Mr de la Cruz left; Anna was there.", "Mr van Berg knows Schmidt."]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, b, c = (r[1] for r in sorted(map(tuple, P.pseudonymise(d, key="k").select("_0", "_1").collect())))
+    m = re.fullmatch(r"Dr (\w+) (\w+) (\w+) came\.", a)
+    assert m and not {"Anna", "Maria", "Schmidt"} & set(m.groups()) and {m[1], m[2]} <= set(P.NAMES["f", "latin"]) and m[1] != m[2]
+    n = re.fullmatch(r"(\w+) van der (\w+) and Mr de la (\w+) left; Anna was there\.", b)
+    assert n and n[1] in P.NAMES["m", "latin"] and not {"Peter", "Berg", "Cruz"} & set(n.groups())
+    o = re.fullmatch(r"Mr van (\w+) knows Schmidt\.", c)
+    assert o and o[1] == n[2]  # one surname, one surrogate

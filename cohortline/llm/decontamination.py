@@ -195,7 +195,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_wo
 def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each row of docs, with its columns called _0, _1 and so on, and what of it the test items hold.
 
-    n_words; longest: words of the longest match, also under the window; n_hit: words within windows; items: ids of
+    n_words; longest: words of the longest match, 0 if it is shorter than the shortest window; n_hit: words within windows; items: ids of
     the items with occurring windows, sorted as strings, each once; spans: the runs of hit words, as code points
     [start, end), the number of words and the number of the first.
 

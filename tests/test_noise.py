@@ -1,3 +1,5 @@
+from itertools import permutations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +55,12 @@ def test_moves_stay_on_the_simplex_and_descent_ends_where_none_gains(spark):
         scores = {r["move"]: r["auc"] for r in B.move_scores(d, {f: B.weight_moves(w, 0.1)}, models).collect()}
         assert scores[0] == pytest.approx(best) and max(scores.values()) <= best + 1e-10
     assert B.coordinate_descent(d, ["a", "b", "c"], step=0.1, rounds=12) == fitted[0, -1]
+
+
+def test_deviations_that_differ_by_rounding_are_equal(spark):
+    rows = [(i, 1, 0.1, *t, str(i)) for i, t in enumerate(permutations((0.0613, 0.3843, 0.2231)))]
+    d = spark.createDataFrame(rows, "id long, target int, reference_pred double, t1 double, t2 double, t3 double, s string")
+    deviations = {r[0] for r in d.select(B.array_statistics(["t1", "t2", "t3"])["std"]).collect()}
+    assert len(deviations) > 1 and max(deviations) - min(deviations) < 1e-15
+    got = A.label_noise(d, ["t1", "t2", "t3"], F.col("s"), F.col("s"), upper=0.9, lower=0.2, calm=1e-9).collect()
+    assert {r.id for r in got if r.label_noise_candidate} == set(range(6))

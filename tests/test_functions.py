@@ -1,10 +1,11 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from cohortline.functions import keys as K
-from cohortline.functions.metrics import auc, average_rank
+from cohortline.functions.metrics import auc, average_rank, comparable_logloss
 from cohortline.operators import audit as A
 from cohortline.operators import blend as B
 from cohortline.operators import blocks
@@ -134,3 +135,14 @@ def test_text_and_sister_keys(spark):
     values = ["a__b__c__Yes__0_6", "a__b__c__Yes__25_48", "a__b__c__No__x", "a__b"]
     s = spark.createDataFrame([(v,) for v in values], "f string")
     assert [r[0] for r in s.select(F.expr(K.sister_column("f"))).collect()] == [K.sister_family(v) for v in values]
+
+
+def test_losses_compare_as_in_other_engines(spark):
+    rng = random.Random(5)
+    rows = [(i, i % 2, rng.randint(1, 9999) / 10000) for i in range(2000)] + [(2000, 1, None), (2001, 0, 0.0), (2002, 1, 1.0)]
+    got = spark.createDataFrame(rows, "id long, y int, p double").select("id", comparable_logloss("y", "p").alias("loss")).collect()
+    c = duckdb.connect()
+    c.execute("CREATE TABLE t (id BIGINT, y INT, p DOUBLE)")
+    c.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+    want = dict(c.execute(f"SELECT id, -(y * ln({K.clip('p')}) + (1 - y) * ln(1 - {K.clip('p')})) FROM t").fetchall())
+    assert {r.id: r.loss for r in got} == want

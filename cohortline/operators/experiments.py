@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import saved
 from ..functions.metrics import auc, logloss
 from . import audit, folds, graph, priors, scans, select
 from . import blend as B
@@ -132,12 +133,15 @@ def joint_training(own: DataFrame, external: DataFrame, n_folds: int, make: Call
     more = audit.without_overlap(external, own, signature).withColumns({"sample_weight": F.lit(float(weight)), "fold": F.lit(-1)})
     rows = own.withColumn("sample_weight", F.lit(1.0))
     both = rows.unionByName(more.select(*[c for c in rows.columns if c in more.columns]), allowMissingColumns=True)
-    return M.cross_validate(both, n_folds, make, name)
+    return M.cross_validate(saved(both), n_folds, make, name)  # read by every pass of every fit
 
 
 def external_teacher(own: DataFrame, external: DataFrame, make: Callable[[int], Estimator], signature: Column, name: str = "external_pred") -> DataFrame:
-    """own with the prediction of a model of the external rows that overlap none."""
-    model = make(0).fit(audit.without_overlap(external, own, signature))
+    """own with the prediction of a model of the external rows that overlap none; null if all overlap."""
+    rows = saved(audit.without_overlap(external, own, signature))  # read by every pass of the fit
+    if rows.isEmpty():
+        return own.withColumn(name, F.lit(None).cast("double"))
+    model = make(0).fit(rows)
     return M.positive(model.transform(own), name).select(*own.columns, name)
 
 

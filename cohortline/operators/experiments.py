@@ -23,7 +23,7 @@ def multi_seed(df: DataFrame, n_folds: int, seeds: Sequence[int], make: Callable
     """Each row's mean out-of-fold prediction over seeds; folds are dealt anew for each. make(seed) gives a fold's learner."""
     out = None
     for s in seeds:
-        dealt = folds.stratified_folds(df.drop("fold"), n_folds, s, id_column=id_column)
+        dealt = saved(folds.stratified_folds(df.drop("fold"), n_folds, s, id_column=id_column))  # read by every pass of every fit
         part = M.cross_validate(dealt, n_folds, make(s), "_p").select(id_column, "_p")
         out = part if out is None else out.unionByName(part)
     return df.join(out.groupBy(id_column).agg(F.avg("_p").alias(name)), id_column)
@@ -51,7 +51,7 @@ def feature_challenger(df: DataFrame, n_folds: int, specialist: Callable[[int],
     rows = df.withColumn("_mask", F.coalesce(mask, F.lit(False)))
     special = M.cross_validate(rows, n_folds, specialist, "_special", mask="_mask").select("id", "_special")
     stacked = rows.join(special, "id", "left").withColumns({"stack_pred": F.coalesce("_special", F.lit(0.5)), "stack_available": F.col("_mask").cast("int")}).drop("_special", "_mask")
-    return M.cross_validate(stacked, n_folds, challenger)
+    return M.cross_validate(saved(stacked), n_folds, challenger)  # read by every pass of every fit
 
 
 def reranked(df: DataFrame, n_folds: int, make: Callable[[int], Estimator], mask: Column, alphas: Sequence[float], reference: str = "reference_pred") -> DataFrame:
@@ -67,7 +67,8 @@ def stability(df: DataFrame, n_folds: int, seeds: Sequence[int], make: Callable[
     more, flip and the score by which examples are hard."""
     out = None
     for s in seeds:
-        part = M.cross_validate(folds.stratified_folds(df.drop("fold"), n_folds, s), n_folds, make(s), "_p").select("id", "_p")
+        dealt = saved(folds.stratified_folds(df.drop("fold"), n_folds, s))  # read by every pass of every fit
+        part = M.cross_validate(dealt, n_folds, make(s), "_p").select("id", "_p")
         out = part if out is None else out.unionByName(part)
     table = out.groupBy("id").agg(F.avg("_p").alias("mean"), F.stddev_pop("_p").alias("std"), F.min("_p").alias("low"), F.max("_p").alias("high"), F.avg((F.col("_p") >= 0.5).cast("double")).alias("vote_share"))
     flip = F.least(F.col("vote_share"), 1 - F.col("vote_share"))
@@ -81,7 +82,7 @@ def encoded_boosting(df: DataFrame, n_folds: int, columns: Mapping[str, str], nu
     more = None if external is None else external.withColumns({n: F.expr(e) for n, e in columns.items()})
     encoded = priors.fold_safe_encoding(keyed, list(columns), external=more)
     made = [f"{k}{n}" for n in columns for k in ("TE_", "TE_COUNT_")]
-    ready = encoded.fillna(0.0, made)
+    ready = saved(encoded.fillna(0.0, made))  # read by every pass of every fit
     return M.cross_validate(ready, n_folds, M.boosted((), [*made, *numeric], rounds=rounds))
 
 
@@ -162,7 +163,7 @@ def suite(df: DataFrame, n_folds: int, configurations: Mapping[str, Callable[[in
     """For each configuration: its AUC out of fold, and the best blend with the reference."""
     out = None
     for name, make in configurations.items():
-        got = M.cross_validate(df, n_folds, make, "_p")
+        got = saved(M.cross_validate(df, n_folds, make, "_p").select("target", reference, "_p"))  # read for both figures
         row = auc(got, [], "target", "_p", "oof_auc").crossJoin(scans.fixed_blend(got, "_p", reference)).select(F.lit(name).alias("configuration"), "*")  # one row each
         out = row if out is None else out.unionByName(row)
     return out
@@ -175,6 +176,7 @@ def with_prior_features(df: DataFrame, n_folds: int, make: Callable[[int, list[s
         fitted = priors.TargetPriors().fit(df.filter(F.col("fold") != k))
         train, valid = (fitted.apply(d) for d in (df.filter(F.col("fold") != k), df.filter(F.col("fold") == k)))
         columns = [c for c, t in train.dtypes if c not in df.columns and t != "string"]
+        train = saved(train)  # read by every pass of the fit
         part = M.positive(make(k, columns).fit(train).transform(valid), name).select(*df.columns, name)
         out = part if out is None else out.unionByName(part)
     return out
@@ -209,7 +211,7 @@ def scenario_scores(df: DataFrame, models: Mapping[str, PipelineModel], scenario
 def adversarial(train: DataFrame, test: DataFrame, n_folds: int, make: Callable[[int], Estimator]) -> DataFrame:
     """fold and AUC of telling test rows from training rows, out of fold; make's label is is_test."""
     rows = train.withColumn("is_test", F.lit(0)).unionByName(test.withColumn("is_test", F.lit(1)))
-    dealt = folds.stratified_folds(rows.drop("fold"), n_folds, 7, by="is_test")
+    dealt = saved(folds.stratified_folds(rows.drop("fold"), n_folds, 7, by="is_test"))  # read by every pass of every fit
     return auc(M.cross_validate(dealt, n_folds, make, "_p"), ["fold"], "is_test", "_p")
 
 

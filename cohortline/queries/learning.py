@@ -94,7 +94,8 @@ def _scenarios(s: SparkSession, d: str) -> DataFrame:
 
 def _adversarial(s: SparkSession, d: str) -> DataFrame:
     a = full(s, d)
-    got = X.adversarial(a.filter("split = 'train'"), a.filter("split = 'test'"), 2, M.linear(_CAT, ("MonthlyCharges", "total"), "is_test"))
+    a = a.select("id", "split", *_CAT, "MonthlyCharges", "total")
+    got = X.adversarial(a.filter("split = 'train'").drop("split"), a.filter("split = 'test'").drop("split"), 2, M.linear(_CAT, ("MonthlyCharges", "total"), "is_test"))
     return repeated_stats(got).select("folds", F.round("cv_mean_auc", 2).alias("mean_auc"), adversarial_severity(F.col("cv_mean_auc")).alias("severity"))
 
 
@@ -114,13 +115,13 @@ def _external(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {
-    "learner_multi_seed": lambda s, d: _report("oof_pred")(X.multi_seed(rows(s, d), 2, (1, 2), lambda seed: M.linear(_CAT, _NUM)).withColumn("fold", F.lit(0))),
+    "learner_multi_seed": lambda s, d: _report("oof_pred")(X.multi_seed(rows(s, d).select("id", "target", *_CAT, *_NUM), 2, (1, 2), lambda seed: M.linear(_CAT, _NUM)).withColumn("fold", F.lit(0))),
     "learner_averaged": _averaged,
     "learner_gated": lambda s, d: _rounded(X.gated(full(s, d), 2, M.linear(_CAT, _NUM), preset(_EC), (0.1, 0.3)), "auc"),
     "learner_stacked": lambda s, d: _report("oof_pred")(X.feature_challenger(full(s, d), 2, M.linear(_CAT, _NUM), M.linear(_CAT, (*_NUM, "stack_pred", "stack_available")), preset(_EC))),
     "learner_band_reranker": lambda s, d: _rounded(X.reranked(full(s, d), 2, M.boosted(_CAT, _NUM, "residual", 3, regression=True), preset(_EC) & (F.abs(F.col("reference_pred") - 0.5) <= 0.2), (0.1, 0.3)), "auc"),
     "learner_hard_reranker": lambda s, d: _rounded(X.reranked(S.hard_examples(full(s, d), preset(_EC), F.abs(F.col("pred_cb") - F.col("pred_xgb")), 0.5), 2, M.boosted(_CAT, _NUM, "residual", 3, regression=True), F.col("hard") == 1, (0.1, 0.3)), "auc"),
-    "learner_stability": lambda s, d: X.stability(full(s, d), 2, (1, 2), lambda seed: M.linear(_CAT, _NUM)).agg(F.count("*").alias("rows"), F.round(F.avg("std"), 3).alias("mean_std"), F.round(F.avg("flip"), 3).alias("mean_flip")),
+    "learner_stability": lambda s, d: X.stability(full(s, d).select("id", "target", *_CAT, *_NUM), 2, (1, 2), lambda seed: M.linear(_CAT, _NUM)).agg(F.count("*").alias("rows"), F.round(F.avg("std"), 3).alias("mean_std"), F.round(F.avg("flip"), 3).alias("mean_flip")),
     "learner_encoded": lambda s, d: _report("oof_pred")(X.encoded_boosting(full(s, d), 2, K.ngrams(("Contract", "InternetService", "PaymentMethod")), _NUM, 4)),
     "learner_spline_meta": _splines,
     "learner_perceptron": lambda s, d: (lambda a: _report("oof_pred")(M.cross_validate(a, 2, M.perceptron(("PaymentMethod", "Contract", "InternetService"), ("tenure", "MonthlyCharges"), 15))))(rows(s, d)),

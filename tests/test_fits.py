@@ -1,10 +1,13 @@
 """Experiments of learners: what they do without rows to learn from, and how often they read their rows."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from cohortline.operators import audit as A
 from cohortline.operators import experiments as X
+from cohortline.operators import folds as L
 
 ROWS = [(i, (i * 7 + i // 3) % 2, f"c{i % 3}", float(i % 17), i % 2) for i in range(240)]
 
@@ -21,3 +24,31 @@ def test_without_external_rows_there_is_no_teacher_but_the_joint_model(spark, ro
     other = rows.withColumn("c", F.lit("d"))
     assert X.external_teacher(rows, other, make, A.signature(["c"])).filter("external_pred > 0").count() == 240
     assert X.joint_training(rows, rows, 2, lambda k: X.plain_logistic(["x"], weight="sample_weight"), A.signature(["c"]), 0.5).count() == 240
+
+
+def test_fits_read_their_rows_a_fixed_number_of_times(spark, rows):
+    def reads(run):
+        n = spark.sparkContext.accumulator(0)
+
+        def told(x):
+            n.add(1)
+            return x
+
+        run(rows.withColumn("x", F.udf(told, "double").asNondeterministic()("x"))).collect()
+        return n.value / len(ROWS)
+
+    linear = lambda k: X.plain_logistic(["x"])
+    assert reads(lambda d: X.stability(d, 2, (1, 2), lambda seed: linear)) <= 4  # twice a seed, for counts and rows
+    assert reads(lambda d: X.multi_seed(d, 2, (1, 2), lambda seed: linear).select("id", "oof_pred")) <= 5
+    by = lambda k: X.plain_logistic(["x"], "is_test")
+    assert reads(lambda d: X.adversarial(d.filter("fold = 0"), d.filter("fold = 1"), 2, by)) <= 4
+
+
+def test_strata_are_dealt_once(spark, rows):
+    d = rows.withColumn("target", F.when(F.col("id") % 5 > 0, F.col("target")))
+    plan = L.stratified_folds(d, 3, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") <= 1 and len([x for x in plan.splitlines() if "Exchange hashpartitioning(_key" in x]) <= 3
+    got = L.stratified_folds(d, 3, 7).collect()
+    for stratum in (None, 0, 1):
+        mine = sorted((r for r in got if r.target == stratum), key=lambda r: hashlib.md5(f"7:{r.id}".encode()).hexdigest())
+        assert [r.fold for r in mine] == [i % 3 for i in range(len(mine))]

@@ -68,3 +68,28 @@ def test_vectors_of_accounts(spark):
     d = spark.createDataFrame([(1, "a", 1.0), (2, "b", 3.0), (3, None, None)], "id long, c string, x double")
     got = {r.vec_id: r.embedding for r in G.graph_vectors(d, ["c"], ["x"], 2.0).collect()}
     assert [v[:3] for _, v in sorted(got.items())] == [[1, 0, 0], [0, 1, 0], [0, 0, 1]] and got[3][3] == pytest.approx(0) and got[2][3] > 0
+
+
+def test_lists_within_reach_hold_all_true_neighbours(spark, rows):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 4)).repeat(40, 0) + 0.3 * rng.normal(size=(1200, 4))
+    made = [(i, v.tolist()) for i, v in enumerate(x)]
+    for some in (rows, made):
+        d = spark.createDataFrame(some, "vec_id long, embedding array<double>").repartition(3)
+        q = d.filter("vec_id % 20 = 0")
+        found, true, work = G.indexed_and_exact(d, 4, probes=1, queries=q)
+        assert sorted(map(tuple, true.collect())) == brute(some, 4, {i for i, _ in some if i is not None and i % 20 == 0})
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, G.indexed_knn(d, 4, probes=1, queries=q)[0].collect()))
+
+
+def test_products_leave_out_no_neighbour():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(5000, 6)), 1) + 1e4  # ties, and numbers whose squares lose digits
+    q = x[:300]
+    row, col = G._pairs(q, x, 5, np.full(300, np.inf))
+    kept = set(zip(row.tolist(), col.tolist()))
+    d = G._distances(q, x)
+    kth = np.partition(d, 4, axis=1)[:, 4]
+    assert all((i, j) in kept for i, j in zip(*np.nonzero(d <= kth[:, None]))) and len(kept) < 300 * 5000
+    huge = np.full((3, 2), 1e200)
+    assert len(G._pairs(huge, huge, 1, np.full(3, np.inf))[0]) == 9  # overflow rules nothing out

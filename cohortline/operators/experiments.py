@@ -184,7 +184,7 @@ def with_prior_features(df: DataFrame, n_folds: int, make: Callable[[int, list[s
 
 def neighbour_features(vectors: DataFrame, values: DataFrame, columns: Sequence[str], k: int = 8, hops: int = 2) -> tuple[DataFrame, list[str]]:
     """values with the means of their columns over each row's nearest neighbours, and over those's, and the names."""
-    return hop_means(graph.exact_knn(vectors, k), values, columns, hops)
+    return hop_means(saved(graph.exact_knn(vectors, k)), values, columns, hops)  # read by each hop
 
 
 def hop_means(edges: DataFrame, values: DataFrame, columns: Sequence[str], hops: int = 2) -> tuple[DataFrame, list[str]]:

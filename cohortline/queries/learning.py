@@ -73,7 +73,7 @@ def _neighbours(s: SparkSession, d: str) -> DataFrame:
     values = v.select("vec_id", F.col("embedding")[0].cast("double").alias("x0"), F.col("embedding")[1].cast("double").alias("x1"))
     rows, made = X.neighbour_features(v, values, ["x0", "x1"], 8, 2)
     rows = rows.withColumn("target", (F.col("x0") > 0).cast("int")).fillna(0.0, made)
-    dealt = L.stratified_folds(rows, 2, 7, id_column="vec_id")
+    dealt = saved(L.stratified_folds(saved(rows), 2, 7, id_column="vec_id"))  # read by every pass of every fit
     return auc(M.cross_validate(dealt, 2, lambda k: X.plain_logistic(made)), ["fold"], "target", "oof_pred").withColumn("auc", F.round("auc", 4))
 
 

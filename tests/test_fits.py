@@ -52,3 +52,10 @@ def test_strata_are_dealt_once(spark, rows):
     for stratum in (None, 0, 1):
         mine = sorted((r for r in got if r.target == stratum), key=lambda r: hashlib.md5(f"7:{r.id}".encode()).hexdigest())
         assert [r.fold for r in mine] == [i % 3 for i in range(len(mine))]
+
+
+def test_neighbours_are_found_once_for_all_that_reads_their_means(spark):
+    d = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "vec_id long, embedding array<double>")
+    made, names = X.neighbour_features(d, d.select("vec_id", F.col("embedding")[0].alias("x")), ["x"], 4, 2)
+    assert "InArrow" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.count() == 60 and names == ["hop1_x", "hop2_x"]

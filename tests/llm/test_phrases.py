@@ -1,11 +1,13 @@
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortline.llm import phrases
@@ -79,3 +81,21 @@ def test_query_equals_its_sql(spark):
         c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{data}/{f}')")
     want = c.execute(phrases.ORACLE).fetchall()
     assert len(want) > 100 and sorted(map(tuple, phrases.query(spark, data).collect())) == sorted(want)
+
+
+def test_memory_of_a_batch_stays_small():
+    """A worker counts a batch in slices, whatever the batch's size: with slices of 2 MB the arrays took 72 MB here, now 18."""
+    rng = np.random.default_rng(3)
+    words = rng.choice(np.frombuffer(b"abcdefghijklmnopqrst", np.uint8), (1 << 20, 6))
+    words[:, 5] = 32
+    data = words.ravel()
+    off = np.arange(0, len(data) + 1, 6 * 256)
+    sieve = np.full(1 << (phrases.SIEVE_BITS - 6), 2**64 - 1, np.uint64)
+    phrases._tables(1)
+    tracemalloc.start()
+    for raw, places, texts in phrases.slices(data, off):
+        for _ in phrases.ngrams(raw, places, np.zeros(len(texts), np.int64), pa.array(["en"]), [sieve]):
+            pass
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert most < 40

@@ -146,3 +146,12 @@ def test_losses_compare_as_in_other_engines(spark):
     c.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
     want = dict(c.execute(f"SELECT id, -(y * ln({K.clip('p')}) + (1 - y) * ln(1 - {K.clip('p')})) FROM t").fetchall())
     assert {r.id: r.loss for r in got} == want
+
+
+def test_auc_and_ranks_dont_repeat_what_makes_a_score(spark):
+    """A filter on the score was moved below the columns that make it, and held their expressions once for each use."""
+    df = spark.range(100).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") / 100).alias("s"))
+    for _ in range(8):
+        df = df.withColumn("s", F.when(F.col("s") > 0.5, F.col("s") * 0.9).otherwise(F.col("s") + 0.01))
+    for out in (auc(df, [], "y", "s"), average_rank(df, [], "s", "r")):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("0.01") < 100

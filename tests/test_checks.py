@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from cohortline.operators import blend as B
 from cohortline.operators import select as S
 from cohortline.plans import parity as P
+from cohortline.operators import scans
+from cohortline.plans import gates
 
 
 def test_parity_of_columns(spark):
@@ -66,3 +68,33 @@ def test_blends_without_a_solution(spark):
         B.invert_components(d, ("x", w), ("x", w), ("x", w))
     with pytest.raises(ValueError, match="must hold"):
         B.invert_components(d, ("x", {"cb": 1.0}), ("x", w), ("x", w))
+
+
+def counting(spark, n):  # noqa: ANN001, ANN201
+    """Rows whose predictions count how often they are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def make(i):
+        made.add(1)
+        return (i * 37 % 101) / 101
+
+    p = F.udf(make, "double")(F.col("id"))
+    rows = spark.range(n).select("id", (F.col("id") % 2).cast("int").alias("target"), F.lit("a").alias("segment3"), F.lit("b").alias("segment5"), p.alias("candidate_pred"), ((F.col("id") * 53 % 97) / 97).alias("reference_pred"))
+    return made, rows
+
+
+def test_chain_report_and_robustness_make_their_rows_once(spark):
+    made, rows = counting(spark, 400)
+    rows = rows.withColumns({f"{s}_loss": F.col(f"{s}_pred") for s in ("candidate", "reference")})
+    assert gates.chain_report(rows, rows, "midcap", 2, 3).count() == 5
+    assert made.value <= 2 * 400  # the second is the loss here
+    made, rows = counting(spark, 400)
+    assert scans.robustness(rows, ["candidate_pred", "reference_pred"], 2, 3).count() == 2
+    assert made.value <= 2 * 400
+
+
+def test_repeated_aucs_equal_those_of_each_prediction(spark):
+    _, rows = counting(spark, 200)
+    both = {(r.prediction, r.repeat, r.fold): r.auc for r in gates.repeated_aucs(rows, ["candidate_pred", "reference_pred"], 2, 3).collect()}
+    alone = {(p, r.repeat, r.fold): r.auc for p in ("candidate_pred", "reference_pred") for r in gates.repeated_auc(rows, p, 2, 3).collect()}
+    assert len(both) == 12 and both == alone

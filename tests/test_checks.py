@@ -6,6 +6,7 @@ from cohortline.operators import blend as B
 from cohortline.operators import select as S
 from cohortline.plans import parity as P
 from cohortline.operators import scans
+from cohortline.operators import signatures
 from cohortline.plans import gates
 
 
@@ -98,3 +99,18 @@ def test_repeated_aucs_equal_those_of_each_prediction(spark):
     both = {(r.prediction, r.repeat, r.fold): r.auc for r in gates.repeated_aucs(rows, ["candidate_pred", "reference_pred"], 2, 3).collect()}
     alone = {(p, r.repeat, r.fold): r.auc for p in ("candidate_pred", "reference_pred") for r in gates.repeated_auc(rows, p, 2, 3).collect()}
     assert len(both) == 12 and both == alone
+
+
+def test_signatures_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def sign(x):
+        made.add(1)
+        return f"s{x % 3}"
+
+    d = spark.createDataFrame([(i, i % 2, "a", "b", "c", "d", 5.0) for i in range(30)], "id long, target int, PaymentMethod string, Contract string, InternetService string, PaperlessBilling string, tenure double")
+    kinds = {"k": F.udf(sign)("id")}
+    got = signatures.duplicate_groups(d, kinds).collect()
+    assert sorted((r.signature, r.group_size, r.sample_ids[:2]) for r in got) == [(f"s{i}", 10, [i, i + 3]) for i in range(3)] and made.value == 30
+    flags = signatures.duplicate_flags(d, kinds).collect()
+    assert {(r.k_group_size, r.k_inconsistent) for r in flags} == {(10, True)} and made.value == 60

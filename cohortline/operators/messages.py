@@ -1,9 +1,13 @@
 """Trained aggregation over neighbours: two hops of messages with learned weights.
 
 A node's features become its state; twice, a node's new state is made from its own and the mean of its neighbours' states.
-Messages go along the edges by a join and an aggregate, and their gradients go back the same way. The parameters, a few
-matrices of the hidden width, are on the driver; their gradients are sums over partitions. A round is one pass over all
-nodes and four over all edges; nothing of a node or an edge reaches the driver."""
+The parameters, a few matrices of the hidden width, are on the driver; their gradients are sums over partitions.
+
+For a fit the nodes are dealt once to blocks of near features, each with the neighbours of its nodes and theirs in turn: all
+that the losses of a block's nodes depend on. A round is then one pass over the blocks, without a shuffle. Where nodes have
+many edges, or edges don't lead to near nodes, so that blocks would repeat most of the graph, messages go along the edges by a
+join and an aggregate, and their gradients back the same way: four passes over all edges a round. Either gives the same
+gradients. Nothing of an edge reaches the driver, and of nodes a bounded sample of features."""
 
 from __future__ import annotations
 
@@ -19,6 +23,11 @@ from ..checkpoints import saved
 
 Parameters = dict[str, np.ndarray]
 
+#: Nodes of a block, about; rows that borders of blocks come from, at most, and of them those of one block, at least.
+BLOCK, BORDER_ROWS, LEAF_ROWS = 8192, 65536, 16
+#: Most edges of a node, and members of blocks for each node that is learned from, with which there are blocks.
+MOST_EDGES, MOST_COPIES = 16, 5
+
 
 def initial(features: int, width: int, seed: int = 7) -> Parameters:
     rng = np.random.default_rng(seed)
@@ -147,14 +156,141 @@ def gradients(nodes: DataFrame, edges: DataFrame, p: Parameters) -> tuple[float,
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
 
-    rows = back.mapInArrow(sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # one for each parameter
+    return _collected(back.mapInArrow(sums, "k long, v double"), p)
+
+
+def _collected(parts: DataFrame, p: Parameters) -> tuple[float, Parameters]:
+    """The mean loss and gradient from partitions' sums (k, v): of rows, of losses, and of each parameter's gradients."""
     total = np.zeros(2 + flat(p).size)
-    for r in rows:
+    for r in parts.groupBy("k").agg(F.sum("v").alias("v")).collect():  # one for each parameter
         total[r.k] = r.v
     n = max(total[0], 1.0)
     return total[1] / n, shaped(total[2:] / n, p)
 
 
+def _borders(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each inner node of a binary tree, in heap order from 1, the feature of the greatest deviation and its median."""
+    feature, cut = np.zeros(1 << depth, np.int64), np.full(1 << depth, np.inf)
+    parts = {1: np.arange(len(x))}
+    for node in range(1, 1 << depth):
+        rows = parts.pop(node)
+        if len(rows):
+            feature[node] = x[rows].std(0).argmax()
+            cut[node] = np.median(x[rows, feature[node]])
+        above = x[rows, feature[node]] > cut[node]
+        parts[2 * node], parts[2 * node + 1] = rows[~above], rows[above]
+    return feature, cut
+
+
+def _dealt(nodes: DataFrame, n: int) -> DataFrame:
+    """nodes with the number of their block: a box of features, or where many are alike, a part of one by a hash."""
+    few = nodes.select("x").orderBy(F.xxhash64("id")).limit(min(BORDER_ROWS, max(LEAF_ROWS, n)))
+    sample = np.array([r.x for r in few.collect()], float)
+    depth = max(0, int(np.ceil(np.log2(max(1.0, min(n / BLOCK, len(sample) / LEAF_ROWS))))))
+    feature, cut = _borders(sample, depth)
+
+    def leaves(c):
+        x, at = _array(c["x"], sample.shape[1]), np.ones(len(c["x"]), np.int64)
+        for _ in range(depth):
+            at = 2 * at + (x[np.arange(len(x)), feature[at]] > cut[at])
+        return {"leaf": at.astype(float)}
+
+    boxes = _mapped(nodes, nodes.columns, {"leaf": 0}, leaves)
+    parts = boxes.groupBy("leaf").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts").cast("long"))
+    return boxes.join(F.broadcast(parts), "leaf").withColumn("block", F.col("leaf").cast("long") * (1 << 32) + part).drop("leaf", "parts")  # as few rows as boxes
+
+
+def _packed(t: pa.Table) -> pa.Table:
+    """A block as one row of arrays. Nodes that are learned from come first, then their neighbours, then those of these."""
+    level, ids = t["level"].to_numpy(), t["id"].to_numpy()
+    order = np.lexsort((ids, -level))
+    t = t.take(pa.array(order)).combine_chunks()
+    level, ids = level[order], ids[order]
+    a, b, c = int((level == 2).sum()), int((level >= 1).sum()), len(level)
+    near = t["near"].combine_chunks().slice(0, b)
+    size = near.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends, flat_ids = near.flatten().to_numpy(zero_copy_only=False), np.sort(ids)
+    where = np.minimum(np.searchsorted(flat_ids, ends), c - 1)
+    found = np.where(flat_ids[where] == ends, np.argsort(ids)[where], c)  # c: no node
+    table = np.full((b, max(1, size.max(initial=0))), c, np.int32)
+    row = np.repeat(np.arange(b), size)
+    table[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = found
+    w = 1 / np.maximum(t["edges"].fill_null(1).to_numpy()[:b], 1)
+    x = t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    y = t["y"].to_numpy()[:a]
+    values = {"a": a, "b": b, "c": c, "x": x.astype(float).tobytes(), "near": table.tobytes(), "w": w.astype(float).tobytes(), "y": y.astype(float).tobytes()}
+    return pa.table({k: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in values.items()})
+
+
+def blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """Packed blocks of nodes (id, x, y, learn) and edges (vec_id, neighbour); None where they wouldn't be small."""
+    size = nodes.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum("learn").alias("learn")).first()
+    near = saved(edges.filter("vec_id IS NOT NULL").groupBy(F.col("vec_id").alias("id")).agg(F.count("*").alias("edges"), F.slice(F.collect_list("neighbour"), 1, MOST_EDGES).alias("near")))
+    if not size["learn"] or size["ids"] < size["n"] or (near.agg(F.max("edges")).first()[0] or 0) > MOST_EDGES:
+        return None
+    rows = saved(_dealt(nodes, size["n"]).join(near, "id", "left"))
+    level = lambda k: F.lit(k).alias("level")
+    members = lambda parts: saved(parts.groupBy("block", "id").agg(F.max("level").alias("level")))
+    own = rows.filter("learn > 0")
+    one = members(own.select("block", "id", level(2)).unionByName(own.select("block", F.explode("near").alias("id"), level(1))))
+    if one.count() > MOST_COPIES * size["learn"]:
+        return None
+    further = one.join(rows.select("id", "near"), "id").select("block", F.explode("near").alias("id"), level(0))
+    all_ = members(one.unionByName(further)).join(rows.drop("block", "learn"), "id")
+    packed = all_.select("block", "level", "id", "x", "y", "edges", "near").groupBy("block").applyInArrow(_packed, "a long, b long, c long, x binary, near binary, w binary, y binary")
+    return saved(packed.repartition(8 + size["n"] // (4 * BLOCK)))  # few to a partition, which is read as one batch
+
+
+def _means(h: np.ndarray, near: np.ndarray, w: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(near), h.shape[1]))
+    for k in range(near.shape[1]):
+        out += h[near[:, k]]
+    return out * w[:, None]
+
+
+def _returned(d: np.ndarray, near: np.ndarray, n: int) -> np.ndarray:
+    """Rows of d added up at all their neighbours, of which there are n."""
+    at = near.ravel()
+    return np.stack([np.bincount(at, np.repeat(d[:, j], near.shape[1]), n) for j in range(d.shape[1])], axis=1)
+
+
+def block_gradients(packed: DataFrame, p: Parameters) -> tuple[float, Parameters]:
+    """gradients() from blocks."""
+    features, width = p["in"].shape
+
+    def run(batches):
+        total = np.zeros(2 + flat(p).size)
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, b, c = r["a"], r["b"], r["c"]
+                x, w, y = (np.frombuffer(r[n]) for n in ("x", "w", "y"))
+                x, near = x.reshape(c, features), np.frombuffer(r["near"], np.int32).reshape(b, -1)
+                last = np.minimum(near[:a], b)  # neighbours of the first nodes are among the first b, or no nodes
+                none = np.zeros((1, width))
+                h0 = np.maximum(x @ p["in"] + p["in_b"], 0.0)
+                m1 = _means(np.concatenate([h0, none]), near, w)
+                h1 = np.maximum(h0[:b] @ p["own1"] + m1 @ p["near1"] + p["b1"], 0.0)
+                m2 = _means(np.concatenate([h1, none]), last, w[:a])
+                h2 = np.maximum(h1[:a] @ p["own2"] + m2 @ p["near2"] + p["b2"], 0.0)
+                z = h2 @ p["out"] + p["out_b"][0]
+                rest = 1 / (1 + np.exp(-z)) - y
+                d2 = rest[:, None] * p["out"] * (h2 > 0)
+                d1 = _returned(d2 @ p["near2"].T * w[:a, None], last, b + 1)[:b]
+                d1[:a] += d2 @ p["own2"].T
+                d1 *= h1 > 0
+                d0 = _returned(d1 @ p["near1"].T * w[:, None], near, c + 1)[:c]
+                d0[:b] += d1 @ p["own1"].T
+                d0 *= h0 > 0
+                g = {"in": x.T @ d0, "in_b": d0.sum(0)}
+                g |= {"own1": h0[:b].T @ d1, "near1": m1.T @ d1, "b1": d1.sum(0), "own2": h1[:a].T @ d2, "near2": m2.T @ d2, "b2": d2.sum(0)}
+                g |= {"out": h2.T @ rest, "out_b": np.array([rest.sum()])}
+                total += np.concatenate([[a, (np.logaddexp(0.0, z) - y * z).sum()], flat(g)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
+
+    return _collected(packed.mapInArrow(run, "k long, v double"), p)
+
+
 @dataclass
 class Trained:
     parameters: Parameters
@@ -167,12 +303,13 @@ def fit(nodes: DataFrame, edges: DataFrame, *, width: int = 8, rounds: int = 25,
     nodes: id, x (lists of one length, without nulls), y (null where unknown), learn; edges: vec_id, neighbour, of which an
     end that is no node counts as zeros. Nodes without edges have a mean of zeros; no nodes leave the parameters as drawn."""
     nodes = saved(nodes.select("id", "x", F.col("y").cast("double").alias("y"), (F.coalesce(F.col("learn"), F.lit(0)) * F.col("y").isNotNull().cast("int")).cast("double").alias("learn")))
-    edges = weighted_edges(edges)
+    packed = blocks(nodes, edges)
+    edges = weighted_edges(edges) if packed is None else edges
     first = nodes.select(F.size("x")).first()
     p = initial(first[0] if first else 1, width, seed)
     x, m, v, losses = flat(p), 0.0, 0.0, []
     for t in range(1, rounds + 1):
-        loss, g = gradients(nodes, edges, shaped(x, p))
+        loss, g = gradients(nodes, edges, shaped(x, p)) if packed is None else block_gradients(packed, shaped(x, p))
         losses.append(loss)
         m, v = 0.9 * m + 0.1 * flat(g), 0.99 * v + 0.01 * flat(g) ** 2
         x = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)

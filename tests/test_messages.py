@@ -41,6 +41,26 @@ def test_gradients_equal_differences(spark):
         assert found[k] == pytest.approx((forward(S.shaped(up, p)) - forward(S.shaped(down, p))) / 2e-6, abs=1e-6)
 
 
+def test_blocks_give_the_same_gradients(spark, monkeypatch):
+    """Few nodes a block; neighbours in other blocks, repeated and missing ones, nodes without edges or label, many edges."""
+    monkeypatch.setattr(S, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(150, 3)), np.ones((50, 3))])
+    nodes = [(3 * i, x[i].tolist(), float(i % 2) if i % 4 else 0.0, float(i % 5 > 0)) for i in range(200)]
+    gap = ((x[:, None] - x[None]) ** 2).sum(2)
+    edges = [(3 * i, 3 * int(j)) for i in range(190) for j in np.argsort(gap[i])[1:5]] + [(0, 1), (3, 1), (3, 9), (3, 9), (1, 3)]
+    n = spark.createDataFrame(nodes, "id long, x array<double>, y double, learn double").repartition(3)
+    e = spark.createDataFrame(edges, "vec_id long, neighbour long")
+    p = {k: v + 0.1 * rng.normal(size=v.shape) for k, v in S.initial(3, 4).items()}
+    packed = S.blocks(n, e)
+    assert packed.count() > 6 and packed.agg(F.sum("a")).first()[0] == 160
+    loss, g = S.block_gradients(packed, p)
+    want, wanted = S.gradients(n, S.weighted_edges(e), p)
+    assert loss == pytest.approx(want, abs=1e-12) and np.allclose(S.flat(g), S.flat(wanted), atol=1e-12)
+    assert S.blocks(n, e.unionByName(spark.createDataFrame([(0, j) for j in range(40)], e.schema))) is None
+    assert S.blocks(n.unionByName(n.limit(1)), e) is None
+
+
 def test_learned_messages_beat_fixed_means(spark):
     """The label is whether a node's neighbours have two features of one sign: no weighting of plain means tells."""
     rng = np.random.default_rng(4)

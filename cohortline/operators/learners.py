@@ -4,11 +4,14 @@ in pyspark.ml; the models here stand in for those and don't give their scores.""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, Pipeline
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame
@@ -18,15 +21,55 @@ from ..functions import keys as K
 from .select import rank_pairs
 
 
-def features(categorical: Sequence[str], numeric: Sequence[str], one_hot: bool = False, scale: bool = False) -> list:
+class ScaledCodes(Estimator):
+    """`features`: for each category one column of 0 and 1 a value, the most frequent first, and one for null and unseen
+    values, then the numbers; all over their deviations. They are those that StringIndexer, OneHotEncoder, VectorAssembler
+    and StandardScaler make, but fitted by two plain aggregates and made by one function in place of one for each stage."""
+
+    def __init__(self, categorical: Sequence[str], numeric: Sequence[str]):
+        super().__init__()
+        self.categorical, self.numeric = list(categorical), list(numeric)
+
+    def _fit(self, df: DataFrame) -> ScaledCodesModel:
+        n, *deviations = df.agg(F.count("*"), *[F.stddev_samp(F.col(c).cast("double")) for c in self.numeric]).first()
+        # values in all combinations first, so that rows aren't repeated for each column
+        cells = df.select(*[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(self.categorical)])
+        cells = cells.groupBy(*cells.columns).agg(F.count("*").alias("_n"))
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_{i}").alias("value"), "_n") for i in range(len(self.categorical))]).cast("array<struct<i:int,value:string,_n:bigint>>")).alias("x")
+        counts = cells.select(each).groupBy("x.i", "x.value").agg(F.sum("x._n").alias("n")).filter("value IS NOT NULL").collect()  # values are few
+        values, scales = {}, []
+        for i, c in enumerate(self.categorical):
+            own = sorted((-r.n, r.value) for r in counts if r.i == i)
+            values[c] = [v for _, v in own]
+            sizes = [-m for m, _ in own]
+            scales += [((n * (n - 1)) / (m * (n - m))) ** 0.5 if 0 < m < n else 0.0 for m in [*sizes, n - sum(sizes)]]
+        scales += [1 / s if s else 0.0 for s in deviations]
+        return ScaledCodesModel(values, self.numeric, scales)
+
+
+class ScaledCodesModel(Model):
+    """values: of each category, in the order of their columns; scales: of all columns."""
+
+    def __init__(self, values: Mapping[str, Sequence[str]], numeric: Sequence[str], scales: Sequence[float]):
+        super().__init__()
+        self.values, self.numeric, self.scales = values, numeric, scales
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        columns = []
+        for c, values in self.values.items():
+            x = F.col(c).cast("string")
+            known = F.coalesce(x.isin(*values), F.lit(False)) if values else F.lit(False)
+            columns += [*[F.coalesce(x == v, F.lit(False)) for v in values], ~known]
+        columns = [F.when(x, s).otherwise(0.0) for x, s in zip(columns, self.scales)]
+        columns += [F.col(c).cast("double") * s for c, s in zip(self.numeric, self.scales[len(columns) :])]
+        made = {f"_f{i}": x for i, x in enumerate(columns)}
+        return VectorAssembler(inputCols=list(made), outputCol="features").transform(df.withColumns(made)).drop(*made)
+
+
+def features(categorical: Sequence[str], numeric: Sequence[str]) -> list:
     """Stages that make `features`; unknown categories have a code of their own, missing numbers are filled before."""
     index = StringIndexer(inputCols=list(categorical), outputCols=[f"_i_{c}" for c in categorical], handleInvalid="keep")
-    columns, stages = [f"_i_{c}" for c in categorical], [index]
-    if one_hot:
-        stages.append(OneHotEncoder(inputCols=columns, outputCols=[f"_h_{c}" for c in categorical], handleInvalid="keep"))
-        columns = [f"_h_{c}" for c in categorical]
-    stages.append(VectorAssembler(inputCols=[*columns, *numeric], outputCol="_raw" if scale else "features"))
-    return stages + ([StandardScaler(inputCol="_raw", outputCol="features")] if scale else [])
+    return [index, VectorAssembler(inputCols=[*[f"_i_{c}" for c in categorical], *numeric], outputCol="features")]
 
 
 def positive(df: DataFrame, name: str) -> DataFrame:
@@ -35,15 +78,18 @@ def positive(df: DataFrame, name: str) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, folds: int, make: Callable[[int], Estimator], name: str = "oof_pred", fold: str = "fold", mask: str | None = None) -> DataFrame:
-    """Each row's prediction by a model of the other folds; the only loop is over folds. With a mask (a boolean column)
-    models are fitted and applied on its rows alone."""
-    out = None
+    """Each row's prediction by a model of the other folds; the only loop is over folds, two at a time, so that one's passes
+    fill what the other's leave of the machines. With a mask (a boolean column) models are fitted and applied on its rows
+    alone."""
     rows = df.filter(mask) if mask else df
-    for k in range(folds):
+
+    def part(k: int) -> DataFrame:
         model = make(k).fit(rows.filter(F.col(fold) != k))
-        part = positive(model.transform(rows.filter(F.col(fold) == k)), name).select(*df.columns, name)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return positive(model.transform(rows.filter(F.col(fold) == k)), name).select(*df.columns, name)
+
+    with ThreadPool(2) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(part), range(folds))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def boosted(categorical: Sequence[str], numeric: Sequence[str], label: str = "target", rounds: int = 20, weight: str | None = None, regression: bool = False) -> Callable[[int], Estimator]:
@@ -53,16 +99,16 @@ def boosted(categorical: Sequence[str], numeric: Sequence[str], label: str = "ta
 
 
 def linear(categorical: Sequence[str], numeric: Sequence[str], label: str = "target") -> Callable[[int], Estimator]:
-    return lambda k: Pipeline(stages=[*features(categorical, numeric, True, True), LogisticRegression(labelCol=label, regParam=0.01, maxIter=25)])
+    return lambda k: Pipeline(stages=[ScaledCodes(categorical, numeric), LogisticRegression(labelCol=label, regParam=0.01, maxIter=25)])
 
 
 def factorised(categorical: Sequence[str], numeric: Sequence[str], label: str = "target") -> Callable[[int], Estimator]:
-    return lambda k: Pipeline(stages=[*features(categorical, numeric, True, True), FMClassifier(labelCol=label, factorSize=4, maxIter=15, seed=17 + k)])
+    return lambda k: Pipeline(stages=[ScaledCodes(categorical, numeric), FMClassifier(labelCol=label, factorSize=4, maxIter=15, seed=17 + k)])
 
 
 def perceptron(categorical: Sequence[str], numeric: Sequence[str], width: int, label: str = "target") -> Callable[[int], Estimator]:
     """width: of the one-hot features; the layers are fixed by it."""
-    return lambda k: Pipeline(stages=[*features(categorical, numeric, True, True), MultilayerPerceptronClassifier(labelCol=label, layers=[width, 16, 2], maxIter=30, seed=17 + k)])
+    return lambda k: Pipeline(stages=[ScaledCodes(categorical, numeric), MultilayerPerceptronClassifier(labelCol=label, layers=[width, 16, 2], maxIter=30, seed=17 + k)])
 
 
 def calibrated(df: DataFrame, folds: int, method: str, score: str, name: str = "calibrated") -> DataFrame:

@@ -23,8 +23,11 @@ from ..operators.blend import blend
 _CAT, _NUM = ("PaymentMethod", "Contract", "InternetService", "PaperlessBilling", "TechSupport"), ("tenure", "MonthlyCharges", "total")
 
 
-def rows(s: SparkSession, d: str) -> DataFrame:
+def rows(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The rows in folds, with the reference and its residual, or with no more than the columns given."""
     a = blend(accounts(s, d), REFERENCE_WEIGHTS).withColumn("total", F.coalesce("TotalCharges", F.lit(0.0)))
+    if columns:
+        return saved(L.stratified_folds(a.select("id", "target", *columns), 2, 7).drop("id"))  # read by every fit
     return saved(L.stratified_folds(a, 2, 7).select("id", "target", "fold", "reference_pred", *_CAT, *_NUM).withColumn("residual", F.col("target") - F.col("reference_pred")))  # read by every fit
 
 
@@ -34,8 +37,8 @@ def _report(name: str):  # noqa: ANN202
 
 QUERIES = {
     "learner_boosted": lambda s, d: _report("oof_pred")(M.cross_validate(rows(s, d), 2, M.boosted(_CAT, _NUM, rounds=8))),
-    "learner_linear": lambda s, d: _report("oof_pred")(M.cross_validate(rows(s, d), 2, M.linear(_CAT, _NUM))),
-    "learner_factorised": lambda s, d: _report("oof_pred")(M.cross_validate(rows(s, d), 2, M.factorised(_CAT, _NUM))),
+    "learner_linear": lambda s, d: _report("oof_pred")(M.cross_validate(rows(s, d, *_CAT, *_NUM), 2, M.linear(_CAT, _NUM))),
+    "learner_factorised": lambda s, d: _report("oof_pred")(M.cross_validate(rows(s, d, *_CAT, *_NUM), 2, M.factorised(_CAT, _NUM))),
     "learner_residual": lambda s, d: _report("moved")(M.cross_validate(rows(s, d), 2, M.boosted(_CAT, _NUM, "residual", 5, regression=True), "residual_pred").withColumn("moved", F.col("reference_pred") + 0.2 * F.col("residual_pred"))),
     "learner_platt": lambda s, d: _report("calibrated")(M.calibrated(rows(s, d), 2, "platt", "reference_pred")),
     "learner_isotonic": lambda s, d: _report("calibrated")(M.calibrated(rows(s, d), 2, "isotonic", "reference_pred")),
@@ -124,7 +127,7 @@ QUERIES |= {
     "learner_stability": lambda s, d: X.stability(full(s, d).select("id", "target", *_CAT, *_NUM), 2, (1, 2), lambda seed: M.linear(_CAT, _NUM)).agg(F.count("*").alias("rows"), F.round(F.avg("std"), 3).alias("mean_std"), F.round(F.avg("flip"), 3).alias("mean_flip")),
     "learner_encoded": lambda s, d: _report("oof_pred")(X.encoded_boosting(full(s, d), 2, K.ngrams(("Contract", "InternetService", "PaymentMethod")), _NUM, 4)),
     "learner_spline_meta": _splines,
-    "learner_perceptron": lambda s, d: (lambda a: _report("oof_pred")(M.cross_validate(a, 2, M.perceptron(("PaymentMethod", "Contract", "InternetService"), ("tenure", "MonthlyCharges"), 15))))(rows(s, d)),
+    "learner_perceptron": lambda s, d: _report("oof_pred")(M.cross_validate(rows(s, d, *_CAT[:3], *_NUM[:2]), 2, M.perceptron(_CAT[:3], _NUM[:2], 15))),
     "learner_neighbours": _neighbours,
     "learner_pseudo_sweep": _pseudo,
     "learner_external": _external,

@@ -3,8 +3,10 @@
 import threading
 
 import pytest
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.classification import FMClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cohortline.operators import learners as M
@@ -52,3 +54,20 @@ def test_two_folds_are_fitted_at_a_time(rows):
 
 def test_rows_of_a_learner_hold_its_columns_alone(spark):
     assert Q.rows(spark, "/root/testdata/sf0.001", "Contract", "tenure").columns == ["target", "Contract", "tenure", "fold"]
+
+
+def test_factorised_is_the_model_of_fmclassifier_from_packed_rows(spark, rows):
+    made = M.linear(("c", "k"), ("x", "id"))(0).fit(rows).stages[0]
+    want = FMClassifier(labelCol="target", factorSize=4, maxIter=15, seed=17).fit(made.transform(rows))
+    model = M.factorised(("c", "k"), ("x", "id"))(0).fit(rows)
+    assert not isinstance(model, PipelineModel)  # before: stages that end in FMClassifier, which goes row by row
+    unseen = rows.union(spark.createDataFrame([(-1, "z", 9, 1.5, 0, 0)], rows.schema))
+    p = {r.id: r.p for r in want.transform(made.transform(unseen)).select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    got = {r.id: r.p for r in M.positive(model.transform(unseen), "p").collect()}
+    assert len(got) == 601 and all(got[i] == pytest.approx(p[i], abs=1e-9) for i in p)
+
+
+def test_factorised_refuses_what_fmclassifier_refuses(rows):
+    for bad in (rows.withColumn("x", F.when(F.col("id") != 5, F.col("x"))), rows.withColumn("target", F.lit(2)), rows.withColumn("x", F.lit(float("nan")))):
+        with pytest.raises(Exception, match="null|neither 0 nor 1"):
+            M.factorised(("c",), ("x",))(0).fit(bad)

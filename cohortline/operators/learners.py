@@ -1,4 +1,4 @@
-"""Learners of pyspark.ml behind one cross-validation: boosted trees, linear models, factorisation machines, perceptrons,
+"""Learners of pyspark.ml, and factorisation machines, behind one cross-validation: boosted trees, linear models, perceptrons,
 calibrators, residual and pairwise models. There are no monotone constraints, field-aware factors or pairwise boosting
 in pyspark.ml; the models here stand in for those and don't give their scores."""
 

@@ -114,7 +114,7 @@ class EmbeddingPerceptron:
 
     def _layers(self, p, codes, x):
         e, w, b, v, c = self._parts(p)
-        into = np.hstack([e[codes].reshape(len(codes), -1), x])
+        into = np.hstack([e[codes].reshape(len(codes), self.fields * self.width), x])  # of no rows too
         h = np.maximum(into @ w + b, 0.0)
         return into, h, h @ v + c[0]
 
@@ -137,11 +137,11 @@ class EmbeddingPerceptron:
         add(np.full(len(rest), n + 2 * self.hidden, np.int64), rest)
 
 
-def _rows(b: pa.RecordBatch, numbers: int) -> tuple[np.ndarray, ...]:
+def _rows(b: pa.RecordBatch, model: FieldAware | EmbeddingPerceptron) -> tuple[np.ndarray, ...]:
     c = {n: v for n, v in zip(b.schema.names, b.columns)}
     fold, y = (c[n].to_numpy(zero_copy_only=False).astype(float) for n in ("fold", "y"))
-    codes = c["codes"].flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(b.num_rows, -1)
-    return fold, y, codes, c["numbers"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, numbers)
+    codes = c["codes"].flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(b.num_rows, model.fields)
+    return fold, y, codes, c["numbers"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, model.numbers)
 
 
 def batch_gradient(rows: DataFrame, model: FieldAware | EmbeddingPerceptron, parameters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +152,7 @@ def batch_gradient(rows: DataFrame, model: FieldAware | EmbeddingPerceptron, par
         total, n = np.zeros((models, size), np.int64), np.zeros(models, np.int64)
         for b in batches:
             for a in range(0, b.num_rows, 2048):
-                fold, y, codes, x = _rows(b.slice(a, 2048), model.numbers)
+                fold, y, codes, x = _rows(b.slice(a, 2048), model)
                 for m in range(models):
                     use = np.flatnonzero((fold != m) & ~np.isnan(y))
                     p = parameters[m]
@@ -185,7 +185,7 @@ class Fitted:
 
         def run(batches):
             for b in batches:
-                fold, _, codes, x = _rows(b, model.numbers)
+                fold, _, codes, x = _rows(b, model)
                 z = np.zeros(b.num_rows)
                 for m in range(len(parameters)):
                     at = np.flatnonzero(np.maximum(fold, 0) == m)

@@ -47,6 +47,17 @@ def test_equal_for_any_number_of_partitions(data, model):
     assert (a == b).all() and (a[0] != a[1]).any()
 
 
+@pytest.mark.parametrize("model", MODELS)
+def test_batches_without_rows_of_a_model(data, model):
+    """A partition or the last part of it may hold rows of one fold alone, or none with a target."""
+    rows = N.hashed_rows(data, ["a", "b", "c"], ["x"], bits=6, batches=2)
+    parts = rows.repartition(64, "fold", F.isnull("y"))
+    a, b = (N.fit(r, model, models=2, epochs=1, batches=2) for r in (rows.coalesce(1), parts))
+    assert (a.parameters == b.parameters).all()
+    p = lambda f, r: sorted((x.id, round(x.p, 12)) for x in f.predict(r, "p").collect())
+    assert p(a, rows.coalesce(1)) == p(b, parts)
+
+
 def test_pairs_of_categories_are_learned(spark, data):
     loss = {}
     for name, model, rate in (("factors", N.FieldAware(3, 1024, 4, 1), 0.3), ("single", N.FieldAware(3, 1024, 0, 1), 0.3), ("perceptron", N.EmbeddingPerceptron(3, 1024, 8, 16, 1), 0.1)):

@@ -4,7 +4,8 @@ A node's features become its state; twice, a node's new state is made from its o
 The parameters, a few matrices of the hidden width, are on the driver; their gradients are sums over partitions.
 
 For a fit the nodes are dealt once to blocks of near features, each with the neighbours of its nodes and theirs in turn: all
-that the losses of a block's nodes depend on. A round is then one pass over the blocks, without a shuffle. Where nodes have
+that the losses of a block's nodes depend on. A round is then one pass over the blocks, without a shuffle, and so is a
+prediction over blocks of the nodes that it is for. Where nodes have
 many edges, or edges don't lead to near nodes, so that blocks would repeat most of the graph, messages go along the edges by a
 join and an aggregate, and their gradients back the same way: four passes over all edges a round. Either gives the same
 gradients. Nothing of an edge reaches the driver, and of nodes a bounded sample of features."""
@@ -218,28 +219,41 @@ def _packed(t: pa.Table) -> pa.Table:
     table[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = found
     w = 1 / np.maximum(t["edges"].fill_null(1).to_numpy()[:b], 1)
     x = t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    y = t["y"].to_numpy()[:a]
+    y = t["y"].to_numpy()[:a]  # NaN for null
     values = {"a": a, "b": b, "c": c, "x": x.astype(float).tobytes(), "near": table.tobytes(), "w": w.astype(float).tobytes(), "y": y.astype(float).tobytes()}
-    return pa.table({k: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in values.items()})
+    own = t["id"].combine_chunks().slice(0, a)
+    return pa.table({k: pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for k, v in values.items()} | {"ids": pa.ListArray.from_arrays(pa.array([0, a], pa.int32()), own)})
 
 
-def blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
-    """Packed blocks of nodes (id, x, y, learn) and edges (vec_id, neighbour); None where they wouldn't be small."""
+def dealt(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """Nodes (id, x, y, learn) with the block of each, its neighbours by edges (vec_id, neighbour) and their number; None where
+    they can't be in blocks."""
     size = nodes.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.sum("learn").alias("learn")).first()
     near = saved(edges.filter("vec_id IS NOT NULL").groupBy(F.col("vec_id").alias("id")).agg(F.count("*").alias("edges"), F.slice(F.collect_list("neighbour"), 1, MOST_EDGES).alias("near")))
     if not size["learn"] or size["ids"] < size["n"] or (near.agg(F.max("edges")).first()[0] or 0) > MOST_EDGES:
         return None
-    rows = saved(_dealt(nodes, size["n"]).join(near, "id", "left"))
+    return saved(_dealt(nodes, size["n"]).join(near, "id", "left"))
+
+
+def packed(rows: DataFrame, wanted: Column) -> DataFrame | None:
+    """Packed blocks of the wanted ones of dealt nodes; None where they wouldn't be small."""
     level = lambda k: F.lit(k).alias("level")
     members = lambda parts: saved(parts.groupBy("block", "id").agg(F.max("level").alias("level")))
-    own = rows.filter("learn > 0")
+    own = rows.filter(wanted)
+    n, learn = rows.agg(F.count_if(wanted), F.count_if(F.col("learn") > 0)).first()
     one = members(own.select("block", "id", level(2)).unionByName(own.select("block", F.explode("near").alias("id"), level(1))))
-    if one.count() > MOST_COPIES * size["learn"]:
+    if one.count() > MOST_COPIES * max(n, learn):
         return None
     further = one.join(rows.select("id", "near"), "id").select("block", F.explode("near").alias("id"), level(0))
     all_ = members(one.unionByName(further)).join(rows.drop("block", "learn"), "id")
-    packed = all_.select("block", "level", "id", "x", "y", "edges", "near").groupBy("block").applyInArrow(_packed, "a long, b long, c long, x binary, near binary, w binary, y binary")
-    return saved(packed.repartition(8 + size["n"] // (4 * BLOCK)))  # few to a partition, which is read as one batch
+    out = all_.select("block", "level", "id", "x", "y", "edges", "near").groupBy("block").applyInArrow(_packed, f"a long, b long, c long, x binary, near binary, w binary, y binary, ids array<{dict(rows.dtypes)['id']}>")
+    return saved(out.repartition(8 + n // (4 * BLOCK)))  # few to a partition, which is read as one batch
+
+
+def blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """Packed blocks of the nodes that are learned from; None where they wouldn't be small."""
+    rows = dealt(nodes, edges)
+    return None if rows is None else packed(rows, F.col("learn") > 0)
 
 
 def _means(h: np.ndarray, near: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -255,25 +269,44 @@ def _returned(d: np.ndarray, near: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(at, np.repeat(d[:, j], near.shape[1]), n) for j in range(d.shape[1])], axis=1)
 
 
+def _states(r: dict, p: Parameters) -> tuple[np.ndarray, ...]:
+    """Of a block: features, shares, neighbours of all that have any and of the first nodes, the states and means, log odds."""
+    a, b, c = r["a"], r["b"], r["c"]
+    x, w, near = np.frombuffer(r["x"]).reshape(c, -1), np.frombuffer(r["w"]), np.frombuffer(r["near"], np.int32).reshape(b, -1)
+    last = np.minimum(near[:a], b)  # neighbours of the first nodes are among the first b, or no nodes
+    none = np.zeros((1, len(p["out"])))
+    h0 = np.maximum(x @ p["in"] + p["in_b"], 0.0)
+    m1 = _means(np.concatenate([h0, none]), near, w)
+    h1 = np.maximum(h0[:b] @ p["own1"] + m1 @ p["near1"] + p["b1"], 0.0)
+    m2 = _means(np.concatenate([h1, none]), last, w[:a])
+    h2 = np.maximum(h1[:a] @ p["own2"] + m2 @ p["near2"] + p["b2"], 0.0)
+    return x, w, near, last, h0, m1, h1, m2, h2, h2 @ p["out"] + p["out_b"][0]
+
+
+def block_predicted(packed: DataFrame, p: Parameters, name: str = "prediction") -> DataFrame:
+    """predicted() from blocks, for their own nodes."""
+    kind = packed.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            for i, r in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+                own = ids.slice(i, 1).flatten()
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.frombuffer(r["y"]), from_pandas=True), pa.array(1 / (1 + np.exp(-_states(r, p)[-1])))], ["id", "y", name])
+
+    return packed.mapInArrow(run, f"id {kind}, y double, {name} double")
+
+
 def block_gradients(packed: DataFrame, p: Parameters) -> tuple[float, Parameters]:
     """gradients() from blocks."""
-    features, width = p["in"].shape
 
     def run(batches):
         total = np.zeros(2 + flat(p).size)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in batch.drop_columns(["ids"]).to_pylist():
                 a, b, c = r["a"], r["b"], r["c"]
-                x, w, y = (np.frombuffer(r[n]) for n in ("x", "w", "y"))
-                x, near = x.reshape(c, features), np.frombuffer(r["near"], np.int32).reshape(b, -1)
-                last = np.minimum(near[:a], b)  # neighbours of the first nodes are among the first b, or no nodes
-                none = np.zeros((1, width))
-                h0 = np.maximum(x @ p["in"] + p["in_b"], 0.0)
-                m1 = _means(np.concatenate([h0, none]), near, w)
-                h1 = np.maximum(h0[:b] @ p["own1"] + m1 @ p["near1"] + p["b1"], 0.0)
-                m2 = _means(np.concatenate([h1, none]), last, w[:a])
-                h2 = np.maximum(h1[:a] @ p["own2"] + m2 @ p["near2"] + p["b2"], 0.0)
-                z = h2 @ p["out"] + p["out_b"][0]
+                x, w, near, last, h0, m1, h1, m2, h2, z = _states(r, p)
+                y = np.frombuffer(r["y"])
                 rest = 1 / (1 + np.exp(-z)) - y
                 d2 = rest[:, None] * p["out"] * (h2 > 0)
                 d1 = _returned(d2 @ p["near2"].T * w[:a, None], last, b + 1)[:b]
@@ -295,6 +328,17 @@ def block_gradients(packed: DataFrame, p: Parameters) -> tuple[float, Parameters
 class Trained:
     parameters: Parameters
     losses: list[float]
+    nodes: DataFrame
+    edges: DataFrame
+    rows: DataFrame | None = None
+
+    def others(self, name: str = "prediction") -> DataFrame:
+        """id, y and the probability of label 1 of the nodes that weren't learned from."""
+        own = None if self.rows is None else packed(self.rows, F.col("learn") == 0)
+        if own is not None:
+            return block_predicted(own, self.parameters, name)
+        got = predicted(self.nodes, weighted_edges(self.edges), self.parameters, name)
+        return got.join(self.nodes.filter("learn = 0").select("id"), "id")
 
 
 def fit(nodes: DataFrame, edges: DataFrame, *, width: int = 8, rounds: int = 25, rate: float = 0.05, seed: int = 7) -> Trained:
@@ -303,14 +347,15 @@ def fit(nodes: DataFrame, edges: DataFrame, *, width: int = 8, rounds: int = 25,
     nodes: id, x (lists of one length, without nulls), y (null where unknown), learn; edges: vec_id, neighbour, of which an
     end that is no node counts as zeros. Nodes without edges have a mean of zeros; no nodes leave the parameters as drawn."""
     nodes = saved(nodes.select("id", "x", F.col("y").cast("double").alias("y"), (F.coalesce(F.col("learn"), F.lit(0)) * F.col("y").isNotNull().cast("int")).cast("double").alias("learn")))
-    packed = blocks(nodes, edges)
-    edges = weighted_edges(edges) if packed is None else edges
+    rows = dealt(nodes, edges)
+    near = None if rows is None else packed(rows, F.col("learn") > 0)
+    weighted = weighted_edges(edges) if near is None else None
     first = nodes.select(F.size("x")).first()
     p = initial(first[0] if first else 1, width, seed)
     x, m, v, losses = flat(p), 0.0, 0.0, []
     for t in range(1, rounds + 1):
-        loss, g = gradients(nodes, edges, shaped(x, p)) if packed is None else block_gradients(packed, shaped(x, p))
+        loss, g = gradients(nodes, weighted, shaped(x, p)) if near is None else block_gradients(near, shaped(x, p))
         losses.append(loss)
         m, v = 0.9 * m + 0.1 * flat(g), 0.99 * v + 0.01 * flat(g) ** 2
         x = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return Trained(shaped(x, p), losses)
+    return Trained(shaped(x, p), losses, nodes, edges, rows)

@@ -57,6 +57,11 @@ def test_blocks_give_the_same_gradients(spark, monkeypatch):
     loss, g = S.block_gradients(packed, p)
     want, wanted = S.gradients(n, S.weighted_edges(e), p)
     assert loss == pytest.approx(want, abs=1e-12) and np.allclose(S.flat(g), S.flat(wanted), atol=1e-12)
+    others = n.withColumn("learn", 1 - F.col("learn"))
+    made = S.block_predicted(S.packed(S.dealt(n, e), F.col("learn") == 0), p)
+    brute = S.predicted(others, S.weighted_edges(e), p).join(others.filter("learn = 1").select("id"), "id")
+    rows = lambda df: [(r.id, r.y, pytest.approx(r.prediction, abs=1e-12)) for r in df.orderBy("id").collect()]
+    assert rows(made) == rows(brute) and made.count() == 40
     assert S.blocks(n, e.unionByName(spark.createDataFrame([(0, j) for j in range(40)], e.schema))) is None
     assert S.blocks(n.unionByName(n.limit(1)), e) is None
 
@@ -82,6 +87,22 @@ def test_learned_messages_beat_fixed_means(spark):
     assert trained > 0.8 and trained > plain + 0.1
 
 
+def test_others_are_predicted_in_blocks_and_along_edges(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 2))
+    gap = ((x[:, None] - x[None]) ** 2).sum(2)
+    nodes = spark.createDataFrame([(i, x[i].tolist(), float(x[i, 0] > 0) if i != 5 else None, int(i % 3 > 0)) for i in range(120)], "id long, x array<double>, y double, learn int").checkpoint()
+    e = spark.createDataFrame([(i, int(j)) for i in range(118) for j in np.argsort(gap[i])[1:4]], "vec_id long, neighbour long").checkpoint()
+    got = []
+    for most in (16, 1):  # with blocks and without
+        monkeypatch.setattr(S, "MOST_EDGES", most)
+        model = S.fit(nodes, e, width=3, rounds=2)
+        assert (model.rows is None) == (most == 1)
+        got.append({r.id: r.prediction for r in model.others().collect()})
+    assert set(got[0]) == set(got[1]) == {i for i in range(120) if i % 3 == 0 or i == 5}  # 5 has no label
+    assert all(got[0][i] == pytest.approx(got[1][i], abs=1e-9) for i in got[0])
+
+
 def test_no_nodes(spark):
     none = S.fit(spark.createDataFrame([], "id long, x array<double>, y int, learn int"), spark.createDataFrame([], "vec_id long, neighbour long"), rounds=1)
     assert none.losses == [0.0]

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,20 @@ def test_products_leave_out_no_neighbour():
     assert all((i, j) in kept for i, j in zip(*np.nonzero(d <= kth[:, None]))) and len(kept) < 300 * 5000
     huge = np.full((3, 2), 1e200)
     assert len(G._pairs(huge, huge, 1, np.full(3, np.inf))[0]) == 9  # overflow rules nothing out
+
+
+def test_vectors_are_read_from_any_part_of_a_column():
+    rows = [b"", np.array([1.0, 2.0]).tobytes(), b"", np.arange(3.0).tobytes(), np.arange(5.0).tobytes()]
+    column = pa.array(rows, pa.binary())
+    for c in (column.slice(1), column.slice(1, 3), pa.chunked_array([column.slice(0, 1), column.slice(3)]), column.slice(0, 1), column.cast(pa.large_binary())):
+        got, sizes = G._matrix(c, 3)
+        raw = c.to_pylist()
+        assert sizes.tolist() == [len(r) // 8 for r in raw]
+        assert [x.tolist() for x in got] == [[*np.frombuffer(r)[:3], *[0.0] * (3 - len(r) // 8)] for r in raw]
+
+
+def test_fitted_points_are_computed_once(spark):
+    """The plan of the points reads the rows once: codes and scales are saved, not fitted again for each column."""
+    d = spark.createDataFrame([(i, "ab"[i % 2], "xyz"[i % 3], float(i), float(-i)) for i in range(30)], "id long, c string, e string, x double, y double")
+    plan = G.graph_vectors(d, ["c", "e"], ["x", "y"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +39,27 @@ class ScaledCodes(Estimator):
         return ScaledCodesModel(values, self.numeric, scales)
 
 
-class ScaledCodesModel(Model):
-    """values: of each category, in the order of their columns; scales: of all columns."""
+class ScaledCodesModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """values: of each category, in the order of their columns; scales: of all columns. All are kept as one text, which is
+    saved and loaded with pipelines."""
 
-    def __init__(self, values: Mapping[str, Sequence[str]], numeric: Sequence[str], scales: Sequence[float]):
+    state = Param(Params._dummy(), "state", "values, numeric and scales as JSON", TypeConverters.toString)
+
+    def __init__(self, values: Mapping[str, Sequence[str]] | None = None, numeric: Sequence[str] = (), scales: Sequence[float] = ()):
         super().__init__()
-        self.values, self.numeric, self.scales = values, numeric, scales
+        self._set(state=json.dumps([list((values or {}).items()), list(numeric), [float(x) for x in scales]]))
+
+    @property
+    def values(self) -> dict[str, list[str]]:
+        return dict(json.loads(self.getOrDefault(self.state))[0])
+
+    @property
+    def numeric(self) -> list[str]:
+        return json.loads(self.getOrDefault(self.state))[1]
+
+    @property
+    def scales(self) -> list[float]:
+        return json.loads(self.getOrDefault(self.state))[2]
 
     def _transform(self, df: DataFrame) -> DataFrame:
         columns = []
